@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from leaksieve.errors import UnsupportedPattern
 
 # d: only \n ends a line; U: Unicode classes and case folding.
-_FLAGS = "(?dU)"
+JAVA_FLAGS = "(?dU)"
 _FLAGS_MULTILINE = "(?dUm)"
 
 _UNSUPPORTED = re.compile(r"(?<!\\)(?:\\\\)*(?:\(\?<?[=!]|\\[1-9])")
@@ -32,7 +32,7 @@ def check_pattern(pattern: str) -> str:
 
 
 def java_pattern(pattern: str) -> str:
-    return _FLAGS + check_pattern(pattern).replace("(?P<", "(?<")
+    return JAVA_FLAGS + check_pattern(pattern).replace("(?P<", "(?<")
 
 
 def java_pattern_multiline(pattern: str) -> str:
@@ -65,7 +65,13 @@ def unix_newlines(content: Column | str) -> Column:
 def lines(content: Column | str) -> Column:
     """Array of lines. One CR before LF goes, a lone CR stays, and a final
     line break opens no further line."""
-    text = unix_newlines(content)
+    return lines_of_unix_text(unix_newlines(content))
+
+
+def lines_of_unix_text(text: Column | str) -> Column:
+    """The same for the output of ``unix_newlines``; done twice, CR CR LF would lose
+    both CRs."""
+    text = F.col(text) if isinstance(text, str) else text
     body = F.when(F.endswith(text, F.lit("\n")), F.left(text, F.length(text) - 1)).otherwise(text)
     return F.when(text == "", F.lit([]).cast("array<string>")).otherwise(F.split(body, "\n", -1))
 

@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from leaksieve.functions.secrets import secret_of, shannon_entropy
 from leaksieve.functions.text import (
+    JAVA_FLAGS,
     contains_any,
     group_of_match,
     implied_by_line_match,
     is_regex,
     java_pattern,
     java_pattern_multiline,
-    lines,
+    lines_of_unix_text,
     matches_any,
     unix_newlines,
 )
@@ -207,7 +208,7 @@ def allowed_by_rule(allow: Column, line: Column, match: Column) -> Column:
 
 def path_listed(path: Column, paths: Column) -> Column:
     """the full path is in an allowlist (patterns searched, other entries equal)."""
-    hit = F.exists(paths, lambda p: is_regex(p) & F.rlike(path, F.concat(F.lit("(?dU)"), p)))
+    hit = F.exists(paths, lambda p: is_regex(p) & F.rlike(path, F.concat(F.lit(JAVA_FLAGS), p)))
     equal = F.exists(paths, lambda p: ~is_regex(p)) & F.array_contains(paths, path)
     return F.coalesce(hit | equal, F.lit(False))
 
@@ -260,7 +261,7 @@ def match_candidates(
         .select(
             *kept,
             rule["regex"].alias("_regex"),
-            F.posexplode_outer(lines(content)).alias("_at", "line"),
+            F.posexplode_outer(lines_of_unix_text(content)).alias("_at", "line"),
         )
         .filter(F.rlike(F.col("line"), F.col("_regex")))
         .withColumn("match", group_of_match(F.col("line"), F.col("_regex"), F.lit(0)))

@@ -29,11 +29,9 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     brings each part of the key down to about one HOT_SHARE-th of the rows.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return (
-        counts.filter(F.col("n") * HOT_SHARE > total.select("total").scalar())
-        .withColumn("total", total.select("total").scalar())
-        .select(key, F.ceil(F.col("n") * HOT_SHARE / F.col("total")).cast("int").alias("salts"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.filter(F.col("n") * HOT_SHARE > total).select(
+        key, F.ceil(F.col("n") * HOT_SHARE / total).cast("int").alias("salts")
     )
 
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leaksieve.functions.text import java_pattern
+from leaksieve.functions.text import JAVA_FLAGS, check_pattern, java_pattern
 from leaksieve.sources.catalog import Allowlist
 
 # A pattern whose only end anchor is its last character.
@@ -29,27 +29,27 @@ def ancestors(path: Column) -> Column:
     )
 
 
-def _below_pattern(path: Column, entry: str) -> Column:
-    """Some ancestor of ``path``, or the path, is found by ``entry``.
-
-    An ancestor ends where a slash follows, so one search on the full path with
-    "end or slash" for the final anchor tests all ancestors at once (but for the
-    empty one, which is no entry).
-    """
-    if _PLAIN_END.fullmatch(entry):
-        body = java_pattern(entry[:-1])
-        return F.rlike(path, F.lit(body + r"(?<!\A)(?=/|\z)"))
-    p = F.lit(java_pattern(entry))
-    return F.exists(ancestors(path), lambda a: F.rlike(a, p))
+# An ancestor ends where a slash follows, so one search on the full path with
+# "end or slash" for the final anchor tests all ancestors at once (but for the
+# empty one, which is no entry).
+_ENTRY_END = r"(?<!\A)(?=/|\z)"
 
 
 def path_pruned(path: Column | str, paths: Sequence[str]) -> Column:
-    """the file or one of its folders is in the global path allowlist."""
+    """the file or one of its folders is in the global path allowlist.
+
+    A pattern entry is searched in each ancestor, any other entry equals it.
+    """
     c = F.col(path) if isinstance(path, str) else path
-    exact = [e for e in paths if not _entry_is_regex(e)]
-    tests = [_below_pattern(c, e) for e in paths if _entry_is_regex(e)]
-    for e in paths if exact else ():
-        tests.append((c == F.lit(e)) | F.startswith(c, F.lit(e + "/")))
+    regexes = [e for e in paths if _entry_is_regex(e)]
+    simple = [e for e in regexes if _PLAIN_END.fullmatch(e)]
+    parts = [f"(?:{check_pattern(e[:-1])}){_ENTRY_END}" for e in simple]
+    if len(regexes) < len(paths):
+        parts += [rf"\A{re.escape(e)}{_ENTRY_END}" for e in paths]
+    tests = [F.rlike(c, F.lit(JAVA_FLAGS + "|".join(parts)))] if parts else []
+    for e in regexes:
+        if e not in simple:
+            tests.append(F.exists(ancestors(c), lambda a: F.rlike(a, F.lit(java_pattern(e)))))
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 

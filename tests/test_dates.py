@@ -1,0 +1,53 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from leaksieve.errors import InvalidDate
+from leaksieve.functions import dates
+from leaksieve.functions.secrets import shannon_entropy
+
+
+def test_bounds():
+    assert dates.parse_bound("2023-05-25", "start").isoformat() == "2023-05-25T00:00:00+00:00"
+    assert dates.parse_bound("2023-05-25", "end").isoformat() == "2023-05-25T23:59:59+00:00"
+    for bad in ("2023-05-32", "2023-5-2", "x", "2023-05-25T00:00:00-0700"):
+        with pytest.raises(InvalidDate):
+            dates.parse_bound(bad, "start")
+    with pytest.raises(InvalidDate):
+        dates.time_range("2023-05-25", "2023-05-25T00:00:00Z")
+
+
+def test_columns(spark):
+    df = spark.createDataFrame([("2023-05-25",), ("2023-05-32",), ("2023-5-2",)], "s string")
+    assert [r[0] for r in df.select(dates.is_valid_date("s")).collect()] == [True, False, False]
+    row = df.select(dates.day_bound("s", "start"), dates.day_bound("s", "any")).first()
+    assert row == (dt.datetime(2023, 5, 25), dt.datetime(2023, 5, 25, 23, 59, 59))
+    assert df.select(dates.day_bound("s", "start")).collect()[1][0] is None
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Shanghai"])
+@pytest.mark.parametrize(
+    "offset,fix,text",
+    [
+        (480, False, "2023-05-31 18:09:42 -08:00"),
+        (480, True, "2023-06-01 10:09:42 +08:00"),
+        (-330, False, "2023-06-01 07:39:42 +05:30"),
+        (0, False, "2023-06-01 02:09:42 +00:00"),
+    ],
+)
+def test_commit_date(spark, zone, offset, fix, text):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.range(1).select(
+            F.lit("2023-06-01T02:09:42Z").cast("timestamp").alias("ts"), F.lit(offset).alias("o")
+        )
+        assert df.select(dates.commit_date_text("ts", "o", fix)).first()[0] == text
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_entropy(spark):
+    df = spark.createDataFrame([("aaaa",), ("ab",), ("abcd",), ("",)], "s string")
+    got = [r[0] for r in df.select(shannon_entropy(F.col("s"))).collect()]
+    assert got == [0.0, 1.0, 2.0, 0.0]
