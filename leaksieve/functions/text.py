@@ -31,13 +31,34 @@ def check_pattern(pattern: str) -> str:
     return pattern
 
 
+# Bracketed ASCII classes, which Java does not know.
+_POSIX_CLASSES = {
+    "[:alnum:]": "0-9A-Za-z",
+    "[:alpha:]": "A-Za-z",
+    "[:blank:]": r"\t ",
+    "[:digit:]": "0-9",
+    "[:lower:]": "a-z",
+    "[:space:]": r"\t\n\x0B\f\r ",
+    "[:upper:]": "A-Z",
+    "[:word:]": "0-9A-Za-z_",
+    "[:xdigit:]": "0-9A-Fa-f",
+}
+
+
+def _java_syntax(pattern: str) -> str:
+    out = check_pattern(pattern).replace("(?P<", "(?<")
+    for name, chars in _POSIX_CLASSES.items():
+        out = out.replace(name, chars)
+    return out
+
+
 def java_pattern(pattern: str) -> str:
-    return JAVA_FLAGS + check_pattern(pattern).replace("(?P<", "(?<")
+    return JAVA_FLAGS + _java_syntax(pattern)
 
 
 def java_pattern_multiline(pattern: str) -> str:
     """The same pattern with ``^`` and ``$`` at every line of a whole text."""
-    return _FLAGS_MULTILINE + check_pattern(pattern).replace("(?P<", "(?<")
+    return _FLAGS_MULTILINE + _java_syntax(pattern)
 
 
 def implied_by_line_match(pattern: str) -> bool:

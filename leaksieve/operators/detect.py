@@ -90,63 +90,109 @@ def _search(content: Column, table: dict[str, list[int]]) -> Column:
     return F.array_distinct(F.flatten(F.transform(found, lambda k: k["r"])))
 
 
-def _automaton(content: Column, table: dict[str, list[int]]) -> Column:
-    """One pass over the text for all keywords (Aho-Corasick on Arrow batches)."""
+def _automaton(content: Column, table: dict[str, list[int]], screen: dict[int, str]) -> Column:
+    """One pass over the text for all keywords (Aho-Corasick on Arrow batches).
+
+    ``screen`` has a linear-time pattern per rule. Rules that it cannot find in a
+    text are left out at once, where the text is at hand. Only ASCII texts are
+    judged so: there the two regex engines agree on every class. The functions are
+    nested so that they travel by value and workers need not have this package.
+    """
+
+    def leave_out(texts: pd.Series, called: list[set[int]]) -> None:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain = [i for i, t in enumerate(texts) if called[i] and t.isascii()]
+        by_rule: dict[int, list[int]] = {}
+        for at, i in enumerate(plain):
+            for rule in called[i]:
+                if rule in screen:
+                    by_rule.setdefault(rule, []).append(at)
+        unix = pa.array([texts.iloc[i].replace("\r\n", "\n") for i in plain], pa.large_string())
+        for rule, places in by_rule.items():
+            try:
+                hits = pc.match_substring_regex(unix.take(pa.array(places)), screen[rule])
+            except pa.ArrowInvalid:  # a pattern this engine refuses is left to the JVM
+                continue
+            for at, hit in zip(places, hits.to_pylist()):
+                if not hit:
+                    called[plain[at]].discard(rule)
 
     @F.pandas_udf("array<int>")
     def rules_called(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
+        import pandas
 
         words = ahocorasick.Automaton()
         for w, r in table.items():
             words.add_word(w, tuple(r))
         words.make_automaton()
-
-        def one(text: str | None) -> list[int]:
-            calls = {r for _, r in words.iter(text)} if text else ()
-            return sorted({i for r in calls for i in r})
-
         for batch in batches:
-            yield batch.map(one)
+            called = []
+            for text in batch:
+                calls = {r for _, r in words.iter(text)} if text else ()
+                called.append({i for r in calls for i in r})
+            if screen:
+                leave_out(batch, called)
+            yield pandas.Series([sorted(c) for c in called], dtype=object)
 
     return rules_called(content)
 
 
-def rules_called_by(content: Column, rules: RuleSet, options: DetectOptions = DEFAULT) -> Column:
+def rules_called_by(
+    content: Column, rules: RuleSet, options: DetectOptions = DEFAULT, screen: bool = False
+) -> Column:
     """Array of the numbers of the rules that run on this text.
 
     A rule runs iff the text holds one of its keywords, case-sensitively. Without
-    keywords it never runs; the empty keyword is in every text.
+    keywords it never runs; the empty keyword is in every text. With ``screen`` rules
+    that run but cannot match may be missing.
     """
     table, always = _keyword_table(rules, options.ignore_keyword_case)
     if options.ignore_keyword_case:
         content = F.lower(content)
+        screen = False
     how = options.prefilter
     if how == "auto":
         big = len(table) >= AUTOMATON_FROM and util.find_spec("ahocorasick") is not None
         how = "automaton" if big else "search"
     if not table:
         called = F.lit([]).cast("array<int>")
+    elif how == "automaton":
+        patterns = {
+            i: "(?m)" + r.regex
+            for i, r in enumerate(rules.rules)
+            if screen and implied_by_line_match(r.regex)
+        }
+        called = _automaton(content, table, patterns)
     else:
-        called = (_automaton if how == "automaton" else _search)(content, table)
+        called = _search(content, table)
     if always:
         called = F.array_union(called, F.lit(always).cast("array<int>"))
     return called
 
 
 def candidates(
-    texts: DataFrame, rules: RuleSet, content: str = "content", options: DetectOptions = DEFAULT
+    texts: DataFrame,
+    rules: RuleSet,
+    content: str = "content",
+    options: DetectOptions = DEFAULT,
+    screen: bool = True,
 ) -> DataFrame:
     """Texts with ``rules_called``; texts that call none may stay, with an empty
     array, until the rules are taken one by one."""
-    return texts.withColumn("rules_called", rules_called_by(F.col(content), rules, options))
+    return texts.withColumn(
+        "rules_called", rules_called_by(F.col(content), rules, options, screen)
+    )
 
 
 def keyword_pairs(
     texts: DataFrame, rules: RuleSet, content: str = "content", options: DetectOptions = DEFAULT
 ) -> DataFrame:
     """D1 as a relation: one row per (text, rule that runs)."""
-    return _each(candidates(texts, rules, content, options), "rules_called", "rule_pos")
+    called = candidates(texts, rules, content, options, screen=False)
+    return _each(called, "rules_called", "rule_pos")
 
 
 def _each(df: DataFrame, array: str, name: str) -> DataFrame:

@@ -46,6 +46,8 @@ def test_first_match_keeps_an_empty_match(spark):
         ("a$", "a\r", False),
         (r"\s", " ", True),
         (r"(?P<x>b)", "b", True),
+        ("[[:digit:]x]", "7", True),
+        ("[[:digit:]x]", ":", False),
     ],
 )
 def test_dialect(spark, pattern, value, hit):
