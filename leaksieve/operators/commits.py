@@ -13,7 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaksieve.functions.dates import time_range
-from leaksieve.operators.layout import dense_positions, hot_keys, join_on_skewed_key, reliable
+from leaksieve.operators.layout import (
+    dense_positions,
+    hot_keys,
+    join_on_skewed_key,
+    reliable,
+    splits_hot_partitions,
+)
 from leaksieve.sources.corpus import commit_id_file
 
 
@@ -127,7 +133,8 @@ def topological_positions(commits: DataFrame, parents: DataFrame) -> DataFrame:
         .groupBy(F.col("anchor").alias("src"), F.col("parent").alias("dst"))
         .agg((F.max("steps") + 1).alias("len"))
     )
-    hot = reliable(hot_keys(ways, "src"))
+    salted = not splits_hot_partitions(commits.sparkSession)
+    hot = reliable(hot_keys(ways, "src")) if salted else None
     level = reliable(forks.select(F.col("commit").alias("anchor"), F.lit(0).alias("level")))
     grown = level
     while not grown.isEmpty():

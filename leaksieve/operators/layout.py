@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than one row in HOT_SHARE. No table can have
@@ -35,6 +35,11 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def splits_hot_partitions(spark: SparkSession) -> bool:
+    on = lambda name: spark.conf.get(name).lower() == "true"
+    return on("spark.sql.adaptive.enabled") and on("spark.sql.adaptive.skewJoin.enabled")
+
+
 def join_on_skewed_key(
     many: DataFrame,
     few: DataFrame,
@@ -44,10 +49,15 @@ def join_on_skewed_key(
 ) -> DataFrame:
     """Inner join where some keys of ``many`` may hold a large share of its rows.
 
-    Rows of a hot key are dealt over salts by a hash of ``spread_by``; the ``few``
-    side repeats only its hot rows, once per salt. ``hot`` may bring the result of
-    ``hot_keys`` where ``many`` is joined more than once.
+    Adaptive execution splits the partitions of hot keys at run time from the sizes
+    it has measured, with no pass over the data. Where the session has that turned
+    off, hot keys are counted and salted: rows of a hot key are dealt over salts by
+    a hash of ``spread_by``, and the ``few`` side repeats only its hot rows, once per
+    salt. ``hot`` may bring the result of ``hot_keys`` where ``many`` is joined more
+    than once.
     """
+    if splits_hot_partitions(many.sparkSession):
+        return many.join(few, key)
     hot = F.broadcast(hot_keys(many, key) if hot is None else hot)
     deal = F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col("salts"), F.lit(1))).cast("int")
     left = many.join(hot, key, "left").withColumn("salt", deal).drop("salts")

@@ -117,6 +117,7 @@ def scan_history(
     options: DetectOptions = DEFAULT,
     narrowed: bool = False,
     fix_offset: bool = False,
+    unique_blobs: bool = True,
 ) -> DataFrame:
     """Leaks in the trees of ``commits``, with their commit fields.
 
@@ -124,6 +125,8 @@ def scan_history(
     read; only its matches are joined to tree entries and commits. With
     ``narrowed`` (few commits selected) blobs that no selected tree holds are left
     out after the keyword prefilter, so that texts without a keyword never move.
+    Where ``blobs`` may hold a text more than once (``unique_blobs=False``), its
+    matches are made unique, not the texts: that moves the matches only.
     """
     entries = prune_entries(entries, rules.allowlist)
     texts = blobs.select("blob_id", "content")
@@ -140,6 +143,8 @@ def scan_history(
         entries = wanted
     else:
         matches = match_rules(texts, rules, "content", options)
+    if not unique_blobs:
+        matches = matches.dropDuplicates(["blob_id", "rule_pos", "line_number"])
     found = join_on_skewed_key(
         entries.select("repo", "commit", "path", "blob_id"), matches, "blob_id"
     )
@@ -168,6 +173,7 @@ def scan(
     refs: DataFrame | None = None,
     files: DataFrame | None = None,
     options: DetectOptions = DEFAULT,
+    unique_blobs: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """The main route: (leaks, selected commits). ``files`` is the working tree."""
     chosen = select_commits(commits, refs, selection)
@@ -176,7 +182,7 @@ def scan(
             raise ValueError("an uncommitted scan needs the files table")
         return scan_files(files, rules, options), chosen
     leaks = scan_history(
-        chosen, entries, blobs, rules, options, narrowed=selection.narrows()
+        chosen, entries, blobs, rules, options, selection.narrows(), unique_blobs=unique_blobs
     )
     return leaks, chosen
 

@@ -1,10 +1,45 @@
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leaksieve.operators import layout
 
 
-def test_join_on_skewed_key(spark):
+@pytest.mark.parametrize("split", [True, False])
+def test_join_on_skewed_key(spark, split):
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", str(split).lower())
+    try:
+        check_join_on_skewed_key(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
+
+
+def test_adaptive_execution_splits_a_hot_key(spark):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        many = spark.range(0, 200_000, 1, 16).select(
+            F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")
+        )
+        few = spark.range(-1, 1000).withColumnRenamed("id", "k")
+        joined = layout.join_on_skewed_key(many, few, "k")
+        assert joined.count() == 66_667 + 666
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def check_join_on_skewed_key(spark):
     many = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("k"),
         F.col("id").cast("string").alias("commit"),

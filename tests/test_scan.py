@@ -53,10 +53,14 @@ def want(commit):
     return out
 
 
-@pytest.mark.parametrize("narrowed", [False, True])
-def test_history(history, narrowed):
+@pytest.mark.parametrize("narrowed,copies", [(False, 1), (True, 1), (False, 2), (True, 2)])
+def test_history(history, narrowed, copies):
     commits, entries, blobs, _ = history
-    leaks = scan_history(commits, entries, blobs, RULES, narrowed=narrowed)
+    if copies > 1:
+        blobs = blobs.union(blobs)
+    leaks = scan_history(
+        commits, entries, blobs, RULES, narrowed=narrowed, unique_blobs=copies == 1
+    )
     assert tuple(leaks.columns) == LEAK_COLUMNS
     assert rows(leaks) == sorted(want("c1") + want("c2"))
     row = leaks.filter("commit = 'c1' AND file = '/src/a.py' AND rule = 'Secret'").first()

@@ -41,7 +41,10 @@ def commits(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("user"), "user_id").alias("author"),
         F.concat(F.lit("user"), "user_id", F.lit("@example.com")).alias("email"),
         F.col("props").alias("commit_message"),
-        F.date_trunc("second", "ts").cast("timestamp").alias("commit_ts"),
+        # The event times are UTC wall-clock times.
+        F.from_utc_timestamp(
+            F.date_trunc("second", "ts").cast("timestamp"), F.current_timezone()
+        ).alias("commit_ts"),
         ((F.col("user_id") % 25 - 12) * 60).cast("int").alias("offset_minutes"),
         (last - F.col("event_id")).alias("pos"),
     )
@@ -99,6 +102,12 @@ entries AS (SELECT e.event_type AS repo, md5(CAST(e.event_id AS VARCHAR)) AS com
   JOIN files f ON f.doc_id = (e.event_id * 3 + e.slot) % (SELECT max(doc_id) + 1 FROM documents))"""
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Blobs as they lie in ``documents``: equal texts are there more than once."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select(F.md5("text").alias("blob_id"), F.col("text").alias("content"))
+
+
 def blobs(spark: SparkSession, sf: str) -> DataFrame:
     return (
         spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")

@@ -280,7 +280,8 @@ _HISTORY_CTES = (M.FILES, M.COMMITS, M.ENTRIES, M.BLOBS, KEPT)
 def _history(spark, sf, rules, commits=None, narrowed=False, **kw):
     return scan_history(
         M.commits(spark, sf) if commits is None else commits,
-        M.entries(spark, sf), M.blobs(spark, sf), rules, narrowed=narrowed, **kw,
+        M.entries(spark, sf), M.texts(spark, sf), rules, narrowed=narrowed,
+        unique_blobs=False, **kw,
     )
 
 
@@ -312,7 +313,7 @@ chosen AS (SELECT c.* FROM refs r JOIN commits c ON c.repo = r.repo AND c.commit
 def scan_history_branch(spark, sf):
     leaks, _ = scan(
         Selection(branch="view/"), HISTORY, M.commits(spark, sf), M.entries(spark, sf),
-        M.blobs(spark, sf), M.refs(spark, sf),
+        M.texts(spark, sf), M.refs(spark, sf), unique_blobs=False,
     )
     return leaks
 
@@ -789,7 +790,8 @@ def report_table(spark, sf):
 )
 def scan_summary(spark, sf):
     leaks, chosen = scan(
-        Selection(), HISTORY, M.commits(spark, sf), M.entries(spark, sf), M.blobs(spark, sf)
+        Selection(), HISTORY, M.commits(spark, sf), M.entries(spark, sf), M.texts(spark, sf),
+        unique_blobs=False,
     )
     return summary(leaks, chosen)
 
