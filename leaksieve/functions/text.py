@@ -71,6 +71,40 @@ def implied_by_line_match(pattern: str) -> bool:
     return not (_TEXT_ANCHOR.search(pattern) or _OPEN_GROUP_REPEAT.search(pattern))
 
 
+# Character classes, escapes, and single characters of a pattern.
+_TOKENS = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]|\\.|.", re.S)
+_BEYOND_ASCII = r"\x{80}-\x{10FFFF}"
+
+
+def screen_patterns(pattern: str) -> tuple[str | None, str | None]:
+    """Linear-time patterns for a first look at (ASCII texts, any text).
+
+    Each is found in a whole text wherever ``pattern`` is found in one of its lines;
+    None where that cannot be promised. The linear-time engine knows ASCII classes
+    only, so for any text each class is widened by all other characters.
+    """
+    if not implied_by_line_match(pattern) or re.search(r"\\[pPQ]", pattern):
+        return None, None
+    wide: list[str] | None = []
+    for token in _TOKENS.findall(pattern):
+        if token[0] == "[":
+            body = token[1:-1]
+            if "[" in re.sub(r"\\.", "", body) or re.search(r"&&|--|~~", body):
+                return None, None  # nested or combined classes mean something else there
+            # A negated class lets more through there, unless a negated one is inside.
+            if body[0] == "^":
+                wide = None if re.search(r"\\[DSW]", body) else wide
+            elif re.search(r"\\[dsw]", body):
+                token = f"[{body}{_BEYOND_ASCII}]"
+        elif token in (r"\d", r"\s", r"\w"):
+            token = f"[{token}{_BEYOND_ASCII}]"
+        elif token in (r"\b", r"\B"):
+            token = "(?:)"
+        if wide is not None:
+            wide.append(token)
+    return "(?m)" + pattern, "(?m)" + "".join(wide) if wide is not None else None
+
+
 def lossy_utf8(content: Column | str) -> Column:
     """L3: decode bytes as UTF-8; each invalid sequence becomes U+FFFD."""
     c = F.col(content) if isinstance(content, str) else content

@@ -28,6 +28,7 @@ from leaksieve.functions.text import (
     java_pattern_multiline,
     lines_of_unix_text,
     matches_any,
+    screen_patterns,
     unix_newlines,
 )
 from leaksieve.sources.catalog import Allowlist, Rule, RuleSet
@@ -90,34 +91,40 @@ def _search(content: Column, table: dict[str, list[int]]) -> Column:
     return F.array_distinct(F.flatten(F.transform(found, lambda k: k["r"])))
 
 
-def _automaton(content: Column, table: dict[str, list[int]], screen: dict[int, str]) -> Column:
+def _automaton(
+    content: Column,
+    table: dict[str, list[int]],
+    screen: dict[int, tuple[str | None, str | None]],
+) -> Column:
     """One pass over the text for all keywords (Aho-Corasick on Arrow batches).
 
-    ``screen`` has a linear-time pattern per rule. Rules that it cannot find in a
-    text are left out at once, where the text is at hand. Only ASCII texts are
-    judged so: there the two regex engines agree on every class. The functions are
-    nested so that they travel by value and workers need not have this package.
+    ``screen`` has two linear-time patterns per rule, for ASCII and for any text.
+    Rules whose pattern is not found in a text are left out at once, where the text
+    is at hand. The functions are nested so that they travel by value and workers
+    need not have this package.
     """
 
     def leave_out(texts: pd.Series, called: list[set[int]]) -> None:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        plain = [i for i, t in enumerate(texts) if called[i] and t.isascii()]
-        by_rule: dict[int, list[int]] = {}
-        for at, i in enumerate(plain):
-            for rule in called[i]:
-                if rule in screen:
-                    by_rule.setdefault(rule, []).append(at)
-        unix = pa.array([texts.iloc[i].replace("\r\n", "\n") for i in plain], pa.large_string())
-        for rule, places in by_rule.items():
+        at = [i for i, c in enumerate(called) if not c.isdisjoint(screen)]
+        plain = [texts.iloc[i].isascii() for i in at]
+        unix = pa.array([texts.iloc[i].replace("\r\n", "\n") for i in at], pa.large_string())
+        jobs: dict[tuple[int, str], list[int]] = {}
+        for place, i in enumerate(at):
+            for rule in called[i] & screen.keys():
+                pattern = screen[rule][0 if plain[place] else 1]
+                if pattern is not None:
+                    jobs.setdefault((rule, pattern), []).append(place)
+        for (rule, pattern), places in jobs.items():
             try:
-                hits = pc.match_substring_regex(unix.take(pa.array(places)), screen[rule])
+                hits = pc.match_substring_regex(unix.take(pa.array(places)), pattern).to_pylist()
             except pa.ArrowInvalid:  # a pattern this engine refuses is left to the JVM
                 continue
-            for at, hit in zip(places, hits.to_pylist()):
+            for place, hit in zip(places, hits):
                 if not hit:
-                    called[plain[at]].discard(rule)
+                    called[at[place]].discard(rule)
 
     @F.pandas_udf("array<int>")
     def rules_called(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -160,12 +167,8 @@ def rules_called_by(
     if not table:
         called = F.lit([]).cast("array<int>")
     elif how == "automaton":
-        patterns = {
-            i: "(?m)" + r.regex
-            for i, r in enumerate(rules.rules)
-            if screen and implied_by_line_match(r.regex)
-        }
-        called = _automaton(content, table, patterns)
+        patterns = {i: screen_patterns(r.regex) for i, r in enumerate(rules.rules)}
+        called = _automaton(content, table, patterns if screen else {})
     else:
         called = _search(content, table)
     if always:

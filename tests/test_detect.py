@@ -121,6 +121,20 @@ def test_random_texts_against_brute_force(spark, seed, prefilter):
     assert want
 
 
+def test_unicode_texts_against_brute_force(spark):
+    rng = random.Random(11)
+    patterns = [r"\d\d", r"\bk\b", r"\w\s\w", r"[\s|']x", r"[^\s]x", r"(?i)k\d", r"\Wx", r"^\w+$", r"[^\d]1"]
+    rules = RuleSet(tuple(Rule(p, p, p, ("x", "k", "1")) for p in patterns))
+    pieces = ["x", "k", "1", "\u0661", "é", "\u00a0", "\u212a", " ", "\n", "'", "\u2028", "a"]
+    texts = {f"/{i}": "".join(rng.choices(pieces, k=rng.randint(1, 12))) for i in range(400)}
+    files = spark.createDataFrame(list(texts.items()), "path string, content string")
+    want = sorted((p, *m) for p, t in texts.items() for m in brute.scan(t, rules))
+    for how in ("automaton", "search"):
+        found = match_rules(files, rules, options=DetectOptions(prefilter=how))
+        rows = found.select("path", "rule_pos", "line_number", "line", "match").collect()
+        assert sorted(map(tuple, rows)) == want
+
+
 def test_every_stock_rule_finds_its_own_line(spark):
     rules = stock_rules().without_rule_allowlists()
     assert len(rules.rules) == 149

@@ -110,3 +110,39 @@ def test_repo_names(spark):
 def test_lossy_utf8(spark):
     df = spark.createDataFrame([(bytearray(b"ok\xffok\xc3"),)], "b binary")
     assert df.select(text.lossy_utf8("b")).first()[0] == "ok�ok�"
+
+
+@pytest.mark.parametrize(
+    "pattern,plain,wide",
+    [
+        ("abc", "(?m)abc", "(?m)abc"),
+        (r"a\sb", r"(?m)a\sb", r"(?m)a[\s\x{80}-\x{10FFFF}]b"),
+        (r"[\s|']\b", r"(?m)[\s|']\b", r"(?m)[\s|'\x{80}-\x{10FFFF}](?:)"),
+        (r"[^\s]", r"(?m)[^\s]", r"(?m)[^\s]"),
+        (r"[^\S]", r"(?m)[^\S]", None),
+        (r"[]\d]", r"(?m)[]\d]", r"(?m)[]\d\x{80}-\x{10FFFF}]"),
+        (r"\[\d]", r"(?m)\[\d]", r"(?m)\[[\d\x{80}-\x{10FFFF}]]"),
+        (r"[a[b]]", None, None),
+        (r"[[:alpha:]]", None, None),
+        (r"[a-z&&b]", None, None),
+        (r"\pL", None, None),
+        (r"a\z", None, None),
+        (r"(a|b)*", None, None),
+    ],
+)
+def test_screen_patterns(pattern, plain, wide):
+    assert text.screen_patterns(pattern) == (plain, wide)
+
+
+def test_every_stock_pattern_can_be_screened():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from leaksieve import stock_rules
+    from tests.brute import smallest
+
+    for rule in stock_rules().rules:
+        line = pa.array([smallest(rule.regex), "\u00e9 " + smallest(rule.regex)])
+        for pattern in text.screen_patterns(rule.regex):
+            assert pattern is not None, rule.id
+            assert pc.match_substring_regex(line, pattern)[0].as_py(), rule.id
