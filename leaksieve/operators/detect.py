@@ -38,7 +38,7 @@ MAX_RULES_PER_PLAN = 2000
 MAX_CHARS_PER_PLAN = 4_000_000
 
 # From here on one automaton pass beats one search per keyword.
-AUTOMATON_FROM = 24
+AUTOMATON_FROM = 12
 
 _ALLOW = (
     "struct<paths:array<string>,commits:array<string>,regex_target:string,"
@@ -183,10 +183,15 @@ def candidates(
     options: DetectOptions = DEFAULT,
     screen: bool = True,
 ) -> DataFrame:
-    """Texts with ``rules_called``; texts that call none may stay, with an empty
-    array, until the rules are taken one by one."""
-    return texts.withColumn(
-        "rules_called", rules_called_by(F.col(content), rules, options, screen)
+    """D1 as a filter: the texts that call a rule, with ``rules_called``.
+
+    An array of no or one array is exploded instead of testing its size, for the
+    optimizer would compute the array once for the test and once for the column.
+    """
+    called = F.array(rules_called_by(F.col(content), rules, options, screen))
+    some = F.filter(called, lambda c: F.size(c) > 0)
+    return texts.withColumn("rules_called", F.explode_outer(some)).filter(
+        F.col("rules_called").isNotNull()
     )
 
 

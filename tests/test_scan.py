@@ -97,13 +97,13 @@ def test_texts_without_keyword_never_move(spark, history, tmp_path):
     path = str(tmp_path / "blobs")
     spark.createDataFrame([("b1", "x")], "blob_id string, content string").write.parquet(path)
     leaks = scan_history(commits, entries, spark.read.parquet(path), RULES, narrowed=True)
-    plan = leaks._jdf.queryExecution().optimizedPlan().toString()
-    # the keyword array is made right above the blob scan, below every join
-    below = plan[: plan.index("blobs")] if "/blobs" in plan else plan
-    lines = below.splitlines()
-    at = max(i for i, l in enumerate(lines) if "Generate explode" in l)
-    join = max(i for i, l in enumerate(lines[: at + 1]) if "Join" in l)
-    assert join < at
+    plan = leaks._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # From the blob scan upwards: texts that call no rule are gone below the first join.
+    scan = next(i for i, l in enumerate(plan) if "blob_id" in l and "content" in l and "Relation" in l)
+    above = list(reversed(plan[:scan]))
+    dropped = next(i for i, l in enumerate(above) if "Filter isnotnull(rules_called" in l)
+    joined = next(i for i, l in enumerate(above) if "Join" in l)
+    assert dropped < joined
 
 
 def test_snapshot_and_objects(history):
