@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksieve.llm import decontam, langid, simhash, toxicity
+from leaksieve.llm import (
+    credentials,
+    decontam,
+    langid,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    toxicity,
+    url_filter,
+)
 from leaksieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +35,34 @@ def _bucket(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+@query
+def op1_mixing(spark, sf_dir):
+    mixed = mixing.mixture(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+# Fixed values: (host, path, verdict).
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+@query
+def op2_urls(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.filter_urls(pages, rules).drop("url")
+
+
+@query
+def op3_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -54,6 +92,29 @@ def op7_decontam(spark, sf_dir):
     return decontam.contained_items(docs, items)
 
 
+@query
+def op8_sharding(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op9_credentials(spark, sf_dir):
+    found = credentials.scan_credentials(table(spark, sf_dir, "documents"))
+    strong = F.filter("spans", lambda s: s["strong"])
+    count = lambda kind: F.size(F.filter(strong, lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(credentials.listed(strong), 256).alias("base_sha256"),
+        credentials.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
