@@ -12,6 +12,7 @@ from leaksieve.llm import (
     decontam,
     langid,
     mixing,
+    pii,
     quality,
     sharding,
     simhash,
@@ -86,6 +87,16 @@ def op5_langid(spark, sf_dir):
     )
 
 
+# The test queries' key; a job passes its own secret.
+PII_KEY = b"documents"
+
+
+@query
+def op6_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, PII_KEY)
+
+
 @query
 def op7_decontam(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
