@@ -7,8 +7,9 @@ lenient to strict. A cutoff is certified if an exact binomial test rejects, at l
 ``epsilon / rules`` or more of the good documents. Within a grid tests go on in that fixed
 order until one fails, which needs no further correction. So with probability ``1 -
 delta`` no stratum loses more than the share ``epsilon`` of its good documents to all
-rules together. Of the certified cutoffs that rejecting most bad documents is taken, the
-most lenient of equals; a rule that rejects no bad document is not used.
+rules together. Of the certified cutoffs that of the largest gain is taken, the bad
+documents it rejects less ``cost`` times the good ones, the most lenient of equals; a rule
+without a gain is not used.
 
 All of it is DataFrame operations; texts stay where they were read.
 """
@@ -53,8 +54,9 @@ RULES = (
 
 @dataclass(frozen=True)
 class Risk:
-    epsilon: float = 0.01
+    epsilon: float = 0.05
     delta: float = 0.05
+    cost: float = 3.0
 
 
 # ------------------------------------------------------------------- features
@@ -227,14 +229,15 @@ def thresholds(
     first_fail = tested.groupBy("stratum", "rule").agg(
         F.min(F.when(F.col("fails"), F.col("step"))).alias("stop"),
     )
+    gain = F.col("true_hits") - risk.cost * F.col("false_hits")
     certified = (
-        tested.join(
+        tested.withColumn("gain", gain).join(
             first_fail.select(F.col("stratum").alias("s"), F.col("rule").alias("r"), "stop"),
             F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r")),
         )
-        .filter((F.col("stop").isNull() | (F.col("step") < F.col("stop"))) & (F.col("true_hits") > 0))
+        .filter((F.col("stop").isNull() | (F.col("step") < F.col("stop"))) & (F.col("gain") > 0))
     )
-    best = F.max_by("cutoff", F.struct(F.col("true_hits"), -F.col("step")))
+    best = F.max_by("cutoff", F.struct(F.col("gain"), -F.col("step")))
     return saved(certified.groupBy("stratum", "rule").agg(best.alias("cutoff")), "quality-cutoffs")
 
 

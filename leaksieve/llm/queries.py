@@ -16,6 +16,7 @@ from leaksieve.llm import (
     quality,
     sharding,
     simhash,
+    sql,
     toxicity,
     url_filter,
 )
@@ -129,3 +130,8 @@ def op9_credentials(spark, sf_dir):
 @query
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL["op2_urls"] = sql.urls(URL_RULES)
+SQL["op3_quality"] = sql.quality_rules()
+SQL["op7_decontam"] = sql.CONTAINED
