@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from leaksieve.errors import InvalidDate
 
-_DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
+_DAY = re.compile(r"\d{4}-\d{2}-\d{2}", re.ASCII)
 # Fixed value: the shape of an RFC 3339 instant.
-RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
-_RFC3339 = re.compile(RFC3339)
+RFC3339 = r"\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})"
+_RFC3339 = re.compile(RFC3339, re.ASCII)
 
 
 def _col(c: Column | str) -> Column:
@@ -29,7 +29,7 @@ def is_valid_date(text: Column | str) -> Column:
 def is_rfc3339(text: Column | str) -> Column:
     """S3: the text is an RFC 3339 instant."""
     c = _col(text)
-    return F.coalesce(F.rlike(c, F.lit(RFC3339)) & F.try_to_timestamp(c).isNotNull(), F.lit(False))
+    return F.coalesce(F.rlike(c, F.lit(rf"\A{RFC3339}\z")) & F.try_to_timestamp(c).isNotNull(), F.lit(False))
 
 
 def day_bound(text: Column | str, kind: str) -> Column:
@@ -45,7 +45,7 @@ def parse_bound(text: str, kind: str) -> dt.datetime:
         if _DAY.fullmatch(text):
             day = dt.datetime.strptime(text, "%Y-%m-%d").replace(tzinfo=dt.timezone.utc)
             return day if kind == "start" else day + dt.timedelta(hours=23, minutes=59, seconds=59)
-        if _RFC3339.match(text):
+        if _RFC3339.fullmatch(text):
             return dt.datetime.fromisoformat(text.upper())
     except ValueError:
         pass

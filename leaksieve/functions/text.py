@@ -9,15 +9,18 @@ every match stays inside the JVM.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leaksieve.errors import UnsupportedPattern
 
-# d: only \n ends a line; U: Unicode classes and case folding.
-JAVA_FLAGS = "(?dU)"
-_FLAGS_MULTILINE = "(?dUm)"
+# d: only \n ends a line; U: Unicode classes; -u: no folding of ı and İ to i, which simple
+# case folding does not have. What it has beyond ASCII is spelled out in the pattern.
+_FLAGS = "dU-u"
+_FLAGS_BEYOND_ASCII = "dU"
 
 _UNSUPPORTED = re.compile(r"(?<!\\)(?:\\\\)*(?:\(\?<?[=!]|\\[1-9])")
 _TEXT_ANCHOR = re.compile(r"\\[AzZGB]|\(\?[a-zA-Z]*-")
@@ -46,19 +49,87 @@ _POSIX_CLASSES = {
 
 
 def _java_syntax(pattern: str) -> str:
-    out = check_pattern(pattern).replace("(?P<", "(?<")
+    # Names of groups are not used, and one pattern may be joined with another.
+    out = re.sub(r"\(\?P?<\w+>", "(", check_pattern(pattern))
     for name, chars in _POSIX_CLASSES.items():
         out = out.replace(name, chars)
     return out
 
 
+# Character classes, groups with flags, escapes, and single characters of a pattern.
+_TOKENS = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?[a-zA-Z-]*[:)]|\\.|.", re.S)
+
+# Simple case folding of ASCII letters beyond ASCII (Kelvin sign, long s).
+_FOLDED = {"k": "\u212a", "s": "\u017f"}
+
+
+def _class_has(token: str, letter: str) -> bool:
+    try:
+        body = token[0] + token[1:].removeprefix("^")
+        return bool(re.match(body, letter) or re.match(body, letter.upper()))
+    except re.error:
+        return False
+
+
+def _translated(pattern: str, end: str) -> str:
+    """Java pattern with simple case folding where ``(?i)`` is on and with ``end`` for
+    the anchor ``$``."""
+    out = []
+    fold, outer = False, []
+    for token in _TOKENS.findall(_java_syntax(pattern)):
+        if token.startswith("(?") and len(token) > 2 and token[-1] in ":)":
+            on, _, off = token[2:-1].partition("-")
+            if token[-1] == ":":
+                outer.append(fold)
+            fold = ("i" in on or fold) and "i" not in off
+        elif token == "(":
+            outer.append(fold)
+        elif token == ")" and outer:
+            fold = outer.pop()
+        elif token == "$":
+            token = end
+        elif fold and token[0] == "[" and len(token) > 1:
+            more = "".join(f for c, f in _FOLDED.items() if _class_has(token, c))
+            token = token[:-1] + more + "]"
+        elif fold and token.lower() in _FOLDED:
+            c = token.lower()
+            token = f"[{c}{c.upper()}{_FOLDED[c]}]"
+        out.append(token)
+    return "".join(out)
+
+
+def _flags(pattern: str, more: str = "") -> str:
+    return f"(?{more}{_FLAGS if pattern.isascii() else _FLAGS_BEYOND_ASCII})"
+
+
 def java_pattern(pattern: str) -> str:
-    return JAVA_FLAGS + _java_syntax(pattern)
+    """For a line or a whole value: ``$`` is the very end, as without the flag m."""
+    sees_lines = re.search(r"\(\?[a-zA-Z]*m", pattern)
+    return _flags(pattern) + _translated(pattern, "$" if sees_lines else r"\z")
 
 
 def java_pattern_multiline(pattern: str) -> str:
     """The same pattern with ``^`` and ``$`` at every line of a whole text."""
-    return _FLAGS_MULTILINE + _java_syntax(pattern)
+    return _flags(pattern, "m") + _translated(pattern, "$")
+
+
+def ancestor_pattern(pattern: str) -> str | None:
+    """Pattern that is found in a path iff ``pattern`` is found in the path or in one of
+    its folders; None if an anchor or a branch stands in the way of that.
+
+    A folder ends where a slash follows (the empty one does not count). Only a pattern
+    with one end anchor, its last character, and without a top-level branch is such.
+    """
+    tokens = _TOKENS.findall(_java_syntax(pattern))
+    depth = 0
+    for t in tokens[:-1]:
+        depth += (t == "(" or (t.startswith("(?") and t[-1] == ":")) - (t == ")")
+        if t == "$" or (t == "|" and depth == 0) or t in (r"\A", r"\z", r"\Z", r"\G", r"\b", r"\B"):
+            return None
+    if not tokens or tokens[-1] != "$":
+        return None
+    # A scan for a look-ahead must not depend on what follows the folder.
+    return _flags(pattern) + _translated(pattern, r"(?<!\A)(?=/|\z)")
 
 
 def implied_by_line_match(pattern: str) -> bool:
@@ -71,8 +142,6 @@ def implied_by_line_match(pattern: str) -> bool:
     return not (_TEXT_ANCHOR.search(pattern) or _OPEN_GROUP_REPEAT.search(pattern))
 
 
-# Character classes, escapes, and single characters of a pattern.
-_TOKENS = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]|\\.|.", re.S)
 _BEYOND_ASCII = r"\x{80}-\x{10FFFF}"
 
 
@@ -81,28 +150,38 @@ def screen_patterns(pattern: str) -> tuple[str | None, str | None]:
 
     Each is found in a whole text wherever ``pattern`` is found in one of its lines;
     None where that cannot be promised. The linear-time engine knows ASCII classes
-    only, so for any text each class is widened by all other characters.
+    only, so for any text each class is widened by all other characters; and its ``\\s``
+    lacks the vertical tab, which is added.
     """
     if not implied_by_line_match(pattern) or re.search(r"\\[pPQ]", pattern):
         return None, None
+    plain: list[str] = []
     wide: list[str] | None = []
     for token in _TOKENS.findall(pattern):
-        if token[0] == "[":
+        broad = token
+        if token[0] == "[" and len(token) > 1:
             body = token[1:-1]
             if "[" in re.sub(r"\\.", "", body) or re.search(r"&&|--|~~", body):
                 return None, None  # nested or combined classes mean something else there
-            # A negated class lets more through there, unless a negated one is inside.
             if body[0] == "^":
-                wide = None if re.search(r"\\[DSW]", body) else wide
-            elif re.search(r"\\[dsw]", body):
-                token = f"[{body}{_BEYOND_ASCII}]"
-        elif token in (r"\d", r"\s", r"\w"):
-            token = f"[{token}{_BEYOND_ASCII}]"
+                # A negated class lets more through there, unless a negated one is inside.
+                if re.search(r"\\S", body):
+                    return None, None
+                wide = None if re.search(r"\\[DW]", body) else wide
+            else:
+                tab = r"\x0B" if re.search(r"\\s", body) else ""
+                token = f"[{body}{tab}]"
+                broad = f"[{body}{tab}{_BEYOND_ASCII if re.search(r'\\[dsw]', body) else ''}]"
+        elif token == r"\s":
+            token, broad = r"[\s\x0B]", rf"[\s\x0B{_BEYOND_ASCII}]"
+        elif token in (r"\d", r"\w"):
+            broad = f"[{token}{_BEYOND_ASCII}]"
         elif token in (r"\b", r"\B"):
-            token = "(?:)"
+            broad = "(?:)"
+        plain.append(token)
         if wide is not None:
-            wide.append(token)
-    return "(?m)" + pattern, "(?m)" + "".join(wide) if wide is not None else None
+            wide.append(broad)
+    return "(?m)" + "".join(plain), "(?m)" + "".join(wide) if wide is not None else None
 
 
 def lossy_utf8(content: Column | str) -> Column:
@@ -151,9 +230,11 @@ def contains_any(text: Column, words: Column) -> Column:
     return F.exists(words, lambda w: F.contains(text, w))
 
 
-def matches_any(text: Column, patterns: Column) -> Column:
-    """Some pattern of the array is found in ``text``; an empty array is false."""
-    return F.exists(patterns, lambda p: F.rlike(text, p))
+def matches_any(text: Column, patterns: Sequence[str]) -> Column:
+    """Some pattern of the list is found in ``text``; an empty list is false. Each
+    pattern is a literal of the plan, so it is compiled once."""
+    tests = [F.rlike(text, F.lit(java_pattern(p))) for p in patterns]
+    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
 def is_regex(entry: Column | str) -> Column:
@@ -187,6 +268,6 @@ def first_group(text: Column, pattern: str) -> Column:
 def repo_dir_name(path: Column | str) -> Column:
     """Last component of a repository folder without a trailing ``.git``."""
     c = F.col(path) if isinstance(path, str) else path
-    trimmed = F.regexp_replace(c, "/+$", "")
+    trimmed = F.regexp_replace(c, r"/+\z", "")
     last = F.element_at(F.split(trimmed, "/"), -1)
-    return F.coalesce(F.regexp_replace(last, r"\.git$", ""), F.lit(""))
+    return F.coalesce(F.regexp_replace(last, r"\.git\z", ""), F.lit(""))

@@ -9,18 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaksieve.functions.dates import time_range
-from leaksieve.operators.layout import (
-    dense_positions,
-    hot_keys,
-    join_on_skewed_key,
-    reliable,
-    splits_hot_partitions,
-)
-from leaksieve.sources.corpus import commit_id_file
+from leaksieve.operators.layout import dense_positions, reliable
+from leaksieve.sources.corpus import commit_lines
 
 
 def by_author(commits: DataFrame, user: str) -> DataFrame:
@@ -57,9 +51,14 @@ def id_list(spark: SparkSession, ids: str | Sequence[str]) -> DataFrame:
     return spark.range(1).select(F.explode(F.lit(ids)).alias("commit"))
 
 
+def ids_of_lines(lines: DataFrame, line: str = "value") -> DataFrame:
+    """L8 on a table of lines: each line is an id, kept as it is (a CR at its end goes)."""
+    return lines.select(F.regexp_replace(line, r"\r\z", "").alias("commit"))
+
+
 def from_file(commits: DataFrame, path: str, user: str = "") -> DataFrame:
     """C2 over a file with one id per line."""
-    return listed(commits, commit_id_file(commits.sparkSession, path), user)
+    return listed(commits, ids_of_lines(commit_lines(commits.sparkSession, path)), user)
 
 
 def in_time_range(
@@ -88,22 +87,26 @@ def without(commits: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def in_id_range(
-    commits: DataFrame, newer: str | None, older: str | None, user: str = ""
+    commits: DataFrame, newer: Column | str | None, older: Column | str | None, user: str = ""
 ) -> DataFrame:
-    """The stretch of one history from ``newer`` to ``older``, both included.
+    """The stretch from ``newer`` to ``older``, both included, of each repository
+    that has both.
 
-    HEAD has position 0. An id that is missing, or a pair in the wrong order,
-    gives no rows.
+    HEAD has position 0. An id that is missing, or a pair in the wrong order, gives no
+    rows. An id may be a scalar subquery.
     """
     if newer is None or older is None:
         return commits.limit(0)
-    at = lambda c, what: commits.filter(F.col("commit") == c).agg(F.max(what)).scalar()
-    kept = commits.filter(
-        F.col("pos").between(at(newer, "pos"), at(older, "pos"))
-        & (F.col("repo") == at(newer, "repo"))
-        & (F.col("repo") == at(older, "repo"))
+    of = lambda c: F.max(F.when(F.col("commit") == c, F.col("pos")))
+    bounds = (
+        commits.filter((F.col("commit") == newer) | (F.col("commit") == older))
+        .groupBy(F.col("repo").alias("_repo"))
+        .agg(of(newer).alias("_from"), of(older).alias("_to"))
     )
-    return by_author(kept, user)
+    kept = commits.join(
+        bounds, (F.col("repo") == F.col("_repo")) & F.col("pos").between(F.col("_from"), F.col("_to"))
+    )
+    return by_author(kept.select(*commits.columns), user)
 
 
 def branch_tips(commits: DataFrame, refs: DataFrame, text: str) -> DataFrame:
@@ -116,84 +119,47 @@ def branch_tips(commits: DataFrame, refs: DataFrame, text: str) -> DataFrame:
 
 
 def topological_positions(commits: DataFrame, parents: DataFrame) -> DataFrame:
-    """(repo, commit, level, pos), children before parents, HEAD at 0.
-
-    ``level`` is the longest way down from a head. ``commits`` needs (repo, commit,
-    commit_ts), ``parents`` (commit, parent). Runs of commits with one child each
-    are folded first by pointer doubling, so a straight history of n commits takes
-    log2(n) rounds; only merge and fork points are relaxed one by one. Ties within
-    a level go to the newer commit.
+    """(repo, commit, pos), children before parents, HEAD at 0, in each repository.
+
+    ``commits`` needs (repo, commit, commit_ts), ``parents`` (commit, parent); a commit
+    that several repositories share is placed in each. The order is by time, newest
+    first, which is nearly topological: only where a clock was wrong is a parent not
+    older than its child. Such a parent takes the time of its child and comes one step
+    after it (``behind``), and so on upwards. A round handles all commits whose place
+    has changed in the round before, so the number of rounds is the length of the longest
+    run of such parents, not of the history. Ties go to the newer commit, then by id.
     """
-    up = anchors(commits, parents)
-    # Ways between anchors: from the anchor of a fork point's child to the fork point.
-    forks = up.filter(F.col("anchor") == F.col("commit")).select("commit")
-    ways = reliable(
-        parents.join(forks.withColumnRenamed("commit", "parent"), "parent", "left_semi")
-        .join(up, "commit")
-        .groupBy(F.col("anchor").alias("src"), F.col("parent").alias("dst"))
-        .agg((F.max("steps") + 1).alias("len"))
+    keyed = commits.select("repo", "commit", F.unix_micros("commit_ts").alias("ts"))
+    edges = reliable(
+        parents.select("commit", "parent").distinct()
+        .join(keyed.select("repo", "commit"), "commit")
+        .join(keyed.select("repo", F.col("commit").alias("parent")), ["repo", "parent"])
+        .select("repo", "commit", "parent")
     )
-    salted = not splits_hot_partitions(commits.sparkSession)
-    hot = reliable(hot_keys(ways, "src")) if salted else None
-    level = reliable(forks.select(F.col("commit").alias("anchor"), F.lit(0).alias("level")))
-    grown = level
-    while not grown.isEmpty():
-        # Only anchors whose level has just grown pass it on.
-        passed = (
-            join_on_skewed_key(
-                ways, grown.select(F.col("anchor").alias("src"), "level"), "src", ["dst"], hot
-            )
-            .groupBy(F.col("dst").alias("anchor"))
-            .agg(F.max(F.col("level") + F.col("len")).alias("via"))
-        )
-        step = reliable(
-            level.join(passed, "anchor", "left").select(
-                "anchor",
-                F.greatest("level", F.coalesce("via", F.lit(0))).alias("level"),
-                (F.coalesce("via", F.lit(0)) > F.col("level")).alias("grew"),
-            )
-        )
-        level, grown = step.drop("grew"), step.filter("grew")
-    levels = join_on_skewed_key(up, level, "anchor", ["commit"]).select(
-        "commit", (F.col("level") + F.col("steps")).cast("long").alias("level")
-    )
-    return dense_positions(
-        commits.select("repo", "commit", "commit_ts").join(levels, "commit"),
-        "repo",
-        ["level", F.desc("commit_ts"), "commit"],
-    ).select("repo", "commit", "level", "pos")
-
-
-def anchors(commits: DataFrame, parents: DataFrame) -> DataFrame:
-    """(commit, anchor, steps): the nearest commit on the way to a head that has
-    no child or several, and how many steps it is away."""
-    child = parents.groupBy("parent").agg(
-        F.count(F.lit(1)).alias("n"), F.min("commit").alias("child")
-    )
-    jump = reliable(
-        commits.select("commit")
-        .join(child, F.col("commit") == F.col("parent"), "left")
-        .select(
-            "commit",
-            F.when(F.col("n") == 1, F.col("child")).otherwise(F.col("commit")).alias("anchor"),
-            F.when(F.col("n") == 1, 1).otherwise(0).alias("steps"),
-        )
+    # The later of two places is the lesser struct: an earlier time, then further behind.
+    at = lambda time, ahead: F.struct(time.alias("time"), ahead.alias("ahead"))
+    placed = reliable(
+        keyed.select("repo", "commit", at(F.col("ts"), F.lit(0)).alias("at"))
     )
+    moved = placed
     while True:
-        far = jump.select(
-            F.col("commit").alias("anchor"),
-            F.col("anchor").alias("next"),
-            F.col("steps").alias("more"),
+        pushed = (
+            edges.join(moved, ["repo", "commit"])
+            .groupBy("repo", F.col("parent").alias("commit"))
+            .agg(F.min(at(F.col("at.time"), F.col("at.ahead") - 1)).alias("to"))
         )
-        jump = reliable(
-            join_on_skewed_key(jump, far, "anchor", ["commit"]).select(
-                "commit",
-                F.col("next").alias("anchor"),
-                (F.col("steps") + F.col("more")).alias("steps"),
-                (F.col("more") > 0).alias("moved"),
+        later = F.coalesce(F.col("to") < F.col("at"), F.lit(False))
+        step = reliable(
+            placed.join(pushed, ["repo", "commit"], "left").select(
+                "repo", "commit", F.when(later, F.col("to")).otherwise(F.col("at")).alias("at"),
+                later.alias("moved"),
             )
         )
-        moved = not jump.filter("moved").isEmpty()
-        jump = jump.drop("moved")
-        if not moved:
-            return jump
+        placed, moved = step.drop("moved"), step.filter("moved").drop("moved")
+        if moved.isEmpty():
+            break
+    rows = placed.join(keyed, ["repo", "commit"]).select(
+        "repo", "commit", "ts", F.col("at.time").alias("time"), (-F.col("at.ahead")).alias("behind")
+    )
+    order = [F.desc("time"), F.col("behind"), F.desc("ts"), F.col("commit")]
+    return dense_positions(rows, "repo", order).select("repo", "commit", "pos")

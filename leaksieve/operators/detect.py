@@ -2,7 +2,8 @@
 
 The whole chain is narrow: every text is looked at where it was read, and only
 (text, rule) pairs whose keyword is present, then only lines that match, go on.
-Nothing is shuffled or broadcast; the rules are literals of the plan.
+Nothing is shuffled or broadcast; the rules are literals of the plan, and so are the
+patterns that are tried on many rows, which are compiled once per task.
 """
 
 from __future__ import annotations
@@ -13,41 +14,28 @@ from dataclasses import asdict, dataclass
 from functools import reduce
 from importlib import util
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.functions.secrets import secret_of, shannon_entropy
 from leaksieve.functions.text import (
-    JAVA_FLAGS,
     contains_any,
     group_of_match,
     implied_by_line_match,
-    is_regex,
     java_pattern,
     java_pattern_multiline,
     lines_of_unix_text,
-    matches_any,
     screen_patterns,
     unix_newlines,
 )
 from leaksieve.sources.catalog import Allowlist, Rule, RuleSet
 
-# Rules of one plan literal; a larger rule set is scanned in slices.
-MAX_RULES_PER_PLAN = 2000
-MAX_CHARS_PER_PLAN = 4_000_000
-
 # From here on one automaton pass beats one search per keyword.
 AUTOMATON_FROM = 12
 
-_ALLOW = (
-    "struct<paths:array<string>,commits:array<string>,regex_target:string,"
-    "regexes:array<string>,stopwords:array<string>>"
-)
 _LITERAL = (
-    "array<struct<id:string,description:string,regex:string,whole:string,allow:"
-    + _ALLOW
-    + ",secret_group:int,entropy:double,path:string,tags:array<string>>>"
+    "array<struct<regex:string,secret_group:int,entropy:double,path:string>>"
 )
 
 
@@ -98,19 +86,23 @@ def _automaton(
 ) -> Column:
     """One pass over the text for all keywords (Aho-Corasick on Arrow batches).
 
-    ``screen`` has two linear-time patterns per rule, for ASCII and for any text.
-    Rules whose pattern is not found in a text are left out at once, where the text
-    is at hand. The functions are nested so that they travel by value and workers
-    need not have this package.
+    A first look for any keyword, linear-time on whole Arrow arrays, leaves most texts
+    alone; only the others become Python texts. ``screen`` has two linear-time patterns
+    per rule, for ASCII and for any text. Rules whose pattern is not found in a text are
+    left out at once, where the text is at hand. The functions are nested so that they
+    travel by value and workers need not have this package.
     """
+    special = set("\\.+*?()|[]{}^$")
+    quoted = ["".join("\\" + c if c in special else c for c in w) for w in table]
+    any_word = "|".join(quoted)
 
-    def leave_out(texts: pd.Series, called: list[set[int]]) -> None:
+    def leave_out(texts: list[str], called: list[set[int]]) -> None:
         import pyarrow as pa
         import pyarrow.compute as pc
 
         at = [i for i, c in enumerate(called) if not c.isdisjoint(screen)]
-        plain = [texts.iloc[i].isascii() for i in at]
-        unix = pa.array([texts.iloc[i].replace("\r\n", "\n") for i in at], pa.large_string())
+        plain = [texts[i].isascii() for i in at]
+        unix = pa.array([texts[i].replace("\r\n", "\n") for i in at], pa.large_string())
         jobs: dict[tuple[int, str], list[int]] = {}
         for place, i in enumerate(at):
             for rule in called[i] & screen.keys():
@@ -126,23 +118,28 @@ def _automaton(
                 if not hit:
                     called[at[place]].discard(rule)
 
-    @F.pandas_udf("array<int>")
-    def rules_called(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def rules_called(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
-        import pandas
+        import pyarrow
+        import pyarrow.compute as pc
 
         words = ahocorasick.Automaton()
-        for w, r in table.items():
-            words.add_word(w, tuple(r))
+        for w in table:
+            words.add_word(w, w)
         words.make_automaton()
         for batch in batches:
-            called = []
-            for text in batch:
-                calls = {r for _, r in words.iter(text)} if text else ()
-                called.append({i for r in calls for i in r})
+            some = pc.indices_nonzero(
+                pc.fill_null(pc.match_substring_regex(batch, any_word), False)
+            )
+            texts = batch.take(some).to_pylist()
+            called = [{i for w in {w for _, w in words.iter(t)} for i in table[w]} for t in texts]
             if screen:
-                leave_out(batch, called)
-            yield pandas.Series([sorted(c) for c in called], dtype=object)
+                leave_out(texts, called)
+            out = [[] for _ in range(len(batch))]
+            for i, c in zip(some.to_pylist(), called):
+                out[i] = sorted(c)
+            yield pyarrow.array(out, pyarrow.list_(pyarrow.int32()))
 
     return rules_called(content)
 
@@ -167,7 +164,9 @@ def rules_called_by(
     if not table:
         called = F.lit([]).cast("array<int>")
     elif how == "automaton":
-        patterns = {i: screen_patterns(r.regex) for i, r in enumerate(rules.rules)}
+        patterns = {
+            i: screen_patterns(r.regex) for i, r in enumerate(rules.rules) if r.regex is not None
+        }
         called = _automaton(content, table, patterns if screen else {})
     else:
         called = _search(content, table)
@@ -212,70 +211,87 @@ def _each(df: DataFrame, array: str, name: str) -> DataFrame:
 # ------------------------------------------------------------------ allowlists
 
 
-def _prefixed(allow: Allowlist | None) -> dict | None:
-    if allow is None:
-        return None
-    d = asdict(allow)
-    d["regexes"] = [java_pattern(p) for p in allow.regexes]
-    return d
-
-
 def _rule_literal(rules: RuleSet) -> Column:
     def row(r: Rule) -> dict:
-        whole = java_pattern_multiline(r.regex) if implied_by_line_match(r.regex) else None
         return {
-            "id": r.id,
-            "description": r.description,
-            "regex": java_pattern(r.regex),
-            "whole": whole,
-            "allow": _prefixed(r.allowlist),
+            "regex": None if r.regex is None else java_pattern(r.regex),
             "secret_group": r.secret_group,
             "entropy": r.entropy,
             "path": java_pattern(r.path) if r.path else None,
-            "tags": list(r.tags),
         }
 
     return F.from_json(F.lit(json.dumps([row(r) for r in rules.rules])), _LITERAL)
 
 
-def _listed(target: Column, regexes: Column, stopwords: Column) -> Column:
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+
+
+def _listed(allow: Allowlist, target: Column) -> Column:
     """The allowlist test. Two non-empty lists switch each other off."""
-    one_empty = (F.size(regexes) == 0) | (F.size(stopwords) == 0)
-    return one_empty & (matches_any(target, regexes) | contains_any(target, stopwords))
+    if allow.regexes and allow.stopwords:
+        return F.lit(False)
+    tests = [F.rlike(target, F.lit(java_pattern(p))) for p in allow.regexes]
+    if allow.stopwords:
+        tests.append(contains_any(target, F.lit(list(allow.stopwords))))
+    return _any(tests)
 
 
 def globally_allowed(allow: Allowlist, line: Column, match: Column) -> Column:
     """The global allowlist drops this match."""
-    if (allow.regexes and allow.stopwords) or not (allow.regexes or allow.stopwords):
-        return F.lit(False)
-    target = line if allow.regex_target == "line" else match
-    tests = [F.rlike(target, F.lit(java_pattern(p))) for p in allow.regexes]
-    tests += [F.contains(target, F.lit(w)) for w in allow.stopwords]
-    return reduce(lambda a, b: a | b, tests)
+    return _listed(allow, line if allow.regex_target == "line" else match)
+
 
+def _of_rule(pos: int, test: Column) -> Column:
+    return (F.col("rule_pos") == pos) & test
 
-def allowed_by_rule(allow: Column, line: Column, match: Column) -> Column:
+
+def allowed_by_rule(rules: RuleSet, line: Column, match: Column) -> Column:
     """The allowlist of the match's own rule drops it."""
-    target = F.when(allow["regex_target"] == "line", line).otherwise(match)
-    return F.coalesce(_listed(target, allow["regexes"], allow["stopwords"]), F.lit(False))
+    return _any(
+        [
+            _of_rule(i, _listed(a, line if a.regex_target == "line" else match))
+            for i, a in enumerate(r.allowlist for r in rules.rules)
+            if a and (a.regexes or a.stopwords)
+        ]
+    )
 
 
-def path_listed(path: Column, paths: Column) -> Column:
-    """the full path is in an allowlist (patterns searched, other entries equal)."""
-    hit = F.exists(paths, lambda p: is_regex(p) & F.rlike(path, F.concat(F.lit(JAVA_FLAGS), p)))
-    equal = F.exists(paths, lambda p: ~is_regex(p)) & F.array_contains(paths, path)
-    return F.coalesce(hit | equal, F.lit(False))
+def path_listed(path: Column, paths: tuple[str, ...]) -> Column:
+    """the full path is in an allowlist (patterns searched; equality counts where
+    some entry is no pattern)."""
+    patterns = [p for p in paths if p.startswith("(") and p.endswith("$")]
+    tests = [F.rlike(path, F.lit(java_pattern(p))) for p in patterns]
+    if len(patterns) < len(paths):
+        tests.append(path.isin(list(paths)))
+    return _any(tests)
 
 
 def drop_allowed_files(
     matches: DataFrame, rules: RuleSet, path: Column, commit: Column
 ) -> DataFrame:
     """a rule yields nothing in files and commits of its own allowlist."""
-    if not any(r.allowlist and (r.allowlist.paths or r.allowlist.commits) for r in rules.rules):
-        return matches
-    allow = F.element_at(_rule_literal(rules), F.col("rule_pos") + 1)["allow"]
-    listed = F.coalesce(F.array_contains(allow["commits"], commit), F.lit(False))
-    return matches.filter(~path_listed(path, allow["paths"]) & ~listed)
+    tests = []
+    for i, allow in enumerate(r.allowlist for r in rules.rules):
+        if allow and allow.paths:
+            tests.append(_of_rule(i, path_listed(path, allow.paths)))
+        if allow and allow.commits:
+            tests.append(_of_rule(i, commit.isin(list(allow.commits))))
+    return matches.filter(~F.coalesce(_any(tests), F.lit(False))) if tests else matches
+
+
+def files_of_path_rules(files: DataFrame, rules: RuleSet) -> DataFrame:
+    """(all columns but the content, rule_pos, line_number 0, empty line, match) for
+    each file whose path a rule without a pattern of its own names; ``match`` is the path."""
+    named = [
+        F.when(F.rlike("path", F.lit(java_pattern(r.path))), F.lit(i))
+        for i, r in enumerate(rules.rules)
+        if r.regex is None and r.path
+    ]
+    found = F.array_compact(F.array(*named)) if named else F.array().cast("array<int>")
+    return files.drop("content").withColumn("rule_pos", F.explode(found)).select(
+        "*", F.lit(0).alias("line_number"), F.lit("").alias("line"), F.col("path").alias("match")
+    )
 
 
 def keep_rule_paths(matches: DataFrame, rules: RuleSet, path: Column) -> DataFrame:
@@ -296,6 +312,20 @@ def anti_set(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame
 # ------------------------------------------------------------------------ D2-D7
 
 
+def _whole_test(rules: RuleSet, content: str) -> Column:
+    """The called rules whose pattern is somewhere in the whole text, or might be. Each
+    pattern is a literal, so it is compiled once, and tried only where it is called."""
+    tests = []
+    for i, r in enumerate(rules.rules):
+        if r.regex is None:
+            continue
+        test = F.array_contains("rules_called", i)
+        if implied_by_line_match(r.regex):
+            test = test & F.rlike(content, F.lit(java_pattern_multiline(r.regex)))
+        tests.append(F.when(test, F.lit(i)))
+    return F.array_compact(F.array(*tests)) if tests else F.array().cast("array<int>")
+
+
 def match_candidates(
     called: DataFrame, rules: RuleSet, content: str = "content", options: DetectOptions = DEFAULT
 ) -> DataFrame:
@@ -303,16 +333,17 @@ def match_candidates(
 
     Adds ``rule_pos``, ``line_number``, ``line`` and ``match`` (and ``secret`` where
     asked for), and drops the text. One multi-line test of the whole text decides
-    whether its lines are needed at all.
+    whether its lines are needed at all; the lines of one text and rule follow each
+    other, so their pattern is compiled once for them.
     """
-    literal = _rule_literal(rules)
-    text = _each(called, "rules_called", "rule_pos").withColumn(content, unix_newlines(content))
-    rule = F.element_at(literal, F.col("rule_pos") + 1)
+    unix = called.withColumn(content, unix_newlines(content))
+    text = _each(
+        unix.withColumn("rules_called", _whole_test(rules, content)), "rules_called", "rule_pos"
+    )
+    rule = F.element_at(_rule_literal(rules), F.col("rule_pos") + 1)
     kept = [c for c in text.columns if c != content]
     hits = (
-        text.withColumn("_whole", rule["whole"])
-        .filter(F.col("_whole").isNull() | F.rlike(F.col(content), F.col("_whole")))
-        .select(
+        text.select(
             *kept,
             rule["regex"].alias("_regex"),
             F.posexplode_outer(lines_of_unix_text(content)).alias("_at", "line"),
@@ -333,27 +364,18 @@ def match_candidates(
         hits = hits.filter(
             rule["entropy"].isNull() | (shannon_entropy(F.col("secret")) >= rule["entropy"])
         )
-    hits = hits.filter(~globally_allowed(rules.allowlist, F.col("line"), target))
-    if any(r.allowlist and (r.allowlist.regexes or r.allowlist.stopwords) for r in rules.rules):
-        hits = hits.filter(~allowed_by_rule(rule["allow"], F.col("line"), target))
+    allowed = globally_allowed(rules.allowlist, F.col("line"), target) | allowed_by_rule(
+        rules, F.col("line"), target
+    )
     extra = ["secret"] if options.secrets else []
-    return hits.select(*kept, "line_number", "line", "match", *extra)
+    return hits.filter(~allowed).select(*kept, "line_number", "line", "match", *extra)
 
 
 def match_rules(
     texts: DataFrame, rules: RuleSet, content: str = "content", options: DetectOptions = DEFAULT
 ) -> DataFrame:
-    """All matches of all rules in all texts; other columns are kept.
-
-    A rule set too large for one plan literal is scanned slice by slice.
-    """
-    parts = [
-        match_candidates(
-            candidates(texts, part, content, options), part, content, options
-        ).withColumn("rule_pos", F.col("rule_pos") + start)
-        for start, part in rules.slices(MAX_RULES_PER_PLAN, MAX_CHARS_PER_PLAN)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """All matches of all rules in all texts, in one pass; other columns are kept."""
+    return match_candidates(candidates(texts, rules, content, options), rules, content, options)
 
 
 def rule_value(rules: RuleSet, name: str, pos: Column | str = "rule_pos") -> Column:

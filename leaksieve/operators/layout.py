@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,15 +97,32 @@ def dense_positions(
     )
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where none is named (local tests) a folder in the warehouse is used.
+    Without either a cluster is refused, for other machines could not read what one
+    writes; in local mode a folder in the warehouse will do.
     """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it again, so that plans know its true
+    size. The folder ``leaksieve/<application id>`` there may go with the application."""
+    spark = df.sparkSession
+    app = f"{shared_folder(spark).rstrip('/')}/leaksieve/{spark.sparkContext.applicationId}"
+    path = f"{app}/stored-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -9,13 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leaksieve.functions.text import JAVA_FLAGS, check_pattern, java_pattern
+from leaksieve.functions.text import ancestor_pattern, java_pattern
 from leaksieve.sources.catalog import Allowlist
 
-# A pattern whose only end anchor is its last character.
-_PLAIN_END = re.compile(r"(?:[^\\$]|\\[^AzZGbB])*\$")
-
-
 def _entry_is_regex(entry: str) -> bool:
     return entry.startswith("(") and entry.endswith("$")
 
@@ -29,27 +25,25 @@ def ancestors(path: Column) -> Column:
     )
 
 
-# An ancestor ends where a slash follows, so one search on the full path with
-# "end or slash" for the final anchor tests all ancestors at once (but for the
-# empty one, which is no entry).
-_ENTRY_END = r"(?<!\A)(?=/|\z)"
-
-
 def path_pruned(path: Column | str, paths: Sequence[str]) -> Column:
     """the file or one of its folders is in the global path allowlist.
 
-    A pattern entry is searched in each ancestor, any other entry equals it.
+    A pattern entry is searched in each ancestor, any other entry equals it. Where the
+    anchor at the end is the pattern's only one, one search of the full path with "end or
+    slash" in its place tests all ancestors at once.
     """
     c = F.col(path) if isinstance(path, str) else path
     regexes = [e for e in paths if _entry_is_regex(e)]
-    simple = [e for e in regexes if _PLAIN_END.fullmatch(e)]
-    parts = [f"(?:{check_pattern(e[:-1])}){_ENTRY_END}" for e in simple]
-    if len(regexes) < len(paths):
-        parts += [rf"\A{re.escape(e)}{_ENTRY_END}" for e in paths]
-    tests = [F.rlike(c, F.lit(JAVA_FLAGS + "|".join(parts)))] if parts else []
+    tests, parts = [], []
     for e in regexes:
-        if e not in simple:
+        simple = ancestor_pattern(e)
+        if simple:
+            tests.append(F.rlike(c, F.lit(simple)))
+        else:
             tests.append(F.exists(ancestors(c), lambda a: F.rlike(a, F.lit(java_pattern(e)))))
+    if len(regexes) < len(paths):
+        parts = [rf"\A{re.escape(e)}(?<!\A)(?=/|\z)" for e in paths]
+        tests.append(F.rlike(c, F.lit("|".join(parts))))
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 

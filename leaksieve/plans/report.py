@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leaksieve.operators.layout import stored
 from leaksieve.schema import LEAK_COLUMNS
 
-
-
 # The SARIF envelope.
 SARIF_SCHEMA = "https://schemastore.azurewebsites.net/schemas/json/sarif-2.1.0-rtm.5.json"
 SARIF_VERSION = "2.1.0"
@@ -53,6 +50,18 @@ def csv_rows(leaks: DataFrame) -> DataFrame:
     return leaks.select(*LEAK_COLUMNS)
 
 
+def csv_lines(leaks: DataFrame) -> DataFrame:
+    """O2: each leak as one CSV record (column ``csv``). A value with a comma, a quote or
+    a line end is quoted, and its quotes are doubled."""
+
+    def field(name: str) -> Column:
+        value = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        doubled = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(F.rlike(value, F.lit('[",\\n\\r]')), doubled).otherwise(value)
+
+    return leaks.select(F.concat_ws(",", *[field(c) for c in LEAK_COLUMNS]).alias("csv"))
+
+
 def write_json_lines(leaks: DataFrame, path: str, mode: str = "error") -> None:
     """O1 as JSON lines, the form to use for large results."""
     leaks.select(*LEAK_COLUMNS).write.mode(mode).json(path)
@@ -68,30 +77,23 @@ def write_csv(leaks: DataFrame, path: str, mode: str = "error") -> None:
 def _write_document(rows: DataFrame, head: str, foot: str, path: str, mode: str) -> None:
     """Write a JSON array between ``head`` and ``foot`` as ordered text parts.
 
-    No task holds the whole array: the parts in name order, put one after the
-    other, are the document. Each row carries the comma before it, but for the
-    first one, found as the least (text, copy); equal rows are told apart by a copy
-    number.
+    No task holds the whole array: the parts in name order, put one after the other,
+    are the document. The rows are computed once and stored with a number each; all but
+    the least numbered carry the comma before them.
     """
-    keyed = (
-        rows.groupBy("json")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("json", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
-    )
-    least = rows.agg(F.min("json")).scalar()
-    comma = F.when((F.col("json") == least) & (F.col("copy") == 1), "").otherwise(",")
-    body = keyed.select(
-        F.lit(1).alias("part"), "json", "copy", F.concat(comma, F.col("json")).alias("value")
+    body = stored(
+        rows.select(F.lit(1).alias("part"), F.monotonically_increasing_id().alias("at"), "json")
     )
+    first = body.agg(F.min("at")).scalar()
+    comma = F.when(F.col("at") == first, "").otherwise(",")
     ends = rows.sparkSession.range(2).select(
         (F.col("id") * 2).cast("int").alias("part"),
-        F.lit("").alias("json"),
-        F.lit(0).cast("long").alias("copy"),
+        F.lit(0).cast("long").alias("at"),
         F.when(F.col("id") == 0, head).otherwise(foot).alias("value"),
     )
-    ends.unionByName(body).orderBy("part", "json", "copy").select("value").write.mode(mode).text(
-        path
-    )
+    ends.unionByName(body.select("part", "at", F.concat(comma, F.col("json")).alias("value"))).orderBy(
+        "part", "at"
+    ).select("value").write.mode(mode).text(path)
 
 
 def write_json_document(leaks: DataFrame, path: str, mode: str = "error") -> None:

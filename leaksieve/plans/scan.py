@@ -13,14 +13,13 @@ from leaksieve.operators import commits as C
 from leaksieve.operators.detect import (
     DEFAULT,
     DetectOptions,
-    candidates,
     drop_allowed_files,
+    files_of_path_rules,
     keep_rule_paths,
-    match_candidates,
     match_rules,
     rule_value,
 )
-from leaksieve.operators.layout import join_on_skewed_key
+from leaksieve.operators.layout import join_on_skewed_key, stored
 from leaksieve.operators.paths import prune_entries
 from leaksieve.schema import LEAK_COLUMNS
 from leaksieve.sources.catalog import RuleSet
@@ -99,9 +98,12 @@ def scan_files(
     ``files`` has (path, content). Nothing is shuffled.
     """
     found = match_rules(files.select("path", "content"), rules, "content", options)
-    found = drop_allowed_files(found, rules, F.col("path"), F.lit(""))
     if options.rule_paths:
-        found = keep_rule_paths(found, rules, F.col("path"))
+        named = files_of_path_rules(files.select("path", "content"), rules)
+        found = keep_rule_paths(found, rules, F.col("path")).unionByName(
+            named, allowMissingColumns=True
+        )
+    found = drop_allowed_files(found, rules, F.col("path"), F.lit(""))
     none = dict.fromkeys(
         ("commit", "repo", "commit_message", "author", "email", "date"), F.lit("")
     )
@@ -123,34 +125,33 @@ def scan_history(
 
     Each blob is scanned once, however many commits hold it, and where it was
     read; only its matches are joined to tree entries and commits. With
-    ``narrowed`` (few commits selected) blobs that no selected tree holds are left
-    out after the keyword prefilter, so that texts without a keyword never move.
+    ``narrowed`` (few commits selected) the ids of the blobs that selected trees hold are
+    stored first and the texts are reduced to them before anything is searched. Where
+    the ids are few, Spark broadcasts them by their true size and no text moves; a store
+    of blobs that is clustered by ``blob_id`` is then also read in part only.
     Where ``blobs`` may hold a text more than once (``unique_blobs=False``), its
     matches are made unique, not the texts: that moves the matches only.
     """
     entries = prune_entries(entries, rules.allowlist)
     texts = blobs.select("blob_id", "content")
     if narrowed:
-        wanted = entries.join(
-            commits.select("repo", "commit"), ["repo", "commit"], "left_semi"
-        )
-        # An inner join: a semi-join would be pushed below the prefilter and
-        # would shuffle every text.
-        called = candidates(texts, rules, "content", options).join(
-            wanted.select("blob_id").distinct(), "blob_id"
+        entries = entries.join(
+            commits.select("repo", "commit").distinct(), ["repo", "commit"], "left_semi"
         )
-        matches = match_candidates(called, rules, "content", options)
-        entries = wanted
-    else:
-        matches = match_rules(texts, rules, "content", options)
+        wanted = stored(entries.select("blob_id").distinct())
+        texts = texts.join(wanted, "blob_id", "left_semi")
+    matches = match_rules(texts, rules, "content", options)
     if not unique_blobs:
         matches = matches.dropDuplicates(["blob_id", "rule_pos", "line_number"])
     found = join_on_skewed_key(
         entries.select("repo", "commit", "path", "blob_id"), matches, "blob_id"
     )
-    found = drop_allowed_files(found, rules, F.col("path"), F.col("commit"))
     if options.rule_paths:
-        found = keep_rule_paths(found, rules, F.col("path"))
+        named = files_of_path_rules(entries.select("repo", "commit", "path", "blob_id"), rules)
+        found = keep_rule_paths(found, rules, F.col("path")).unionByName(
+            named, allowMissingColumns=True
+        )
+    found = drop_allowed_files(found, rules, F.col("path"), F.col("commit"))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     fields = {
         "commit": F.col("commit"),

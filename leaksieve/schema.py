@@ -17,7 +17,7 @@ RULES = T.StructType(
         T.StructField("pos", T.IntegerType(), False),
         T.StructField("id", T.StringType(), True),
         T.StructField("description", T.StringType(), False),
-        T.StructField("regex", T.StringType(), False),
+        T.StructField("regex", T.StringType(), True),
         T.StructField("keywords", T.ArrayType(T.StringType(), False), False),
         T.StructField("allowlist", ALLOWLIST, True),
         # documented in the catalogue format, used only when opted in
@@ -28,43 +28,6 @@ RULES = T.StructType(
     ]
 )
 
-COMMITS = T.StructType(
-    [
-        T.StructField("repo", T.StringType(), False),
-        T.StructField("commit", T.StringType(), False),
-        T.StructField("author", T.StringType(), True),
-        T.StructField("email", T.StringType(), True),
-        T.StructField("commit_message", T.StringType(), True),
-        T.StructField("commit_ts", T.TimestampType(), False),
-        T.StructField("offset_minutes", T.IntegerType(), False),
-        T.StructField("pos", T.LongType(), True),
-    ]
-)
-
-TREE_ENTRIES = T.StructType(
-    [
-        T.StructField("repo", T.StringType(), False),
-        T.StructField("commit", T.StringType(), False),
-        T.StructField("path", T.StringType(), False),
-        T.StructField("blob_id", T.StringType(), False),
-    ]
-)
-
-BLOBS = T.StructType(
-    [
-        T.StructField("blob_id", T.StringType(), False),
-        T.StructField("content", T.StringType(), False),
-    ]
-)
-
-REFS = T.StructType(
-    [
-        T.StructField("repo", T.StringType(), False),
-        T.StructField("ref_name", T.StringType(), False),
-        T.StructField("commit", T.StringType(), False),
-    ]
-)
-
 # Column order of every report.
 LEAK_COLUMNS = (
     "line",
@@ -79,10 +42,3 @@ LEAK_COLUMNS = (
     "file",
     "date",
 )
-
-LEAKS = T.StructType(
-    [
-        T.StructField(c, T.IntegerType() if c == "line_number" else T.StringType(), False)
-        for c in LEAK_COLUMNS
-    ]
-)

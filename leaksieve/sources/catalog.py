@@ -35,7 +35,7 @@ class Allowlist:
 class Rule:
     id: str | None
     description: str
-    regex: str
+    regex: str | None  # None: the rule names files by their path alone (X3)
     keywords: tuple[str, ...] = ()
     allowlist: Allowlist | None = None
     secret_group: int | None = None
@@ -58,19 +58,6 @@ class RuleSet:
             F.inline(F.from_json(F.lit(rows), f"array<{RULES.simpleString()}>"))
         )
 
-    def slices(self, max_rules: int, max_chars: int) -> list[tuple[int, RuleSet]]:
-        """(first position, rules) parts, each small enough for one plan literal."""
-        parts: list[tuple[int, RuleSet]] = []
-        start, size = 0, 0
-        for i, rule in enumerate(self.rules):
-            chars = len(json.dumps(asdict(rule)))
-            if i > start and (i - start >= max_rules or size + chars > max_chars):
-                parts.append((start, replace(self, rules=self.rules[start:i])))
-                start, size = i, 0
-            size += chars
-        parts.append((start, replace(self, rules=self.rules[start:])))
-        return parts
-
     def with_stopwords(self, rule_id: str, words: Iterable[str]) -> RuleSet:
         """Replace the stopwords of one rule's allowlist."""
         words = tuple(words)
@@ -128,18 +115,19 @@ def _allowlist(table: object, strict_paths: bool) -> Allowlist:
     )
 
 
-def _rule(table: dict) -> Rule:
-    for key in ("description", "id", "regex"):
+def _rule(table: dict, path_rules: bool) -> Rule:
+    alone = path_rules and "regex" not in table and isinstance(table.get("path"), str)
+    for key in ("description", "id") if alone else ("description", "id", "regex"):
         if not isinstance(table.get(key), str):
             raise InvalidCatalog(f"rule without {key}: {table!r:.200}")
-    keywords = table.get("keywords")
+    keywords = table.get("keywords", [] if alone else None)
     if not isinstance(keywords, list) or not all(isinstance(k, str) for k in keywords):
         raise InvalidCatalog(f"rule without a keyword list: {table['id']}")
     group, entropy, path = table.get("secretGroup"), table.get("entropy"), table.get("path")
     return Rule(
         id=table["id"],
         description=table["description"],
-        regex=table["regex"],
+        regex=table.get("regex"),
         keywords=tuple(keywords),
         allowlist=_allowlist(table["allowlist"], False) if "allowlist" in table else None,
         secret_group=group if isinstance(group, int) else None,
@@ -149,8 +137,9 @@ def _rule(table: dict) -> Rule:
     )
 
 
-def parse_catalog(text: str) -> RuleSet:
-    """TOML text to a rule set. Unknown keys are ignored."""
+def parse_catalog(text: str, path_rules: bool = False) -> RuleSet:
+    """TOML text to a rule set. Unknown keys are ignored. With ``path_rules`` a
+    rule may have a path and no regex (X3); else that is refused."""
     try:
         data = tomllib.loads(text)
     except tomllib.TOMLDecodeError as e:
@@ -158,7 +147,7 @@ def parse_catalog(text: str) -> RuleSet:
     if not isinstance(data.get("rules"), list):
         raise InvalidCatalog("no [[rules]]")
     return RuleSet(
-        rules=tuple(_rule(r) for r in data["rules"]),
+        rules=tuple(_rule(r, path_rules) for r in data["rules"]),
         allowlist=_allowlist(data.get("allowlist"), True),
     )
 
@@ -184,7 +173,9 @@ def load_extended(path: str, default: RuleSet | None = None, depth: int = 2) ->
     if extend.get("useDefault") and extend.get("path"):
         raise InvalidCatalog("useDefault and path exclude each other")
     if extend.get("useDefault"):
-        return extend_rules(base, default or stock_rules())
+        if default is None:
+            raise InvalidCatalog("useDefault needs the default rules")
+        return extend_rules(base, default)
     if extend.get("path"):
         return extend_rules(base, load_extended(extend["path"], default, depth - 1))
     return base
@@ -206,47 +197,23 @@ def extend_rules(base: RuleSet, other: RuleSet) -> RuleSet:
     )
 
 
-# Stopwords of the generic rule that are placeholders or are among
-# its own trigger words. The full list is long and is a parameter of stock_rules.
-GENERIC_STOPWORDS = (
-    "client",
-    "endpoint",
-    "vpn",
-    "_ec2_",
-    "aws_",
-    "authorize",
-    "author",
-    "define",
-    "config",
-    "credential",
-    "setting",
-    "sample",
-    "xxxxxx",
-    "000000",
-    "buffer",
-    "delete",
-    "aaaaaa",
-    "getenv",
-    "env_",
-    "system",
-    "example",
-    "auth",
-    "token",
-    "password",
-)
-
-
-def load_stopwords(path: str) -> tuple[str, ...]:
-    """A stopword file, one word per line."""
+def load_stopwords(path: str, rule_id: str = "generic-api-key") -> tuple[str, ...]:
+    """The stopwords of a rule in a catalogue file (``.toml``), or a file with one word
+    per line."""
+    if path.endswith(".toml"):
+        rules = [r for r in load_catalog(path).rules if r.id == rule_id]
+        if not rules or rules[0].allowlist is None:
+            raise InvalidCatalog(f"{path} has no stopwords of {rule_id}")
+        return rules[0].allowlist.stopwords
     return tuple(w for w in Path(path).read_text(encoding="utf-8").splitlines() if w)
 
 
-def stock_rules(
-    stopwords: Sequence[str] = GENERIC_STOPWORDS, config_paths: Sequence[str] = ()
-) -> RuleSet:
+def stock_rules(stopwords: Sequence[str], config_paths: Sequence[str] = ()) -> RuleSet:
     """The 149 stock rules and the stock path allowlist.
 
-    ``stopwords`` is the list of the generic rule (see ``load_stopwords``);
+    ``stopwords`` is the list of the generic rule and has no default: the full list is a
+    long table that the caller brings (``load_stopwords``), and a shorter one would
+    report more without saying so. ``()`` asks for the rule without stopwords.
     ``config_paths`` are further allow-listed paths, such as ``/`` + the name of
     the catalogue file that a repository keeps for itself.
     """

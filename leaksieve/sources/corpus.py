@@ -52,36 +52,40 @@ def blobs_from_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.drop("content"), blobs
 
 
-def working_tree(spark: SparkSession, folder: str, on_invalid: str = "fail") -> DataFrame:
-    """L4: (path, content) of all files below ``folder``; paths are relative.
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """L4: (path, content) of all files below ``folder``, as bytes; paths are relative.
 
-    ``on_invalid``: a file that is not UTF-8 fails the scan (``fail``), is
-    decoded with U+FFFD (``replace``) or is marked in ``valid`` (``flag``).
     Folders of version-control metadata are not files of the tree.
     """
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     prefix = fs.makeQualified(root).toString().rstrip("/") + "/"
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select(F.col("path"), F.col("content").alias("bytes"))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    relative = F.substring(F.col("path"), F.lit(len(prefix) + 1), F.length("path"))
+    return raw.select(F.regexp_replace(relative, "^/+", "").alias("path"), "content").filter(
+        ~F.rlike("path", F.lit(r"(^|/)\.git(/|\z)"))
     )
-    files = raw.select(
-        F.regexp_replace(
-            F.substring(F.col("path"), F.lit(len(prefix) + 1), F.length("path")), "^/+", ""
-        ).alias("path"),
-        F.col("bytes"),
-    ).filter(~F.rlike("path", F.lit(r"(^|/)\.git(/|$)")))
-    valid = F.is_valid_utf8(F.col("bytes").cast("string"))
-    text = lossy_utf8("bytes")
+
+
+def decode_files(files: DataFrame, on_invalid: str = "fail") -> DataFrame:
+    """L4: (path, content) with text for bytes.
+
+    ``on_invalid``: a file that is not UTF-8 fails the scan (``fail``), is decoded with
+    U+FFFD (``replace``) or is decoded so and marked in ``valid`` (``flag``).
+    """
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    text = lossy_utf8("content")
     if on_invalid == "fail":
         text = F.when(valid, text).otherwise(
             F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("path")))
         )
-    out = files.withColumn("content", text)
-    return (out.withColumn("valid", valid) if on_invalid == "flag" else out).drop("bytes")
+    out = files.select("path", text.alias("content"), valid.alias("valid"))
+    return out if on_invalid == "flag" else out.drop("valid")
+
+
+def working_tree(spark: SparkSession, folder: str, on_invalid: str = "fail") -> DataFrame:
+    """L4: (path, content) of all files below ``folder``, ready for a scan."""
+    return decode_files(list_files(spark, folder), on_invalid)
 
 
 def config_from_corpus(
@@ -110,11 +114,9 @@ def rules_from_corpus(
     return parse_catalog(row["content"])
 
 
-def commit_id_file(spark: SparkSession, path: str) -> DataFrame:
-    """One commit id per line, kept as it is (only a CR before LF goes)."""
-    return spark.read.option("lineSep", "\n").text(path).select(
-        F.regexp_replace("value", "\r$", "").alias("commit")
-    )
+def commit_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a file, in the column ``value``."""
+    return spark.read.option("lineSep", "\n").text(path)
 
 
 def object_ids(commits: DataFrame, entries: DataFrame, blobs: DataFrame) -> DataFrame:

@@ -31,13 +31,11 @@ def listed(regexes, stopwords, target):
 
 
 def path_listed(path, paths):
-    for p in paths:
-        if p.startswith("(") and p.endswith("$"):
-            if re.search(p, path):
-                return True
-        elif path in paths:
-            return True
-    return False
+    """A pattern is searched; equality counts iff some entry is no pattern."""
+    patterns = {p for p in paths if p[:1] == "(" and p[-1:] == "$"}
+    equal = patterns != set(paths) and path in paths
+    # Python's $ also stands before a final line feed.
+    return equal or any(re.search(p.replace("$", r"\Z"), path) for p in patterns)
 
 
 def pruned(path, paths):
@@ -70,19 +68,22 @@ def scan(content, rules, path="", commit=""):
     return found
 
 
-def smallest(pattern):
-    """A short text that the pattern matches, from its parse tree."""
+def smallest(pattern, space=" "):
+    """A short text that the pattern matches, from its parse tree; ``space`` stands
+    where white space may."""
     from re import _constants as c
     from re import _parser
 
     def char(items):
+        if any(op is c.CATEGORY and v is c.CATEGORY_SPACE for op, v in items) and space != " ":
+            return space
         for op, v in items:
             if op is c.LITERAL:
                 return chr(v)
             if op is c.RANGE:
                 return chr(v[0])
             if op is c.CATEGORY:
-                return {c.CATEGORY_SPACE: " ", c.CATEGORY_DIGIT: "0"}.get(v, "a")
+                return {c.CATEGORY_SPACE: space, c.CATEGORY_DIGIT: "0"}.get(v, "a")
         return "a"
 
     def walk(items):

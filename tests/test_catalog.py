@@ -77,6 +77,22 @@ def test_stock():
 def test_stopword_file(tmp_path):
     (tmp_path / "w").write_text("one\n\ntwo\n")
     assert catalog.load_stopwords(str(tmp_path / "w")) == ("one", "two")
+    toml = "[[rules]]\nid='generic-api-key'\ndescription='d'\nregex='x'\nkeywords=[]\n"
+    (tmp_path / "c.toml").write_text(toml)
+    with pytest.raises(InvalidCatalog):
+        catalog.load_stopwords(str(tmp_path / "c.toml"))
+    (tmp_path / "c.toml").write_text(toml + "[rules.allowlist]\nstopwords=['b', 'a', 'b']\n")
+    words = catalog.load_stopwords(str(tmp_path / "c.toml"))
+    assert words == ("b", "a", "b")
+    generic = [r for r in stock_rules(words).rules if r.id == "generic-api-key"]
+    assert generic[0].allowlist.stopwords == words
+
+
+def test_path_rules_are_opt_in():
+    text = "[[rules]]\nid='e'\ndescription='d'\npath='x$'\n"
+    with pytest.raises(InvalidCatalog):
+        parse_catalog(text)
+    assert parse_catalog(text, path_rules=True).rules == (Rule("e", "d", None, path="x$"),)
 
 
 def test_table_round_trip(spark):
@@ -96,7 +112,9 @@ def test_extend(tmp_path):
     assert [r.description for r in rules.rules] == ["first", "second", "third"]
     assert rules.allowlist.paths == ("/p",)
     first.write_text("[extend]\nuseDefault=true\n" + head("jwt", "mine"))
-    rules = load_extended(str(first))
+    with pytest.raises(InvalidCatalog, match="default rules"):
+        load_extended(str(first))
+    rules = load_extended(str(first), stock_rules(()))
     assert len(rules.rules) == 149 and rules.rules[0].description == "mine"
 
 

@@ -85,28 +85,59 @@ def test_precedence(commits, refs):
     assert pick(commit="commit1", user=None) == ["1", "2", "3", "4", "5"]
 
 
-@pytest.mark.parametrize("seed,n,linear", [(1, 25, 0.8), (3, 30, 1.0)])
-def test_topological_positions(spark, seed, n, linear):
-    rng = random.Random(seed)
-    edges = set()
-    for i in range(1, n):  # commit i is older than all before it
-        edges.add((i - 1 if rng.random() < linear else rng.randrange(i), i))
-        if rng.random() > linear:
-            edges.add((rng.randrange(i), i))
-    level = [0] * n
-    for i in range(n):
-        level[i] = max([level[c] + 1 for c, p in edges if p == i], default=0)
+def test_id_range_in_each_repository(spark, commits):
+    mirror = commits.withColumn("repo", F.lit("m")).withColumn("pos", F.col("pos") + 100)
+    other = commits.filter("commit != 'commit4'").withColumn("repo", F.lit("o"))
+    both = commits.unionByName(mirror).unionByName(other)
+    got = C.in_id_range(both, "commit4", "commit2").collect()
+    assert sorted((r["repo"], r["commit"]) for r in got) == [
+        (repo, f"commit{i}") for repo in "mr" for i in (2, 3, 4)
+    ]
+    end = commits.agg(F.max("commit")).scalar()
+    assert ids(C.in_id_range(commits, end, "commit4")) == ["4", "5"]
+
+
+def _history(spark, n, edges, hours, repos=("r",)):
     commits = spark.createDataFrame(
-        [("r", f"{i:03}", DAY - dt.timedelta(hours=i)) for i in range(n)],
+        [(r, f"{i:05}", DAY - dt.timedelta(hours=hours(i))) for i in range(n) for r in repos],
         "repo string, commit string, commit_ts timestamp",
     )
     parents = spark.createDataFrame(
-        [(f"{c:03}", f"{p:03}") for c, p in edges], "commit string, parent string"
+        [(f"{c:05}", f"{p:05}") for c, p in edges], "commit string, parent string"
     )
-    rows = {r["commit"]: r for r in C.topological_positions(commits, parents).collect()}
-    assert [rows[f"{i:03}"]["level"] for i in range(n)] == level
-    assert sorted(r["pos"] for r in rows.values()) == list(range(n))
-    assert all(rows[f"{c:03}"]["pos"] < rows[f"{p:03}"]["pos"] for c, p in edges)
+    rows = C.topological_positions(commits, parents).collect()
+    assert len(rows) == n * len(repos)
+    for repo in repos:
+        pos = {int(r["commit"]): r["pos"] for r in rows if r["repo"] == repo}
+        assert sorted(pos.values()) == list(range(n))
+        assert all(pos[c] < pos[p] for c, p in edges)
+    return pos
+
+
+@pytest.mark.parametrize("seed,skew", [(1, 0), (2, 4), (3, 1000)])
+def test_topological_positions(spark, seed, skew):
+    rng = random.Random(seed)
+    n, edges = 40, set()
+    for i in range(1, n):  # commit i is older than all before it, if clocks are right
+        edges.add((i - 1 if rng.random() < 0.7 else rng.randrange(i), i))
+        if rng.random() < 0.3:
+            edges.add((rng.randrange(i), i))
+    wrong = [rng.randint(-skew, skew) for _ in range(n)]
+    pos = _history(spark, n, edges, lambda i: i + wrong[i], repos=("a", "b", "c"))
+    if not skew:
+        assert [pos[i] for i in range(n)] == list(range(n))
+
+
+def test_topological_rounds_do_not_grow_with_the_history(spark, monkeypatch):
+    calls = []
+    real = C.reliable
+    monkeypatch.setattr(C, "reliable", lambda df: calls.append(1) or real(df))
+    # A main line with 2,000 merges of one commit each; two clocks were wrong.
+    n, edges = 4001, set()
+    for i in range(0, 4000, 2):
+        edges |= {(i, i + 1), (i, i + 2), (i + 1, i + 2)}
+    pos = _history(spark, n, edges, lambda i: i - (7 if i in (100, 3000) else 0))
+    assert pos[0] == 0 and len(calls) <= 12
 
 
 def test_time_range_is_pushed_to_the_scan(spark, commits, tmp_path):

@@ -40,6 +40,13 @@ def test_working_tree_with_bad_bytes(spark, tmp_path):
     assert files.filter("path = 'bad'").first()["content"] == "key9�"
 
 
+def test_decode_files(spark):
+    rows = [("/a", "é".encode()), ("/b", b"\xe9x"), ("/c", b"")]
+    files = spark.createDataFrame([(p, bytearray(b)) for p, b in rows], "path string, content binary")
+    got = {r["path"]: (r["content"], r["valid"]) for r in corpus.decode_files(files, "flag").collect()}
+    assert got == {"/a": ("é", True), "/b": ("\ufffdx", False), "/c": ("", True)}
+
+
 def test_config_from_corpus(spark):
     commits = spark.createDataFrame([("r", f"c{i}", i) for i in range(4)], "repo string, commit string, pos long")
     entries = spark.createDataFrame(

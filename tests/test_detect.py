@@ -136,7 +136,7 @@ def test_unicode_texts_against_brute_force(spark):
 
 
 def test_every_stock_rule_finds_its_own_line(spark):
-    rules = stock_rules().without_rule_allowlists()
+    rules = stock_rules(()).without_rule_allowlists()
     assert len(rules.rules) == 149
     texts = []
     for i, r in enumerate(rules.rules):
@@ -152,13 +152,73 @@ def test_every_stock_rule_finds_its_own_line(spark):
     assert {int(p[1:]) for p, pos, *_ in got if p == f"/{pos}"} == set(range(149))
 
 
-def test_slices_cover_all_rules(spark, monkeypatch):
-    rules = stock_rules().without_rule_allowlists()
-    text = "\n".join(brute.smallest(r.regex) + " " + " ".join(r.keywords) for r in rules.rules)
-    whole = sorted(triples(spark, text, rules))
-    monkeypatch.setattr(D, "MAX_RULES_PER_PLAN", 60)
-    assert len(rules.slices(60, 10**9)) == 3
-    assert sorted(triples(spark, text, rules)) == whole
+def _filled(pattern, space):
+    """Lines that the pattern matches, with ``space`` wherever it allows white space."""
+    plain = brute.smallest(pattern)
+    wide = brute.smallest(pattern, space)
+    return {plain, wide, wide.replace("k", "\u212a").replace("s", "\u017f")}
+
+
+def test_both_prefilters_give_the_same_rows(spark):
+    """149 rules, each control and space character at every place of white space, and
+    letters beyond ASCII that fold to ASCII ones or do not."""
+    rules = stock_rules(()).without_rule_allowlists()
+    spaces = [chr(c) for c in (9, 11, 12, 13, 28, 31, 32, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x3000)]
+    texts = []
+    for i, r in enumerate(rules.rules):
+        for space in spaces:
+            for j, line in enumerate(sorted(_filled(r.regex, space))):
+                texts.append((f"/{i}/{ord(space)}/{j}", f"{line}\n{' '.join(r.keywords)}\n"))
+        dotless = brute.smallest(r.regex).replace("i", "\u0131").replace("I", "\u0130")
+        texts.append((f"/{i}/dotless", f"{dotless}\n{' '.join(r.keywords)}\n"))
+    files = spark.createDataFrame(texts, "path string, content string").repartition(16)
+
+    def rows(how):
+        found = match_rules(files, rules, options=DetectOptions(prefilter=how))
+        shown = found.select("path", "rule_pos", "line_number", "match").collect()
+        return {tuple(r) for r in shown}
+
+    fast, slow = rows("automaton"), rows("search")
+    assert fast == slow
+    tabs = {p for p, pos, *_ in fast if p.split("/")[2] == "11" and p.startswith(f"/{pos}/")}
+    assert len({p.split("/")[1] for p in tabs}) == 149
+
+
+@pytest.mark.parametrize("how", ["automaton", "search"])
+def test_folding_is_simple_case_folding(spark, how):
+    rules = RuleSet((Rule("a", "A", r"(?i)kis=\d", ("=",)), Rule("b", "B", r"(?i)[^k]i[a-z]=", ("=",))))
+    texts = ["kis=1", "KIS=1", "\u212ai\u017f=1", "k\u0131s=1", "K\u0130S=1", "xi\u017f=", "\u212ais="]
+    files = spark.createDataFrame([(t, t) for t in texts], "path string, content string")
+    found = match_rules(files, rules, options=DetectOptions(prefilter=how))
+    got = sorted((r["path"], r["rule_pos"]) for r in found.collect())
+    assert got == sorted(
+        [("kis=1", 0), ("KIS=1", 0), ("\u212ai\u017f=1", 0), ("xi\u017f=", 1)]
+    )
+
+
+def test_stopwords_of_the_generic_rule(spark):
+    lines = ['api_key = "fewfwef12345abcdefgh"', 'secret = "sha256-0123abcdefghij"']
+    files = spark.createDataFrame([(l, l) for l in lines], "path string, content string")
+    with pytest.raises(TypeError):
+        stock_rules()
+    for words, left in (((), lines), (("fwef1",), lines[1:]), (("SHA256", "few"), lines[1:])):
+        got = scan_files(files, stock_rules(words)).collect()
+        assert sorted(r["file"] for r in got) == sorted(left)
+
+
+def test_path_only_rules(spark):
+    rules = RuleSet(
+        (Rule("env", "Env file", None, path=r"/\.env$", allowlist=Allowlist(paths=("/x/.env",))), DIGITS)
+    )
+    files = spark.createDataFrame(
+        [("/a/.env", "1"), ("/x/.env", ""), ("/a/.env\n", ""), ("/a/.envx", "")],
+        "path string, content string",
+    )
+    assert {r["rule"] for r in scan_files(files, rules).collect()} == {"Digits"}
+    got = scan_files(files, rules, DetectOptions(rule_paths=True)).collect()
+    assert sorted((r["file"], r["rule"], r["line_number"], r["offender"]) for r in got) == [
+        ("/a/.env", "Digits", 1, "1"), ("/a/.env", "Env file", 0, "/a/.env"),
+    ]
 
 
 def test_anti_set(spark):
@@ -187,7 +247,7 @@ def test_options(spark):
 def test_scan_needs_no_shuffle_and_no_broadcast(spark, tmp_path):
     path = str(tmp_path / "files")
     spark.createDataFrame([("/a", "x", "y")], "path string, content string, other string").write.parquet(path)
-    df = scan_files(spark.read.parquet(path), stock_rules())
+    df = scan_files(spark.read.parquet(path), stock_rules(("sample",)))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Broadcast" not in plan
     assert "other" not in plan.split("ReadSchema")[-1]

@@ -77,6 +77,21 @@ def test_spread(spark, tmp_path):
     assert layout.spread(many, "id") is many
 
 
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    class Context:
+        master = "spark://host"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        layout.shared_folder(Session)
+    Session.conf = {"spark.checkpoint.dir": "hdfs://x/y"}
+    assert layout.shared_folder(Session) == "hdfs://x/y"
+
+
 def test_checkpoint_folder_of_the_cluster_wins(spark):
     layout.reliable(spark.range(3))
     assert spark.sparkContext.getCheckpointDir().startswith("file:")

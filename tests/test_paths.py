@@ -13,7 +13,7 @@ def kept(spark, paths, entries):
 def test_stock_paths(spark):
     paths = ["/node_modules/a/b.js", "/x/node_modules/y.js", "/foo/bin/z.rs", "/a/pic.jpg", "/ok.rs",
              "/vendored/x", "/README.md", "/a/README.md", "/docs/a.rs", "/doc/a.rs"]
-    stock = stock_rules().allowlist.paths
+    stock = stock_rules(()).allowlist.paths
     want = {p for p in paths if not brute.pruned(p, stock)}
     assert kept(spark, paths, stock) == want
     assert want == {"/x/node_modules/y.js", "/ok.rs", "/vendored/x", "/a/README.md", "/docs/a.rs"}
@@ -26,13 +26,14 @@ def test_random_paths_against_brute_force(spark):
     for entries in (
         ["(.*?)(jpg|bin)$", "/a"], ["(a/b.*)$"], ["/a/bin"], [r"(\bdoc\b)$"], ["(^)$"],
         ["(^/a$|doc)$"], ["(?i)(BIN)$"], ["((?i)BIN)$", "(doc)$"], [], ["(a|$|x)$"],
+        ["(a)|(bin)$"], ["(a)|b.jpg$", "/doc"], ["(?P<n>doc)$", "(?P<n>bin)$"], ["([[:alpha:]]/a)$"],
     ):
         want = {p for p in paths if not _pruned(p, entries)}
         assert kept(spark, paths, entries) == want, entries
 
 
 def _pruned(path, entries):
-    fixed = [e.replace("((?i)BIN)", "([bB][iI][nN])") for e in entries]
+    fixed = [e.replace("((?i)BIN)", "([bB][iI][nN])").replace("[[:alpha:]]", "[A-Za-z]") for e in entries]
     return brute.pruned(path, fixed)
 
 

@@ -5,8 +5,9 @@ import json
 import pytest
 
 from leaksieve.plans import report
-from leaksieve.schema import LEAK_COLUMNS, LEAKS
+from leaksieve.schema import LEAK_COLUMNS
 
+SCHEMA = ", ".join(f"{c} {'int' if c == 'line_number' else 'string'}" for c in LEAK_COLUMNS)
 LEAK = (
     "Sensitive information", 42, "John Doe", "abcd1234", "my-repo", "password_leak", "A \"quoted\", message",
     "ann", "ann@example.com", "path/to/file.txt", "2023-05-30",
@@ -16,7 +17,7 @@ SECOND = ("s = 'ü'\t", 1, "ü", "", "", "r", "", "", "", "/f", "")
 
 @pytest.fixture(scope="module")
 def leaks(spark):
-    return spark.createDataFrame([LEAK, SECOND, LEAK], LEAKS).repartition(3)
+    return spark.createDataFrame([LEAK, SECOND, LEAK], SCHEMA).repartition(3)
 
 
 def document(path):
@@ -54,6 +55,27 @@ def test_csv(leaks, tmp_path):
     assert sorted(rows[1:]) == sorted([list(map(str, LEAK))] * 2 + [list(map(str, SECOND))])
 
 
+def test_csv_lines(spark):
+    odd = [('a"b', 1, "x,y", "l\r\nm", "", None, " s ", "", "", "", "é"), LEAK]
+    got = report.csv_lines(spark.createDataFrame(odd, SCHEMA)).collect()
+    text = "\r\n".join(r["csv"] for r in got)
+    rows = list(csv.reader(text.splitlines(keepends=True)))
+    assert sorted(rows) == sorted([["" if v is None else str(v) for v in row] for row in odd])
+
+
+def test_documents_run_their_leaks_once(spark, leaks, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for r in rows:
+            runs.add(1)
+            yield r
+
+    once = spark.createDataFrame(leaks.rdd.mapPartitions(count), leaks.schema)
+    report.write_json_document(once, str(tmp_path / "a"))
+    assert runs.value == 3 and len(json.loads(document(tmp_path / "a"))) == 3
+
+
 def test_sarif(leaks, tmp_path):
     report.write_sarif(leaks, str(tmp_path / "a"), "tool", "v9")
     doc = json.loads(document(tmp_path / "a"))

@@ -2,7 +2,9 @@ import datetime as dt
 
 import pytest
 
-from leaksieve import Allowlist, Rule, RuleSet, Selection, scan, scan_history, summary
+from leaksieve import (
+    Allowlist, Rule, RuleSet, Selection, scan, scan_history, stock_rules, summary,
+)
 from leaksieve.schema import LEAK_COLUMNS
 from leaksieve.sources import corpus
 
@@ -92,18 +94,22 @@ def test_uncommitted(spark, history):
     assert summary(leaks, chosen).first() == (1, 0)
 
 
-def test_texts_without_keyword_never_move(spark, history, tmp_path):
+@pytest.mark.parametrize("rules", [RULES, stock_rules(())])
+def test_blobs_are_selected_before_they_are_searched(spark, history, tmp_path, rules):
     commits, entries, _, _ = history
     path = str(tmp_path / "blobs")
     spark.createDataFrame([("b1", "x")], "blob_id string, content string").write.parquet(path)
-    leaks = scan_history(commits, entries, spark.read.parquet(path), RULES, narrowed=True)
+    leaks = scan_history(commits, entries, spark.read.parquet(path), rules, narrowed=True)
     plan = leaks._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    # From the blob scan upwards: texts that call no rule are gone below the first join.
-    scan = next(i for i, l in enumerate(plan) if "blob_id" in l and "content" in l and "Relation" in l)
+    # From the blob scan upwards: the semi-join with the wanted ids, then the keywords.
+    scan = next(i for i, l in enumerate(plan) if "content" in l and "Relation" in l)
     above = list(reversed(plan[:scan]))
-    dropped = next(i for i, l in enumerate(above) if "Filter isnotnull(rules_called" in l)
-    joined = next(i for i, l in enumerate(above) if "Join" in l)
-    assert dropped < joined
+    searched = next(i for i, l in enumerate(above) if "rules_called" in l or "Python" in l)
+    joined = next(i for i, l in enumerate(above) if "Join LeftSemi" in l)
+    assert joined < searched
+    physical = leaks._jdf.queryExecution().executedPlan().toString()
+    semi = next(l for l in physical.splitlines() if "LeftSemi" in l and "commit" not in l)
+    assert "BroadcastHashJoin" in semi  # few ids: no text moves
 
 
 def test_snapshot_and_objects(history):

@@ -66,11 +66,11 @@ def test_supported(pattern):
 
 
 def test_any(spark):
-    pats = F.lit([text.java_pattern(p) for p in ("^hello", "world$")])
+    pats = ("^hello", "world$")
+    assert one(spark, "world\n", text.matches_any(F.col("s"), pats)) is False
     assert one(spark, "hello, world!", text.matches_any(F.col("s"), pats)) is True
     assert one(spark, "goodbye", text.matches_any(F.col("s"), pats)) is False
-    none = F.lit([]).cast("array<string>")
-    assert one(spark, "x", text.matches_any(F.col("s"), none)) is False
+    assert one(spark, "x", text.matches_any(F.col("s"), ())) is False
     fruit = F.lit(["apple", "banana", "orange"])
     assert one(spark, "I like to eat bananas", text.contains_any(F.col("s"), fruit)) is True
     assert one(spark, "I like to eat grapes", text.contains_any(F.col("s"), fruit)) is False
@@ -105,6 +105,8 @@ def test_repo_names(spark):
     assert one(spark, "/a/b/repo.git/", text.repo_dir_name("s")) == "repo"
     assert one(spark, "/a/b/repo", text.repo_dir_name("s")) == "repo"
     assert one(spark, "", text.repo_dir_name("s")) == ""
+    assert one(spark, "https://x/a.git\n", text.repo_name_from_url("s")) is None
+    assert one(spark, "/a/b.git\n", text.repo_dir_name("s")) == "b.git\n"
 
 
 def test_lossy_utf8(spark):
@@ -116,10 +118,11 @@ def test_lossy_utf8(spark):
     "pattern,plain,wide",
     [
         ("abc", "(?m)abc", "(?m)abc"),
-        (r"a\sb", r"(?m)a\sb", r"(?m)a[\s\x{80}-\x{10FFFF}]b"),
-        (r"[\s|']\b", r"(?m)[\s|']\b", r"(?m)[\s|'\x{80}-\x{10FFFF}](?:)"),
+        (r"a\sb", r"(?m)a[\s\x0B]b", r"(?m)a[\s\x0B\x{80}-\x{10FFFF}]b"),
+        (r"[\s|']\b", r"(?m)[\s|'\x0B]\b", r"(?m)[\s|'\x0B\x{80}-\x{10FFFF}](?:)"),
         (r"[^\s]", r"(?m)[^\s]", r"(?m)[^\s]"),
-        (r"[^\S]", r"(?m)[^\S]", None),
+        (r"[^\S]", None, None),
+        (r"[^\W]", r"(?m)[^\W]", None),
         (r"[]\d]", r"(?m)[]\d]", r"(?m)[]\d\x{80}-\x{10FFFF}]"),
         (r"\[\d]", r"(?m)\[\d]", r"(?m)\[[\d\x{80}-\x{10FFFF}]]"),
         (r"[a[b]]", None, None),
@@ -141,7 +144,7 @@ def test_every_stock_pattern_can_be_screened():
     from leaksieve import stock_rules
     from tests.brute import smallest
 
-    for rule in stock_rules().rules:
+    for rule in stock_rules(()).rules:
         line = pa.array([smallest(rule.regex), "\u00e9 " + smallest(rule.regex)])
         for pattern in text.screen_patterns(rule.regex):
             assert pattern is not None, rule.id

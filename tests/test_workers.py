@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from leaksieve import scan_files, stock_rules
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
 files = spark.createDataFrame([("/a", "shpat_" + "a" * 32)], "path string, content string")
-print("leaks:", scan_files(files, stock_rules()).count())
+print("leaks:", scan_files(files, stock_rules(())).count())
 """
 
 

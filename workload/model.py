@@ -141,6 +141,51 @@ parents AS (SELECT md5(CAST(event_id AS VARCHAR)) AS commit, md5(CAST(up AS VARC
   WHERE up <= (SELECT max(event_id) FROM events))"""
 
 
+def history(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(commits, parents): one long line with merges and forks, shared by two
+    repositories. Commit e has the parent e-1, and every fifth e-7 as well."""
+    commits_ = commits(spark, sf)
+    shared = commits_.withColumn("repo", F.explode(F.array(F.lit("fork"), F.lit("main"))))
+    up = F.when(F.col("event_id") % 5 == 0, F.array(F.lit(1), F.lit(7))).otherwise(F.array(F.lit(1)))
+    parents_ = (
+        table(spark, sf, "events")
+        .select("event_id", F.explode(up).alias("back"))
+        .withColumn("up", F.col("event_id") - F.col("back"))
+        .select(
+            F.md5(F.col("event_id").cast("string")).alias("commit"),
+            F.md5(F.col("up").cast("string")).alias("parent"),
+        )
+    )
+    return shared, parents_
+
+
+def encoded_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as files of bytes: every third in Latin-1, the others in UTF-8."""
+    text = F.col("content")
+    latin = F.encode(F.regexp_replace(text, r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    docs = table(spark, sf, "documents").select(
+        "doc_id", F.expr(_PATH).alias("path"), F.col("text").alias("content")
+    )
+    return docs.select(
+        "path", F.when(F.col("doc_id") % 3 == 0, latin).otherwise(F.encode(text, "UTF-8")).alias("content")
+    )
+
+
+DECODED = f"""
+decoded AS (SELECT {_PATH} AS path,
+  CASE WHEN doc_id % 3 = 0 THEN regexp_replace(regexp_replace(text, '[^\\x00-\\x{{FF}}]', '?', 'g'),
+    '[^\\x00-\\x7F]', chr(65533), 'g') ELSE text END AS content,
+  doc_id % 3 <> 0 OR NOT regexp_matches(text, '[\\x{{80}}-\\x{{FF}}]') AS valid FROM documents)"""
+
+
+_ALLOW = (
+    "CASE WHEN c_custkey % 3 = 0 THEN named_struct('paths', array(concat('/', c_name), '(doc)$'),"
+    " 'commits', array(concat('c', c_nationkey)), 'regex_target', 'line',"
+    " 'regexes', array('^x', concat('c', c_nationkey)),"
+    " 'stopwords', array(c_mktsegment)) END"
+)
+
+
 def rules(spark: SparkSession, sf: str) -> DataFrame:
     """A rules table that grows: one rule per customer, ids repeated by segment."""
     return table(spark, sf, "customer").selectExpr(
@@ -149,15 +194,24 @@ def rules(spark: SparkSession, sf: str) -> DataFrame:
         "c_name AS description",
         "c_name AS regex",
         "array(c_name) AS keywords",
-        "CAST(NULL AS STRUCT<paths: ARRAY<STRING>, commits: ARRAY<STRING>, regex_target: STRING,"
-        " regexes: ARRAY<STRING>, stopwords: ARRAY<STRING>>) AS allowlist",
-        "CAST(NULL AS INT) AS secret_group",
-        "CAST(NULL AS DOUBLE) AS entropy",
-        "CAST(NULL AS STRING) AS path",
-        "array(c_mktsegment) AS tags",
+        f"{_ALLOW} AS allowlist",
+        "CASE WHEN c_custkey % 4 = 0 THEN 1 END AS secret_group",
+        "CASE WHEN c_custkey % 5 = 0 THEN 3.5D END AS entropy",
+        "CASE WHEN c_custkey % 7 = 0 THEN concat(c_name, '$') END AS path",
+        "array(c_mktsegment, 't') AS tags",
     )
 
 
+# All ten columns, lists joined and the allowlist taken apart.
 RULES = """
 rules AS (SELECT CAST(c_custkey AS INTEGER) AS pos, c_mktsegment AS id, c_name AS description,
-  c_name AS regex, c_name AS keywords FROM customer)"""
+  c_name AS regex, c_name AS keywords, c_custkey % 3 = 0 AS has_allowlist,
+  CASE WHEN c_custkey % 3 = 0 THEN concat('/', c_name, ',(doc)$') END AS allow_paths,
+  CASE WHEN c_custkey % 3 = 0 THEN concat('c', c_nationkey) END AS allow_commits,
+  CASE WHEN c_custkey % 3 = 0 THEN 'line' END AS allow_target,
+  CASE WHEN c_custkey % 3 = 0 THEN concat('^x,c', c_nationkey) END AS allow_regexes,
+  CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS allow_stopwords,
+  CAST(CASE WHEN c_custkey % 4 = 0 THEN 1 END AS INTEGER) AS secret_group,
+  CAST(CASE WHEN c_custkey % 5 = 0 THEN 3.5 END AS DOUBLE) AS entropy,
+  CASE WHEN c_custkey % 7 = 0 THEN concat(c_name, '$') END AS path,
+  concat(c_mktsegment, ',t') AS tags FROM customer)"""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from leaksieve.operators import paths as P
 from leaksieve.operators import rules as R
 from leaksieve.plans import report
 from leaksieve.plans.scan import Selection, scan, scan_files, scan_history, select_commits, summary
+from leaksieve.schema import LEAK_COLUMNS
 from leaksieve.sources import corpus
 from leaksieve.sources.catalog import Allowlist, Rule, RuleSet, stock_rules
 from workload import model as M
@@ -57,7 +57,9 @@ TOKEN = Rule(
     "token", "Token", r"""token = "([0-9a-f]{40})\"""", ("token",), secret_group=1, entropy=3.7
 )
 USER = RuleSet((EMAIL, IPV4, CARD, LICENCE, TOKEN))
-STOCK = stock_rules()
+# The generic rule's stopwords are a parameter; these are for the queries.
+STOPWORDS = ("sample", "dummy", "ff0", "example", "changeme")
+STOCK = stock_rules(STOPWORDS)
 STOCK_OPEN = STOCK.without_rule_allowlists()
 STOCK_OWN_STOPWORDS = STOCK.with_stopwords("generic-api-key", ["ff", "00"])
 HISTORY_ALLOW = Allowlist(
@@ -106,6 +108,69 @@ for _name, _rules in {
     query(_file_scan_sql(_rules), _name)(_file_scan(_rules))
 
 
+# Each text gets an assignment that the generic rule finds; in every other one the value
+# holds a stopword.
+_WORDS = ("sample", "Sample", "changeme", "example", "dummi", "wxyz")
+_ASSIGNED = """
+files AS (SELECT concat('/', doc_id) AS path, concat(text, chr(10), 'api_key = "',
+  (%s)[1 + doc_id %% %d], substr(md5(CAST(doc_id AS VARCHAR)), 1, 20), '"') AS content
+  FROM documents)""" % ("[" + ", ".join(map(quote, _WORDS)) + "]", len(_WORDS))
+
+
+@query(with_(_ASSIGNED, matches_ctes(STOCK)) + file_leaks())
+def scan_stock_stopwords(spark, sf):
+    word = F.get(F.array(*map(F.lit, _WORDS)), (F.col("doc_id") % len(_WORDS)).cast("int"))
+    value = F.concat(word, F.left(F.md5(F.col("doc_id").cast("string")), F.lit(20)))
+    files = M.table(spark, sf, "documents").select(
+        F.concat(F.lit("/"), "doc_id").alias("path"),
+        F.concat("text", F.lit('\napi_key = "'), value, F.lit('"')).alias("content"),
+    )
+    return scan_files(files, STOCK)
+
+
+# Twelve keywords call the automaton, one searches; both must give these rows. The
+# separators are those on which engines differ; RE2 classes name them all here.
+_SPACED = Rule("spaced", "Spaced", r"(?i)marks[\s|']{0,2}=[0-9]{3}", ("marks", "mark\u017f", "MARKS", "mar"))
+SPACED = RuleSet((_SPACED, *(Rule(f"r{i}", f"R{i}", f"zq{i}x", (f"zq{i}",)) for i in range(12))))
+_SEPARATORS = (" ", "\t", "\x0b", "\x0c", "\u00a0", "\u2003", "x", "'")
+_MARKS = ("marks", "MARKS", "mar\u212as", "mark\u017f", "mar\u0131ks")
+_SPACED_FILES = """
+spaced AS (SELECT concat('/', doc_id) AS path, concat(left(text, 50), chr(10),
+  (%s)[1 + doc_id %% %d], (%s)[1 + doc_id // 5 %% %d], '=', 100 + doc_id %% 900, chr(10)) AS content
+  FROM documents)""" % (
+    "[" + ", ".join(map(quote, _MARKS)) + "]", len(_MARKS),
+    "[" + ", ".join(map(quote, _SEPARATORS)) + "]", len(_SEPARATORS),
+)
+_SPACED_MATCH = r"(?i)marks[\t\n\x0b\f\r \x{85}\x{a0}\x{2003}|']{0,2}=[0-9]{3}"
+
+
+@query(
+    with_(_SPACED_FILES)
+    + f"""SELECT mode, path, regexp_extract(content, {quote(_SPACED_MATCH)}) AS match
+FROM spaced, (VALUES ('automaton'), ('search')) m(mode)
+WHERE regexp_matches(content, {quote(_SPACED_MATCH)})
+  AND regexp_matches(content, 'mar|MARKS|mark\u017f')"""
+)
+def prefilter_modes_agree(spark, sf):
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    doc = F.col("doc_id")
+    content = F.concat(
+        F.left("text", F.lit(50)), F.lit("\n"), pick(_MARKS, doc % len(_MARKS)),
+        pick(_SEPARATORS, F.floor(doc / 5) % len(_SEPARATORS)), F.lit("="),
+        (doc % 900 + 100).cast("string"), F.lit("\n"),
+    )
+    files = M.table(spark, sf, "documents").select(
+        F.concat(F.lit("/"), "doc_id").alias("path"), content.alias("content")
+    )
+    found = [
+        D.match_rules(files, SPACED, options=D.DetectOptions(prefilter=mode))
+        .filter("rule_pos = 0")
+        .select(F.lit(mode).alias("mode"), "path", "match")
+        for mode in ("automaton", "search")
+    ]
+    return found[0].unionByName(found[1])
+
+
 @query(
     with_(
         """
@@ -215,9 +280,8 @@ ANY = ("^The ", "[0-9]{16}", "(?i)licen[cs]e")
 FROM documents"""
 )
 def any_regex_match(spark, sf):
-    patterns = F.lit([text.java_pattern(p) for p in ANY])
     return M.table(spark, sf, "documents").select(
-        "doc_id", text.matches_any(F.col("text"), patterns).alias("matched")
+        "doc_id", text.matches_any(F.col("text"), ANY).alias("matched")
     )
 
 
@@ -253,6 +317,32 @@ def allow_rule_path(spark, sf):
     return scan_files(M.files(spark, sf), RULE_PATH)
 
 
+# Patterns with a top-level branch, a named group and a bracketed class.
+PATTERNS = ("(/src1)|(jpg)$", "(?P<part>/src2/[[:alpha:]]{2})$", "(/src[[:digit:]])$", "/src15")
+_PATTERN_TESTS = " OR ".join(f"regexp_matches(p, {quote(e)})" for e in PATTERNS[:3])
+RULE_PATTERNS = _with_rule(LICENCE, paths=PATTERNS)
+
+
+@query(
+    with_(M.FILES)
+    + f"""SELECT path, bool_or({_PATTERN_TESTS} OR p = '/src15') AS pruned FROM (
+  SELECT path, array_to_string(parts[1:i], '/') AS p FROM (
+    SELECT path, parts, unnest(range(2, len(parts) + 1)) AS i
+    FROM (SELECT path, string_split(path, '/') AS parts FROM files))) GROUP BY path"""
+)
+def prune_path_patterns(spark, sf):
+    return M.files(spark, sf).select("path", P.path_pruned("path", PATTERNS).alias("pruned"))
+
+
+@query(
+    with_(M.FILES, matches_ctes(RULE_PATTERNS))
+    + file_leaks()
+    + f" WHERE NOT (m.rule_pos = 3 AND ({_PATTERN_TESTS.replace('(p,', '(m.path,')}))"
+)
+def allow_rule_path_patterns(spark, sf):
+    return scan_files(M.files(spark, sf), RULE_PATTERNS)
+
+
 # md5 of event ids; the derived commits carry such ids.
 _LISTED_COMMITS = (
     "c4ca4238a0b923820dcc509a6f75849b",
@@ -268,9 +358,10 @@ pruned AS (SELECT DISTINCT path FROM (
     SELECT path, array_to_string(parts[1:i], '/') AS p FROM (
       SELECT path, parts, unnest(range(2, len(parts) + 1)) AS i
       FROM (SELECT DISTINCT path, string_split(path, '/') AS parts FROM files)))
-  WHERE regexp_matches(p, '(.*?)(jpg|gif|doc|docx|zip|xls|pdf|bin|svg|socket)$')
-    OR p IN ('/src3/de', '/src5', '/node_modules', '/vendor', '/README.md')
-    OR regexp_matches(path, '(^|/)\\.'))"""
+  WHERE %s OR regexp_matches(path, '(^|/)\\.'))""" % " OR ".join(
+    f"regexp_matches(p, {quote(e)})" if e.startswith("(") else f"p = {quote(e)}"
+    for e in HISTORY_ALLOW.paths
+)
 _PRUNED_SQL = "path IN (SELECT path FROM pruned)"
 KEPT = f"""{PRUNED},
 kept AS (SELECT * FROM entries WHERE NOT {_PRUNED_SQL})"""
@@ -424,32 +515,40 @@ def commit_list(spark, sf):
 
 @query(with_(M.COMMITS, M.REFS, _LISTED_SQL) + _JOINED + "ids i JOIN commits c USING (commit)")
 def commit_file(spark, sf):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.sql.warehouse.dir"
+    """The lines of an id file, with the CR that some of them end with."""
+    lines = _listed_ids(spark, sf).select(
+        F.when(F.col("commit") < "8", F.concat("commit", F.lit("\r"))).otherwise(F.col("commit")).alias("value")
     )
-    path = f"{base}/commit_ids_{uuid4().hex}"
-    _listed_ids(spark, sf).write.text(path)
-    return C.from_file(M.commits(spark, sf), path).select(*_COLUMNS)
+    return C.listed(M.commits(spark, sf), C.ids_of_lines(lines)).select(*_COLUMNS)
 
 
+# A mirror shares the commits of one repository and counts from another place.
 _RANGE_SQL = """
-ends AS (SELECT max(CASE WHEN user_id = 3 THEN event_id END) AS newer,
-  min(CASE WHEN user_id = 5 THEN event_id END) AS older FROM events WHERE event_type = 'click')"""
+ends AS (SELECT md5(CAST(max(CASE WHEN user_id = 3 THEN event_id END) AS VARCHAR)) AS newer,
+  md5(CAST(min(CASE WHEN user_id = 5 THEN event_id END) AS VARCHAR)) AS older
+  FROM events WHERE event_type = 'click'),
+stored AS (SELECT * FROM commits UNION ALL
+  SELECT * REPLACE ('mirror' AS repo, pos + 1000 AS pos) FROM commits WHERE repo = 'click')"""
 
 
 @query(
     with_(M.COMMITS, _RANGE_SQL)
-    + f"""SELECT {_FIELDS} FROM commits WHERE repo = 'click' AND pos BETWEEN
-  (SELECT max(pos) FROM commits WHERE commit = md5(CAST((SELECT newer FROM ends) AS VARCHAR))) AND
-  (SELECT max(pos) FROM commits WHERE commit = md5(CAST((SELECT older FROM ends) AS VARCHAR)))"""
+    + f"""SELECT {', '.join('c.' + c for c in _COLUMNS)} FROM stored c
+JOIN stored a ON a.repo = c.repo AND a.commit = (SELECT newer FROM ends)
+JOIN stored b ON b.repo = c.repo AND b.commit = (SELECT older FROM ends)
+WHERE c.pos BETWEEN a.pos AND b.pos"""
 )
 def commit_id_range(spark, sf):
     e = M.table(spark, sf, "events").filter("event_type = 'click'")
-    newer, older = e.agg(
-        F.md5(F.max(F.when(F.col("user_id") == 3, F.col("event_id"))).cast("string")),
-        F.md5(F.min(F.when(F.col("user_id") == 5, F.col("event_id"))).cast("string")),
-    ).first()
-    return C.in_id_range(M.commits(spark, sf), newer, older).select(*_COLUMNS)
+    end = lambda pick, user: e.agg(
+        F.md5(pick(F.when(F.col("user_id") == user, F.col("event_id"))).cast("string"))
+    ).scalar()
+    commits = M.commits(spark, sf)
+    mirror = commits.filter("repo = 'click'").withColumns(
+        {"repo": F.lit("mirror"), "pos": F.col("pos") + 1000}
+    )
+    both = commits.unionByName(mirror)
+    return C.in_id_range(both, end(F.max, 3), end(F.min, 5)).select(*_COLUMNS)
 
 
 @query(
@@ -468,15 +567,28 @@ way(commit, level) AS (SELECT commit, CAST(0 AS BIGINT) FROM commits
     WHERE commit NOT IN (SELECT parent FROM parents)
   UNION SELECT p.parent, w.level + 1 FROM way w JOIN parents p ON p.commit = w.commit),
 levels AS (SELECT commit, max(level) AS level FROM way GROUP BY commit)
-SELECT 'all' AS repo, l.commit, l.level,
+SELECT 'all' AS repo, l.commit,
   row_number() OVER (ORDER BY l.level, c.commit_ts DESC, l.commit) - 1 AS pos
 FROM levels l JOIN commits c ON c.commit = l.commit"""
 )
 def commit_topological_pos(spark, sf):
+    """Every parent is newer than its child here, so the places follow the levels."""
     one = M.commits(spark, sf).withColumn("repo", F.lit("all"))
     return C.topological_positions(one, M.parents(spark, sf))
 
 
+@query(
+    with_(M.COMMITS)
+    + """SELECT repo, commit, row_number() OVER (PARTITION BY repo
+  ORDER BY commit_ts DESC, place) - 1 AS pos
+FROM (SELECT commit, commit_ts, pos AS place, unnest(['fork', 'main']) AS repo FROM commits)"""
+)
+def commit_topological_history(spark, sf):
+    """A long line with merges, shared by two repositories; clocks are right but for
+    commits of one second, which follow each other."""
+    return C.topological_positions(*M.history(spark, sf))
+
+
 # ----------------------------------------------------------- sources
 
 
@@ -521,10 +633,22 @@ def object_ids(spark, sf):
     return corpus.object_ids(M.commits(spark, sf), M.entries(spark, sf), M.blobs(spark, sf))
 
 
-@query()
+@query(
+    with_(M.DECODED)
+    + "SELECT path, valid, CAST(length(content) AS INTEGER) AS n_chars, md5(content) AS content_md5"
+    " FROM decoded"
+)
 def working_tree(spark, sf):
-    """The table files themselves as a working tree (they are not UTF-8)."""
-    return corpus.working_tree(spark, sf, on_invalid="flag").select("path", "valid")
+    files = corpus.decode_files(M.encoded_files(spark, sf), on_invalid="flag")
+    return files.select(
+        "path", "valid", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5")
+    )
+
+
+@query(with_(M.DECODED, matches_ctes(USER, "decoded")) + file_leaks())
+def working_tree_scan(spark, sf):
+    files = corpus.decode_files(M.encoded_files(spark, sf), on_invalid="replace")
+    return scan_files(files, USER)
 
 
 _CONFIG_NAMES = ("page7.toml", ".page11.toml")
@@ -694,14 +818,33 @@ def is_regex(spark, sf):
 
 # -------------------------------------------------- rule catalogue
 
-_RULE_FIELDS = "pos, id, description, regex, keywords"
-NEW_RULE = Rule("BUILDING", "New rule", "[0-9]+", ("new",))
-_NEW = "'BUILDING' AS id, 'New rule' AS description, '[0-9]+' AS regex, 'new' AS keywords"
+_RULE_FIELDS = (
+    "pos, id, description, regex, keywords, has_allowlist, allow_paths, allow_commits, allow_target,"
+    " allow_regexes, allow_stopwords, secret_group, entropy, path, tags"
+)
+_REST = _RULE_FIELDS.removeprefix("pos, ")
+NEW_RULE = Rule(
+    "BUILDING", "New rule", "[0-9]+", ("new", "er"), Allowlist(("/p",), ("c1",), "match", ("^9",), ("w", "v")),
+    2, 1.5, "x$", ("fresh",),
+)
+_NEW = (
+    "'BUILDING' AS id, 'New rule' AS description, '[0-9]+' AS regex, 'new,er' AS keywords,"
+    " true AS has_allowlist, '/p' AS allow_paths, 'c1' AS allow_commits, 'match' AS allow_target,"
+    " '^9' AS allow_regexes, 'w,v' AS allow_stopwords, 2 AS secret_group, 1.5::DOUBLE AS entropy,"
+    " 'x$' AS path, 'fresh' AS tags"
+)
 
 
 def _show_rules(rules: DataFrame) -> DataFrame:
+    joined = lambda c: F.array_join(c, ",")
+    allow = F.col("allowlist")
     return rules.select(
-        "pos", "id", "description", "regex", F.array_join("keywords", ",").alias("keywords")
+        "pos", "id", "description", "regex", joined("keywords").alias("keywords"),
+        allow.isNotNull().alias("has_allowlist"),
+        joined(allow["paths"]).alias("allow_paths"), joined(allow["commits"]).alias("allow_commits"),
+        allow["regex_target"].alias("allow_target"), joined(allow["regexes"]).alias("allow_regexes"),
+        joined(allow["stopwords"]).alias("allow_stopwords"),
+        "secret_group", "entropy", "path", joined("tags").alias("tags"),
     )
 
 
@@ -738,7 +881,7 @@ def rules_update(spark, sf):
     with_(M.RULES)
     + f"""SELECT {_RULE_FIELDS} FROM rules WHERE id = 'BUILDING'
 UNION ALL SELECT CAST(pos + 1 + (SELECT max(pos) FROM rules WHERE id = 'BUILDING') AS INTEGER),
-  id, description, regex, keywords FROM rules WHERE id <> 'BUILDING'"""
+  {_REST} FROM rules WHERE id <> 'BUILDING'"""
 )
 def rules_extend(spark, sf):
     rules = M.rules(spark, sf)
@@ -759,9 +902,22 @@ def report_json(spark, sf):
     return report.json_rows(scan_files(M.files(spark, sf), USER))
 
 
-@query(_file_scan_sql(USER))
+def _csv_field(column: str) -> str:
+    v = f"CAST({column} AS VARCHAR)"
+    return (
+        f"CASE WHEN regexp_matches({v}, '[\",\\n\\r]') THEN '\"' || replace({v}, '\"', '\"\"') || '\"'"
+        f" ELSE {v} END"
+    )
+
+
+@query(
+    with_(M.FILES, matches_ctes(USER))
+    + f"SELECT {' || chr(44) || '.join(_csv_field(c) for c in LEAK_COLUMNS)} AS csv FROM ("
+    + file_leaks()
+    + ")"
+)
 def report_csv(spark, sf):
-    return report.csv_rows(scan_files(M.files(spark, sf), USER))
+    return report.csv_lines(scan_files(M.files(spark, sf), USER))
 
 
 @query(
@@ -778,9 +934,24 @@ def report_sarif(spark, sf):
     return report.sarif_rows(scan_files(M.files(spark, sf), USER))
 
 
-@query(_file_scan_sql(USER))
+@query(
+    with_(M.FILES, matches_ctes(USER))
+    + "SELECT rule, count(*) AS n, count(*) AS n_ids, true AS above FROM ("
+    + file_leaks()
+    + ") GROUP BY rule UNION ALL SELECT 'all', count(*), count(*), true FROM ("
+    + file_leaks()
+    + ")"
+)
 def report_table(spark, sf):
-    return report.with_ids(scan_files(M.files(spark, sf), USER)).drop("id")
+    """Ids are unique, over all rules and within each, and above the last one."""
+    rows = report.with_ids(scan_files(M.files(spark, sf), USER), after=1000)
+    shown = [
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"),
+        (F.min("id") > 1000).alias("above"),
+    ]
+    return rows.groupBy("rule").agg(*shown).unionByName(
+        rows.groupBy(F.lit("all").alias("rule")).agg(*shown)
+    )
 
 
 @query(
@@ -848,6 +1019,19 @@ def rule_path(spark, sf):
     return scan_files(M.files(spark, sf), PATH_RULES, D.DetectOptions(rule_paths=True))
 
 
+PATH_ONLY = RuleSet((IPV4, Rule("image", "Image", None, path=r"/[a-z]{2}/[0-9]*5\.jpg$")))
+
+
+@query(
+    with_(M.FILES, matches_ctes(RuleSet((IPV4,))))
+    + file_leaks()
+    + """ UNION ALL SELECT '', 0, path, '', '', 'Image', '', '', '', path, '' FROM files
+WHERE regexp_matches(path, '/[a-z]{2}/[0-9]*5\\.jpg$')"""
+)
+def rule_path_only(spark, sf):
+    return scan_files(M.files(spark, sf), PATH_ONLY, D.DetectOptions(rule_paths=True))
+
+
 @query(
     with_(M.FILES, matches_ctes(USER))
     + "SELECT path, line_number, match FROM matches WHERE rule_pos IN (0, 2)"
