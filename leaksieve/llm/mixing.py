@@ -239,6 +239,13 @@ def mix_units(units: DataFrame, mix: Mix = Mix()) -> DataFrame:
     )
 
 
+def _units(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.monotonically_increasing_id().alias("uid"), "doc_id",
+        word_count("text").alias("size"), "source",
+    )
+
+
 def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """(doc_id, size, source, source_size, target, copies, taken), one row per document.
 
@@ -248,31 +255,43 @@ def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     out alike give equal results, whatever tasks are retried. An empty table gives an
     empty result.
     """
-    units = saved(
-        docs.select(
-            F.monotonically_increasing_id().alias("uid"), "doc_id",
-            word_count("text").alias("size"), "source",
-        ),
-        "mix-units",
-    )
-    return mix_units(units, mix).select(
+    return mix_units(saved(_units(docs), "mix-units"), mix).select(
         "doc_id", "size", "source", "source_size", "target", "copies",
         (F.col("size") * F.col("copies")).alias("taken"),
     )
 
 
 def resample(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """``docs`` with each row as often as the mixture takes it; columns unchanged."""
-    uid, size = fresh(docs, "uid", "size")
-    marked = saved(
-        docs.withColumn(size, word_count("text")).withColumn(uid, F.monotonically_increasing_id()),
-        "mix-texts",
+    """``docs`` with each row as often as the mixture takes it; columns unchanged.
+
+    Rows of equal id, size and source share what their group takes: each gets the same
+    number of copies, the first ones one more. The texts move once and no copy of them is
+    written.
+    """
+    units = saved(_units(docs), "mix-units")
+    identity = F.xxhash64("doc_id", "size", "source")
+    taken = saved(
+        mix_units(units, mix)
+        .groupBy(identity.alias("key"))
+        .agg(F.sum("copies").alias("taken"), F.count(F.lit(1)).alias("among"))
+        .filter("taken > 0"),
+        "mix-taken",
+    )
+    size, key, total, among, nth, copy = fresh(
+        docs, "size", "key", "taken", "among", "nth", "copy"
+    )
+    taken = taken.toDF(key, total, among)
+    rows = docs.withColumn(size, word_count("text")).withColumn(
+        key, F.xxhash64("doc_id", size, "source")
     )
-    units = marked.select(
-        F.col(uid).alias("uid"), "doc_id", F.col(size).alias("size"), "source"
+    # Equal keys share a partition after the join, so the window moves nothing.
+    turn = F.row_number().over(Window.partitionBy(key).orderBy("doc_id", "source", size))
+    each = F.floor(F.col(total) / F.col(among)) + (F.col(nth) <= F.col(total) % F.col(among)).cast("int")
+    repeated = (
+        rows.join(taken, key)
+        .withColumn(nth, turn)
+        .withColumn(copy, each)
+        .filter(F.col(copy) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy).cast("int"))))
     )
-    taken = mix_units(units, mix).filter("copies > 0").select(F.col("uid").alias(uid), "copies")
-    (copy,) = fresh(marked, "copies")
-    taken = taken.withColumnRenamed("copies", copy)
-    repeated = marked.join(taken, uid).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -128,11 +128,15 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 
 def with_counts(df: DataFrame, text: str, names: list[str]) -> DataFrame:
     """``df`` plus the columns of ``COUNTS`` under ``names``."""
-    (f,) = fresh(df, "features")
-    fields = ("n_words", "word_chars", "n_symbols", "lines.all", "lines.dup", "n_repeat_words")
-    return df.withColumn(f, features(F.col(text))).select(
+    own = fresh(df, "f1", "f2", "f3", "f4", "f5")
+    # The generator keeps filters on the counts above them; below they would be computed
+    # once more for every test.
+    counted = df.select("*", F.inline_outer(F.array(features(F.col(text)))).alias(*own))
+    n_words, chars, symbols, lines, repeats = own
+    fields = (n_words, chars, symbols, f"{lines}.all", f"{lines}.dup", repeats)
+    return counted.select(
         *[F.col(f"`{c}`") for c in df.columns],
-        *[F.col(f"{f}.{a}").cast("long").alias(n) for a, n in zip(fields, names)],
+        *[F.col(a).cast("long").alias(n) for a, n in zip(fields, names)],
     )
 
 
@@ -251,58 +255,70 @@ def _rejected(rules: tuple[Rule, ...], ratios: dict[str, Column], cutoffs: Colum
     return reduce(lambda a, b: a | b, tests)
 
 
-def judged(
-    docs: DataFrame,
+def cutoffs_of(
+    counted: DataFrame,
     labels: DataFrame,
+    c: dict[str, Column],
     rules: tuple[Rule, ...] = RULES,
     risk: Risk = Risk(),
-    with_text: bool = True,
-) -> tuple[DataFrame, list[str], str, str]:
-    """``docs`` (doc_id, text, lang and others) with counts, ``base_failed`` and ``kept``.
-
-    Without ``with_text`` the text is left out. Returns the table and the names of the new columns: the counts in the order of
-    ``COUNTS``, base_failed, kept. ``labels`` has doc_id and quality (1 good, 0 bad); of
-    repeated ids the worst label holds, null ids and labels do not count. A null language
-    is a stratum of its own. A stratum without enough labelled documents has no cutoff
-    and rejects nothing beyond the base rules; so does everything without labels. Null
-    and blank texts have no words and fail the base rules. Repeated rows are judged alike.
-    """
-    names = fresh(docs, *COUNTS)
-    counted = with_counts(docs, "text", names)
-    counted = saved(counted if with_text else counted.drop("text"), "quality-counts")
-    c = {n: F.col(f"`{a}`") for n, a in zip(COUNTS, names)}
-    ratios = _ratios(c)
+) -> DataFrame:
+    """(of, cutoffs): a map of the rules in use for each language, from a table (doc_id,
+    lang, the counts ``c``) and labels (doc_id, quality)."""
     label = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
         (F.min("quality") == 1).alias("good")
     )
-    failed = base_failed(c["n_words"], c["n_repeat_words"])
-    labelled = counted.filter(~failed).select(
-        "doc_id", F.col("lang").alias("stratum"), *[v.alias(k) for k, v in ratios.items()]
+    labelled = counted.filter(~base_failed(c["n_words"], c["n_repeat_words"])).select(
+        "doc_id", F.col("lang").alias("stratum"), *[v.alias(k) for k, v in _ratios(c).items()]
     ).join(label, "doc_id")
-    cutoffs = thresholds(labelled, rules, risk).groupBy(F.col("stratum").alias("of")).agg(
+    return thresholds(labelled, rules, risk).groupBy(F.col("stratum").alias("of")).agg(
         F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")
     )
+
+
+def _judged(
+    counted: DataFrame, cutoffs: DataFrame, c: dict[str, Column], rules: tuple[Rule, ...] = RULES
+) -> tuple[DataFrame, str, str]:
+    """``counted`` with base_failed and kept, and the names of these columns."""
+    failed = base_failed(c["n_words"], c["n_repeat_words"])
     of, cut, base, kept = fresh(counted, "of", "cutoffs", "base_failed", "kept")
     cutoffs = cutoffs.select(F.col("of").alias(of), F.col("cutoffs").alias(cut))
     out = counted.join(cutoffs, F.col("lang").eqNullSafe(F.col(of)), "left").withColumns(
-        {base: failed, kept: ~failed & ~_rejected(rules, ratios, F.col(cut))}
+        {base: failed, kept: ~failed & ~_rejected(rules, _ratios(c), F.col(cut))}
     )
-    return out.drop(of, cut), names, base, kept
+    return out.drop(of, cut), base, kept
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept), one row per row of (doc_id, text, lang)."""
-    out, names, base, kept = judged(docs.select("doc_id", "text", "lang"), labels, with_text=False)
-    shown = [n for n in COUNTS if n != "n_lines"]
+    kept), one row per row of (doc_id, text, lang).
+
+    ``labels`` has doc_id and quality (1 good, 0 bad); of repeated ids the worst label
+    holds, null ids and labels do not count. A null language is a stratum of its own. A
+    stratum without enough labelled documents has no cutoff and rejects nothing beyond
+    the base rules; so does everything without labels. Null and blank texts have no words
+    and fail the base rules. Repeated rows are judged alike.
+    """
+    c = {n: F.col(n) for n in COUNTS}
+    narrow = docs.select("doc_id", "text", "lang")
+    counted = saved(with_counts(narrow, "text", list(COUNTS)).drop("text"), "quality-counts")
+    out, base, kept = _judged(counted, cutoffs_of(counted, labels, c), c)
     return out.select(
-        "doc_id", *[F.col(names[COUNTS.index(n)]).alias(n) for n in shown],
+        "doc_id", *[n for n in COUNTS if n != "n_lines"],
         F.col(base).alias("base_failed"), F.col(kept).alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept; columns unchanged. The texts are written once,
-    next to their counts, and do not move."""
-    out, _, _, kept = judged(docs, labels)
+    """The rows of ``docs`` that are kept; columns unchanged.
+
+    The cutoffs come from stored counts. The texts are then counted once more and
+    filtered where they are read: they do not move, and no copy of them is written.
+    """
+    plain = {n: F.col(n) for n in COUNTS}
+    narrow = docs.select("doc_id", "text", "lang")
+    counted = saved(with_counts(narrow, "text", list(COUNTS)).drop("text"), "quality-counts")
+    cutoffs = cutoffs_of(counted, labels, plain)
+    names = fresh(docs, *COUNTS)
+    c = {n: F.col(f"`{a}`") for n, a in zip(COUNTS, names)}
+    out, _, kept = _judged(with_counts(docs, "text", names), cutoffs, c)
     return out.filter(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -208,15 +208,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component: that with the least id, nulls last; columns unchanged.
 
-    Of repeated rows with that id one stays. The texts are written once, next to their
-    fingerprints, and join the list of kept rows once.
+    Of repeated rows with that id and fingerprint one stays. Fingerprints are computed
+    twice, once to find the rows that stay and once to pick them, so that no copy of the
+    texts is written; they move once.
     """
-    fp, uid = fresh(docs, "fp", "uid")
-    marked = saved(
-        with_fingerprint(docs, text, fp).withColumn(uid, F.monotonically_increasing_id()),
-        "simhash-texts",
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    marked = saved(with_fingerprint(narrow, "text", "fp").select("doc_id", "fp"), "simhash-docs")
+    row = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("fp").alias("f"))
+    heads = classes(marked, "fp", row).select("head").distinct()
+    fp, key, head, nth = fresh(docs, "fp", "key", "head", "nth")
+    keep = heads.select(F.xxhash64("head.f", "head.d").alias(key), F.col("head").alias(head))
+    rows = with_fingerprint(docs, text, fp).withColumn(key, F.xxhash64(fp, doc_id))
+    same = (F.col(f"{head}.f") == F.col(fp)) & F.col(f"{head}.d").eqNullSafe(F.col(doc_id))
+    # Equal keys share a partition after the join, so the window moves nothing.
+    first = Window.partitionBy(key, head).orderBy(fp)
+    return (
+        rows.join(keep, key)
+        .filter(same)
+        .withColumn(nth, F.row_number().over(first))
+        .filter(F.col(nth) == 1)
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
-    row = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("d"), F.col(uid).alias("u"))
-    heads = classes(marked.select(fp, doc_id, uid), fp, row)
-    keep = heads.select(F.col("head.u").alias(uid)).distinct()
-    return marked.join(keep, uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
