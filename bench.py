@@ -54,6 +54,7 @@ def main() -> None:
         "line_split",
         "scan_history_all",
         "scan_history_branch",
+        "scan_commit",
         "prune_paths",
         "commit_time_range",
         "snapshot_files",

@@ -1,4 +1,4 @@
-"""Partitioning helpers: spreading small inputs, joins on hot keys, positions."""
+"""Partitioning helpers: joins on hot keys, positions, stored tables."""
 
 from __future__ import annotations
 
@@ -14,15 +14,6 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 
 
-def spread(df: DataFrame, *keys: str, per_core: int = 4) -> DataFrame:
-    """Give a source that has fewer splits than the cluster has cores enough
-    partitions; a source with many splits is left alone (no shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores * per_core, *keys)
-
-
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """(key, salts) of the hot keys of ``df``: at most HOT_SHARE - 1 rows.
 

@@ -3,6 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leaksieve.operators import layout
+from workload.model import spread
 
 
 @pytest.mark.parametrize("split", [True, False])
@@ -72,9 +73,9 @@ def test_spread(spark, tmp_path):
     spark.range(10).coalesce(1).write.parquet(path)
     few = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    assert layout.spread(few, "id").rdd.getNumPartitions() >= cores or cores == 1
+    assert spread(few, "id").rdd.getNumPartitions() >= cores or cores == 1
     many = spark.range(0, 100, 1, cores * 2)
-    assert layout.spread(many, "id") is many
+    assert spread(many, "id") is many
 
 
 def test_a_cluster_without_a_shared_folder_is_refused(spark):

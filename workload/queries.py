@@ -409,6 +409,23 @@ def scan_history_branch(spark, sf):
     return leaks
 
 
+_CHOSEN_COMMIT = "aab3238922bcc25a6f606eb525ffdc56"
+_CHOSEN = """
+chosen AS (SELECT * FROM commits WHERE commit = %s)""" % quote(_CHOSEN_COMMIT)
+
+
+@query(
+    with_(*_HISTORY_CTES, _CHOSEN, matches_ctes(HISTORY, "blobs", "blob_id"))
+    + history_leaks(commits="chosen")
+)
+def scan_commit(spark, sf):
+    leaks, _ = scan(
+        Selection(commit=_CHOSEN_COMMIT), HISTORY, M.commits(spark, sf), M.entries(spark, sf),
+        M.texts(spark, sf), unique_blobs=False,
+    )
+    return leaks
+
+
 @query(
     with_(*_HISTORY_CTES, matches_ctes(RULE_COMMIT, "blobs", "blob_id"))
     + history_leaks(entries="entries")
