@@ -36,11 +36,11 @@ MAX_TRAIN_ROWS = 12_000
 class Ftrl:
     """Training parameters; ``min_docs`` drops features seen in fewer documents."""
 
-    alpha: float = 0.5
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 5.0
+    l1: float = 8.0
     l2: float = 0.5
-    epochs: int = 2
+    epochs: int = 4
     min_docs: int = 2
 
 

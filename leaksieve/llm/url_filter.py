@@ -169,25 +169,24 @@ def rule_shape(rules: DataFrame) -> Shape:
 def rule_keys(host: Column, path: Column, shape: Shape) -> Column:
     """Array of the keys that a rule of the given shape for this url would have, longest
     first; of equal lengths the longer host first."""
-    keys = []
-    labels = F.size(F.split(host, "[.]"))
-    for n in shape.labels:
-        suffix = F.substring_index(host, ".", -n)
-        for m in shape.lengths:
-            fits = (labels >= n) & (host != "") & (F.length(path) >= m)
-            key = F.concat(suffix, F.left(path, F.lit(m)) if m else F.lit(""))
-            keys.append(
-                F.when(
-                    fits,
-                    F.struct(
-                        (-F.length(key)).alias("short"), (-F.length(suffix)).alias("host"),
-                        F.concat_ws("\n", suffix, F.substr(key, F.length(suffix) + 1)).alias("key"),
-                    ),
-                )
-            )
-    if not keys:
-        return F.array().cast("array<string>")
-    found = F.array_sort(F.array_compact(F.array(*keys)))
+    numbers = lambda values: F.lit(list(values)).cast("array<int>")
+    host_labels = F.when(host != "", F.size(F.split(host, "[.]"))).otherwise(0)
+
+    def key(suffix: Column, length: Column) -> Column:
+        prefix = F.left(path, length)
+        return F.struct(
+            (-F.length(suffix) - F.length(prefix)).alias("short"),
+            (-F.length(suffix)).alias("host"),
+            F.concat_ws("\n", suffix, prefix).alias("key"),
+        )
+
+    def of_host(labels: Column) -> Column:
+        suffix = F.call_function("substring_index", host, F.lit("."), -labels)
+        lengths = F.filter(numbers(shape.lengths), lambda m: m <= F.length(path))
+        return let(suffix, lambda h: F.transform(lengths, lambda m: key(h, m)))
+
+    fitting = F.filter(numbers(shape.labels), lambda n: n <= host_labels)
+    found = F.array_sort(F.flatten(F.transform(fitting, of_host)))
     return F.transform(found, lambda k: k["key"])
 
 
