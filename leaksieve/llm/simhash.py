@@ -216,16 +216,17 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     marked = saved(with_fingerprint(narrow, "text", "fp").select("doc_id", "fp"), "simhash-docs")
     row = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("fp").alias("f"))
     heads = classes(marked, "fp", row).select("head").distinct()
-    fp, key, head, nth = fresh(docs, "fp", "key", "head", "nth")
+    fp, key, head, held, nth = fresh(docs, "fp", "key", "head", "held", "nth")
     keep = heads.select(F.xxhash64("head.f", "head.d").alias(key), F.col("head").alias(head))
     rows = with_fingerprint(docs, text, fp).withColumn(key, F.xxhash64(fp, doc_id))
     same = (F.col(f"{head}.f") == F.col(fp)) & F.col(f"{head}.d").eqNullSafe(F.col(doc_id))
-    # Equal keys share a partition after the join, so the window moves nothing.
-    first = Window.partitionBy(key, head).orderBy(fp)
+    # Equal keys share a partition after the join, so the window moves nothing. The test
+    # comes after it, or it would become a key of the join.
+    first = Window.partitionBy(key, fp, doc_id).orderBy(F.desc(held))
     return (
         rows.join(keep, key)
-        .filter(same)
+        .withColumn(held, same)
         .withColumn(nth, F.row_number().over(first))
-        .filter(F.col(nth) == 1)
+        .filter((F.col(nth) == 1) & F.col(held))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
