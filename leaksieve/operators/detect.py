@@ -129,9 +129,11 @@ def _automaton(
             words.add_word(w, w)
         words.make_automaton()
         for batch in batches:
-            some = pc.indices_nonzero(
-                pc.fill_null(pc.match_substring_regex(batch, any_word), False)
-            )
+            try:
+                hit = pc.fill_null(pc.match_substring_regex(batch, any_word), False)
+            except pyarrow.ArrowInvalid:  # too many words for one pattern: look at all texts
+                hit = pc.is_valid(batch)
+            some = pc.indices_nonzero(hit)
             texts = batch.take(some).to_pylist()
             called = [{i for w in {w for _, w in words.iter(t)} for i in table[w]} for t in texts]
             if screen:

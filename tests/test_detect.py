@@ -206,6 +206,17 @@ def test_stopwords_of_the_generic_rule(spark):
         assert sorted(r["file"] for r in got) == sorted(left)
 
 
+def test_more_keywords_than_one_pattern_takes(spark):
+    rules = RuleSet(
+        tuple(Rule(f"r{i}", f"R{i}", f"w{i:05}x", (f"w{i:05}" + "y" * 200,)) for i in range(3000))
+    )
+    word = "w02999" + "y" * 200
+    texts = [("/a", f"w02999x {word}"), ("/b", "w02999x"), ("/c", None)]
+    files = spark.createDataFrame(texts, "path string, content string")
+    got = D.candidates(files, rules).select("path", "rules_called").collect()
+    assert [tuple(r) for r in got] == [("/a", [2999])]
+
+
 def test_path_only_rules(spark):
     rules = RuleSet(
         (Rule("env", "Env file", None, path=r"/\.env$", allowlist=Allowlist(paths=("/x/.env",))), DIGITS)
