@@ -32,15 +32,15 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "identifier", "key", "endpoint")
 MIN_ASSIGNED, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
-# Weak parts; group 1 is the part.
+# Weak parts; group 1 is the part. It has no greatest length: its characters end it.
 IDENTIFIER = re.compile(
     r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id|(?:access_?)?key_?id)"""
-    r"""["']?[\x20\t]*[:=][\x20\t]*["']?([A-Za-z0-9_.@+-]{3,128})""",
+    r"""["']?[\x20\t]*[:=][\x20\t]*["']?([A-Za-z0-9_.@+-]{3,})""",
     re.ASCII | re.IGNORECASE,
 )
 KEY = re.compile(
     r"""(?<![A-Za-z0-9])(?:pass(?:wd|word|phrase)?|pwd|key|auth|credentials?|signature)"""
-    r"""["']?[\x20\t]*[:=][\x20\t]*["']?([^\s"']{6,128})""",
+    r"""["']?[\x20\t]*[:=][\x20\t]*["']?([^\s"']{6,})""",
     re.ASCII | re.IGNORECASE,
 )
 BARE_KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])([A-Za-z0-9+/]{40}={0,2})(?![A-Za-z0-9+/=_-])")
@@ -51,7 +51,7 @@ ENDPOINT = re.compile(
 )
 HOST = re.compile(
     r"""(?<![A-Za-z0-9])(?:host(?:name)?|endpoint|server|bucket)"""
-    r"""["']?[\x20\t]*[:=][\x20\t]*["']?([A-Za-z0-9.:-]{4,253})""",
+    r"""["']?[\x20\t]*[:=][\x20\t]*["']?([A-Za-z0-9.:-]{4,})""",
     re.ASCII | re.IGNORECASE,
 )
 BLANK_LINE = re.compile(r"\n[\x20\t\r]*\n")

@@ -42,6 +42,14 @@ def test_scope_and_reach():
     assert spans(f"{user}{' .' * 200}{key}") == []
 
 
+def test_long_values_are_whole():
+    for n in (129, 300, 5000, 200_000):
+        user, key, host = "u" * n, "k%" * n, "h." * n
+        assert spans(f"user={user}\nauth={key}\nhost={host}\n") == [
+            ("identifier", user), ("key", key), ("endpoint", host),
+        ]
+
+
 def test_no_weak_span_within_a_strong_one():
     text = f"user=abc password={KEY}"
     assert spans(text) == [("identifier", "abc"), ("assign", f"password={KEY}")]
