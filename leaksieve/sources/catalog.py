@@ -208,16 +208,24 @@ def load_stopwords(path: str, rule_id: str = "generic-api-key") -> tuple[str, ..
     return tuple(w for w in Path(path).read_text(encoding="utf-8").splitlines() if w)
 
 
+def _data(name: str) -> str:
+    return resources.files(__package__).joinpath(name).read_text(encoding="utf-8")
+
+
+def stock_stopwords() -> tuple[str, ...]:
+    """The whole stopword list of the generic rule, 1,474 words in their natural order."""
+    return tuple(tomllib.loads(_data("stock_stopwords.toml"))["stopwords"])
+
+
 def stock_rules(stopwords: Sequence[str], config_paths: Sequence[str] = ()) -> RuleSet:
     """The 149 stock rules and the stock path allowlist.
 
-    ``stopwords`` is the list of the generic rule and has no default: the full list is a
-    long table that the caller brings (``load_stopwords``), and a shorter one would
-    report more without saying so. ``()`` asks for the rule without stopwords.
+    ``stopwords`` is the list of the generic rule and has no default, as any list but the
+    whole one reports more: ``stock_stopwords()`` is the stock list, ``load_stopwords``
+    reads another, ``()`` asks for the rule without stopwords.
     ``config_paths`` are further allow-listed paths, such as ``/`` + the name of
     the catalogue file that a repository keeps for itself.
     """
-    text = resources.files(__package__).joinpath("stock_rules.toml").read_text(encoding="utf-8")
-    rules = parse_catalog(text).with_stopwords("generic-api-key", stopwords)
+    rules = parse_catalog(_data("stock_rules.toml")).with_stopwords("generic-api-key", stopwords)
     allow = rules.allowlist
     return replace(rules, allowlist=replace(allow, paths=allow.paths + tuple(config_paths)))

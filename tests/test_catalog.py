@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from leaksieve import Allowlist, Rule, RuleSet, load_catalog, load_extended, parse_catalog, stock_rules
@@ -88,6 +90,18 @@ def test_stopword_file(tmp_path):
     assert generic[0].allowlist.stopwords == words
 
 
+def test_stock_stopwords_are_whole():
+    from workload import queries
+
+    words = catalog.stock_stopwords()
+    assert len(words) == 1474 and len(set(words)) == 1443
+    assert words[:3] == ("client", "endpoint", "vpn") and words[-3:] == ("branch", "combination", "combo")
+    digest = hashlib.sha256("\n".join(words).encode()).hexdigest()
+    assert digest == "8e4fae4b2f4a748e673fdaf4045a30758cdbf7d5badeb3dd42ae5efb6c577716"
+    generic = [r for r in queries.STOCK.rules if r.id == "generic-api-key"]
+    assert generic[0].allowlist.stopwords == words
+
+
 def test_path_rules_are_opt_in():
     text = "[[rules]]\nid='e'\ndescription='d'\npath='x$'\n"
     with pytest.raises(InvalidCatalog):

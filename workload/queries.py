@@ -17,7 +17,7 @@ from leaksieve.plans import report
 from leaksieve.plans.scan import Selection, scan, scan_files, scan_history, select_commits, summary
 from leaksieve.schema import LEAK_COLUMNS
 from leaksieve.sources import corpus
-from leaksieve.sources.catalog import Allowlist, Rule, RuleSet, stock_rules
+from leaksieve.sources.catalog import Allowlist, Rule, RuleSet, stock_rules, stock_stopwords
 from workload import model as M
 from workload.sql import DATE_TEXT, file_leaks, history_leaks, lines_cte, matches_ctes, quote
 from workload.sql import rules_cte, with_
@@ -57,9 +57,7 @@ TOKEN = Rule(
     "token", "Token", r"""token = "([0-9a-f]{40})\"""", ("token",), secret_group=1, entropy=3.7
 )
 USER = RuleSet((EMAIL, IPV4, CARD, LICENCE, TOKEN))
-# The generic rule's stopwords are a parameter; these are for the queries.
-STOPWORDS = ("sample", "dummy", "ff0", "example", "changeme")
-STOCK = stock_rules(STOPWORDS)
+STOCK = stock_rules(stock_stopwords())
 STOCK_OPEN = STOCK.without_rule_allowlists()
 STOCK_OWN_STOPWORDS = STOCK.with_stopwords("generic-api-key", ["ff", "00"])
 HISTORY_ALLOW = Allowlist(
