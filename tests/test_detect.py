@@ -206,6 +206,17 @@ def test_stopwords_of_the_generic_rule(spark):
         assert sorted(r["file"] for r in got) == sorted(left)
 
 
+def test_prefilter_query_reads_whole_texts(spark, tmp_path):
+    from workload.queries import QUERIES
+
+    rows = [(1, "é" * 5000 + "\r\nmarks=123\r\nx"), (2, "x " * 3000 + "\nMARKS\t=456"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["prefilter_modes_agree"](spark, str(tmp_path)).collect()}
+    for mode in ("automaton", "search"):
+        assert {(mode, "/1", "marks=123"), (mode, "/2", "MARKS\t=456")} <= got
+    assert {r[1:] for r in got if r[0] == "automaton"} == {r[1:] for r in got if r[0] == "search"}
+
+
 def test_more_keywords_than_one_pattern_takes(spark):
     rules = RuleSet(
         tuple(Rule(f"r{i}", f"R{i}", f"w{i:05}x", (f"w{i:05}" + "y" * 200,)) for i in range(3000))

@@ -153,7 +153,7 @@ def prefilter_modes_agree(spark, sf):
     pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
     doc = F.col("doc_id")
     content = F.concat(
-        F.left("text", F.lit(50)), F.lit("\n"), pick(_MARKS, doc % len(_MARKS)),
+        "text", F.lit("\n"), pick(_MARKS, doc % len(_MARKS)),
         pick(_SEPARATORS, F.floor(doc / 5) % len(_SEPARATORS)), F.lit("="),
         (doc % 900 + 100).cast("string"), F.lit("\n"),
     )
