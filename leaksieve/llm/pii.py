@@ -1,9 +1,11 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
 Detected are e-mail addresses, phone numbers, payment cards, IPv4 addresses, social
-security numbers, IBANs and names after a title. An entity is a kind with a canonical
+security numbers, IBANs and names: capitalised words after a title, and the same words
+without one, capitalised, elsewhere in that text. An entity is a kind with a canonical
 value (digits without punctuation, lower case), so all spellings of one value get one
-surrogate, in all documents: coreference holds without any join. The surrogate is drawn
+surrogate, in all documents. A name may be found with several titles and as given and
+family name; one kind is chosen for it in the whole corpus. The surrogate is drawn
 from a keyed hash of kind and value and keeps what the kind needs: length and
 punctuation, the first digit and the validity of check digits, private or public
 address ranges, top-level domain, letter case, script, and the gender that the title of a
@@ -11,7 +13,8 @@ name tells.
 
 Distinct entities must stay distinct. The distinct entities of the corpus are gathered
 (combined before they move), and where surrogates meet each other or a real value, all
-but one draw again, in rounds, until none meet. Redrawn entities are few; up to
+but one draw again, in rounds, until none meet; names of all kinds of a script count
+together. Entities that were redrawn or whose kind was changed are few; up to
 ``max_redrawn`` of them go to the tasks as a dictionary, more are joined to their
 documents instead.
 """
@@ -19,10 +22,10 @@ documents instead.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.llm.common import fresh, saved
@@ -55,6 +58,7 @@ PERSON = re.compile(
 )
 _NAME = re.compile(r"[^\W\d_]+(?:[ -][^\W\d_]+){0,2}")
 _NAME_WORD = re.compile(r"[^\W\d_]+")
+_MENTION = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 
 Entity = tuple[int, int, str, str]  # start, end, kind, canonical value
 
@@ -64,7 +68,8 @@ Entity = tuple[int, int, str, str]  # start, end, kind, canonical value
 
 def entities(text: str | None) -> list[Entity]:
     """Entities of a text from left to right; of overlapping ones the earlier, then the
-    longer. Each word of a name is an entity of its own."""
+    longer. Each word of a name is an entity of its own, of one kind in the text; its
+    mentions without a title count too, if they begin with a capital letter."""
     if not text:
         return []
     found: list[Entity] = []
@@ -76,8 +81,35 @@ def entities(text: str | None) -> list[Entity]:
     if any(t in text for t in TITLES):
         for m in PERSON.finditer(text):
             found += _names(TITLES[m[1]], _NAME.match(text, m.end()))
-    if len(found) < 2:
+    found = _leftmost(found)
+    kinds: dict[str, set[str]] = {}
+    for _, _, k, v in found:
+        if k.startswith(_ROLES):
+            kinds.setdefault(v, set()).add(k)
+    if not kinds:
         return found
+    own = {v: one_kind(k) for v, k in kinds.items()}
+    found = [(s, e, own[v] if k.startswith(_ROLES) else k, v) for s, e, k, v in found]
+    for m in _MENTION.finditer(text):
+        value = m[0].lower()
+        if value in own and m[0][0].isupper() and m[0] not in TITLES:
+            found.append((m.start(), m.end(), own[value], value))
+    return _leftmost(found)
+
+
+_ROLES = ("given-", "family-")
+
+
+def one_kind(kinds: Iterable[str]) -> str:
+    """The kind of a name that was found with all of ``kinds``: a given name if it is one
+    anywhere, of the gender that its titles tell, of none where they differ."""
+    parts = [k.split("-") for k in kinds]
+    role = "given" if any(p[0] == "given" for p in parts) else "family"
+    told = {p[1] for p in parts} - {"n"}
+    return f"{role}-{told.pop() if len(told) == 1 else 'n'}-{parts[0][2]}"
+
+
+def _leftmost(found: list[Entity]) -> list[Entity]:
     found.sort(key=lambda e: (e[0], -e[1]))
     out: list[Entity] = []
     for e in found:
@@ -238,14 +270,16 @@ def render(kind: str, original: str, replacement: str) -> str:
 
 
 def rewrite(text: str | None, key: bytes, attempts: dict) -> tuple[str | None, int]:
-    """(text with surrogates, number of entities)."""
+    """(text with surrogates, number of entities); ``attempts`` has (kind to draw, attempt)
+    by (kind, value) where these are not the found kind and zero."""
     found = entities(text)
     if not found:
         return text, 0
     out, at = [], 0
     for start, end, kind, value in found:
-        new = surrogate(kind, value, key, attempts.get((kind, value), 0))
-        out += [text[at:start], render(kind, text[start:end], new)]
+        own, attempt = attempts.get((kind, value), (kind, 0))
+        new = surrogate(own, value, key, attempt)
+        out += [text[at:start], render(own, text[start:end], new)]
         at = end
     return "".join([*out, text[at:]]), len(found)
 
@@ -269,6 +303,33 @@ def distinct_entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "kind string, value string").distinct()
 
 
+def resolved(found: DataFrame) -> DataFrame:
+    """(kind, value, own): ``one_kind`` of all kinds that a name has in the corpus."""
+    part = lambda i: F.get(F.split("kind", "-"), F.lit(i))
+    is_name = part(0).isin("given", "family")
+    of = found.filter(is_name).groupBy("value").agg(
+        F.max(part(0) == "given").alias("given"),
+        F.max(part(1) == "m").alias("m"),
+        F.max(part(1) == "f").alias("f"),
+        F.min(part(2)).alias("script"),
+    )
+    own = F.concat_ws(
+        "-",
+        F.when(F.col("given"), "given").otherwise("family"),
+        F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("n"),
+        "script",
+    )
+    names = found.filter(is_name).join(of.select("value", own.alias("own")), "value")
+    return names.select("kind", "value", "own").unionByName(
+        found.filter(~is_name).select("kind", "value", F.col("kind").alias("own"))
+    )
+
+
+def _scope() -> Column:
+    """What surrogates must be distinct in: the kind, for names the script."""
+    return F.regexp_replace("kind", "^(given|family)-[mfn]-", "name-")
+
+
 def _drawn_for(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, attempt) with the surrogate of that attempt."""
 
@@ -288,21 +349,22 @@ def _drawn_for(found: DataFrame, key: bytes) -> DataFrame:
 
 
 def assign(found: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, attempt, surrogate): distinct surrogates within a kind, none a real
-    value of the corpus. Of values that meet, that of the earlier attempt, then the
+    """(kind, value, attempt, surrogate): distinct surrogates within a kind, for names
+    within a script, none a real value of the corpus. Of values that meet, that of the earlier attempt, then the
     lesser one, keeps its surrogate; what is decided stays decided."""
-    real = found.select("kind", F.col("value").alias("surrogate"))
+    real = found.select(_scope().alias("scope"), F.col("value").alias("surrogate")).distinct()
     table = saved(_drawn_for(found.withColumn("attempt", F.lit(0)), key), "pii-drawn")
     while True:
-        first = F.min(F.struct("attempt", "value"))
-        owners = table.groupBy("kind", "surrogate").agg(
-            first.alias("owner"), F.count(F.lit(1)).alias("n")
+        row = F.struct("attempt", "value", "kind")
+        drawn = table.withColumn("scope", _scope())
+        owners = drawn.groupBy("scope", "surrogate").agg(
+            F.min(row).alias("owner"), F.count(F.lit(1)).alias("n")
         )
         losers = (
-            table.join(owners.filter("n > 1"), ["kind", "surrogate"])
-            .filter(F.struct("attempt", "value") != F.col("owner"))
+            drawn.join(owners.filter("n > 1"), ["scope", "surrogate"])
+            .filter(row != F.col("owner"))
             .select("kind", "value", "attempt")
-            .unionByName(table.join(real, ["kind", "surrogate"]).select("kind", "value", "attempt"))
+            .unionByName(drawn.join(real, ["scope", "surrogate"]).select("kind", "value", "attempt"))
             .distinct()
         )
         losers = saved(losers, "pii-losers")
@@ -323,10 +385,13 @@ def replace_entities(
     A column of the name ``n_replaced`` gives way. An empty table gives an empty one.
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "n_replaced"])
-    table = assign(saved(distinct_entities(docs, text), "pii-entities"), key)
-    redrawn = saved(table.filter("attempt > 0").select("kind", "value", "attempt"), "pii-redrawn")
+    found = saved(resolved(saved(distinct_entities(docs, text), "pii-entities")), "pii-kinds")
+    table = assign(found.select(F.col("own").alias("kind"), "value").distinct(), key)
+    drawn = table.select(F.col("kind").alias("own"), "value", "attempt")
+    changed = found.join(drawn, ["own", "value"]).filter("attempt > 0 OR own != kind")
+    redrawn = saved(changed.select("kind", "value", "own", "attempt"), "pii-redrawn")
     if redrawn.count() <= max_redrawn:
-        few = {(r["kind"], r["value"]): r["attempt"] for r in redrawn.collect()}
+        few = {(r["kind"], r["value"]): (r["own"], r["attempt"]) for r in redrawn.collect()}
         return _rewritten(docs, key, text, lambda batch: [few] * batch.num_rows)
     return _rewritten_by_join(docs, redrawn, key, text)
 
@@ -373,13 +438,13 @@ def _rewritten_by_join(docs: DataFrame, redrawn: DataFrame, key: bytes, text: st
 
     held = marked.select(uid, text).mapInArrow(run, f"`{uid}` long, kind string, value string")
     attempts = held.join(redrawn, ["kind", "value"]).groupBy(uid).agg(
-        F.collect_list(F.struct("kind", "value", "attempt")).alias(own)
+        F.collect_list(F.struct("kind", "value", "own", "attempt")).alias(own)
     )
     both = marked.join(attempts, uid, "left").drop(uid)
 
     def of(batch):
         return [
-            {(a["kind"], a["value"]): a["attempt"] for a in x or ()}
+            {(a["kind"], a["value"]): (a["own"], a["attempt"]) for a in x or ()}
             for x in batch.column(own).to_pylist()
         ]
 

@@ -107,3 +107,29 @@ def test_collisions_draw_again(spark, monkeypatch):
 @pytest.mark.parametrize("kind,value", [("ssn", "0" * 9), ("email", "@.c"), ("card", "4" * 19)])
 def test_never_the_value_itself_where_there_is_another(kind, value):
     assert P.surrogate(kind, value, KEY) != value or kind == "email"
+
+
+def test_mentions_without_a_title():
+    text = "Mr John Smith met Smith's son. SMITH, John; smith Smithers Smith2 Smith@x.org Mr"
+    assert [w for w, k in found(text) if k != "email"] == ["John", "Smith", "Smith", "SMITH", "John"]
+    assert found("Smith signed") == []
+    kinds = {k for w, k in found("Dr Anna Weber, Frau Anna Weber, Anna") if w == "Anna"}
+    assert kinds == {"given-f-latin"}
+
+
+NAMED = ["Dr Anna Weber", "Frau Anna Weber", "Mr Smith", "Mr Smith Jones", "Mrs Kim Jones", "Mr Kim Jones"]
+
+
+@pytest.mark.parametrize("bound", [P.MAX_REDRAWN, 0])
+def test_a_name_has_one_surrogate_in_all_documents(spark, bound):
+    met = P.surrogate("given-m-latin", "john", KEY)  # a real family name of the corpus
+    texts = [*NAMED, "Mr John Smith", f"Mr {met.capitalize()}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = {r["doc_id"]: r["text"] for r in P.replace_entities(df, KEY, max_redrawn=bound).collect()}
+    new = {}
+    for i, text in enumerate(texts):
+        for old, word in zip(text.split()[1:], out[i].split()[1:], strict=True):
+            new.setdefault(old, set()).add(word)
+    assert all(len(words) == 1 for words in new.values()), new
+    words = [w for ws in new.values() for w in ws]
+    assert len(set(words)) == len(new) and not set(words) & set(new)
