@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaksieve.llm import (
+    alignment,
     credentials,
     decontam,
+    embedding,
     langid,
+    manifest,
     mixing,
     pii,
     quality,
@@ -136,6 +139,30 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_manifest(spark, sf_dir):
+    built = manifest.build(
+        table(spark, sf_dir, "documents"),
+        changed=("text", manifest.lower_ascii(F.col("text"))),
+        is_changed=_bucket(3) == 0,
+    )
+    return manifest.prove(built).withColumnRenamed("id", "doc_id")
+
+
+# Where the tokenizers' files are on every machine.
+TOKENIZERS = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@query
+def op12_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), *TOKENIZERS)
+
+
+@query
+def op13_embedding(spark, sf_dir):
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 SQL["op2_urls"] = sql.urls(URL_RULES)
 SQL["op3_quality"] = sql.quality_rules()
 SQL["op7_decontam"] = sql.CONTAINED
