@@ -10,6 +10,10 @@ Matrices are plain CSR arrays (row pointers, column indices). The texts of a blo
 stacked, so one product serves many short texts; rows are multiplied in slices, so the
 intermediate entries of a long text stay bounded.
 
+Neither tokenizer joins the end of a word to a space after it, so a text is the sequence
+of its chunks (a space, and all up to the next space after a word), and links and groups
+lie within chunks. Products are formed once per different chunk that a task meets.
+
 Corpus-wide counts of linked id pairs come from stored pairs per text, aggregated before
 they move. The most frequent pairs, ``HEAVY_PAIRS`` at most, go to the tasks; rarer ones
 are joined. Nothing is left out either way.
@@ -17,6 +21,7 @@ are joined. Nothing is left out either way.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -29,6 +34,8 @@ from leaksieve.llm.common import saved
 HEAVY_PAIRS = 1 << 20
 BLOCK_BYTES = 1 << 20
 SLICE = 1 << 20
+# Chunks that a task keeps: at most so many, of so many characters.
+KEPT_CHUNKS, KEPT_CHARS = 1 << 18, 80
 
 
 class ByteLevel:
@@ -44,6 +51,9 @@ class ByteLevel:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         spec = json.loads(self.model.to_str())
+        how = spec["pre_tokenizer"] or {}
+        # The pattern of the byte-level split never joins a space to what is before it.
+        self.cuts_at_spaces = how.get("type") == "ByteLevel" and how.get("use_regex", True)
         special = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         byte_of = {c: b for b, c in enumerate(self._alphabet())}
         self.pieces = [
@@ -72,6 +82,7 @@ class Pieces:
 
         self.model = SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.cuts_at_spaces = not any(re.search("[^▁]▁", s) for s in names)
         self.pieces = [
             bytes([int(s[3:5], 16)]) if self.model.is_byte(i) else s.replace("▁", " ").encode()
             for i, s in enumerate(names)
@@ -168,8 +179,22 @@ class Stack:
         return covers(self.b_group, self.b_group + 1, int(self.groups[-1]))
 
 
+_CUT = re.compile(r"(?<=\S)(?= .)", re.S)
+_ODD = re.compile(r"\s ")
+
+
+def chunks(text: str) -> list[str]:
+    """``text`` in parts; a space stands before each, also the first.
+
+    It is cut at spaces after a character that is no white space, but not at its end.
+    """
+    if " " in (text[:1], text[-1:]) or _ODD.search(text):
+        return [c[1:] for c in _CUT.split(" " + text)]
+    return text.split(" ")
+
+
 class Aligner:
-    """Both tokenizers, loaded once per task."""
+    """Both tokenizers, loaded once per task, and what is known of chunks."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         import numpy as np
@@ -182,6 +207,78 @@ class Aligner:
             *(f"{i}{s}" for s in ",|" for i in range(len(self.a_len))),
             *(f"{i}{s}" for s in ",;" for i in range(len(self.b_len))),
         ]
+        self._cut = self.a.cuts_at_spaces and self.b.cuts_at_spaces
+        self._known: dict[str, tuple] = {}
+
+    def aligned(self, texts: list[bytes | None]) -> list[list[tuple]]:
+        """For each text the results of its chunks, as ``_learned`` gives them; none where
+        a text has no tokens."""
+        plain = []
+        for raw in texts:
+            try:
+                text = raw.decode() if raw else ""
+            except UnicodeDecodeError:
+                text = ""
+            plain.append((chunks(text) if self._cut else [text]) if text else [])
+        if len(self._known) > KEPT_CHUNKS:
+            self._known.clear()
+        known = self._known
+        new = list({c for parts in plain for c in parts if c not in known})
+        here = self._learned(new)
+        known.update((c, r) for c, r in here.items() if len(c) <= KEPT_CHARS)
+        found = [[known.get(c) or here[c] for c in parts] for parts in plain]
+        return [f if all(r[3] for r in f) else [] for f in found]
+
+    def _learned(self, parts: list[str]) -> dict[str, tuple]:
+        """(written groups, keys of all links as bytes, counts, whether there are tokens)."""
+        import numpy as np
+
+        out = {}
+        for some, s in self._stacks(parts):
+            n = s.count
+            text, key = self.links(s)
+            at = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n)))).tolist()
+            total = int(s.groups[-1])
+            group = np.repeat(np.arange(n), np.diff(s.groups))
+            both = np.bincount(s.a_group, minlength=total) * np.bincount(s.b_group, minlength=total)
+            counts = np.stack(
+                [
+                    np.bincount(s.a_text, minlength=n), np.bincount(s.b_text, minlength=n), np.diff(s.groups),
+                    np.diff(at), np.bincount(group, both, minlength=n).astype(np.int64),
+                ],
+                axis=1,
+            )
+            for part, w, i, j, c in zip(some, self.written(s), at, at[1:], counts.tolist()):
+                out[part] = (w, key[i:j].tobytes(), c, c[0] > 0)
+        return out
+
+    def _stacks(self, parts: list[str]) -> Iterator[tuple[list[str], Stack]]:
+        """Stacks of chunks. Those that end in no white space are encoded as one text,
+        which cuts them apart again."""
+        plain = [c for c in parts if not c[-1].isspace()] if self._cut else []
+        runs = [plain[i : i + 4096] for i in range(0, len(plain), 4096)]
+        while runs:
+            run = runs.pop()
+            raw = [c.encode() for c in run]
+            s = self._joined(raw)
+            if s is None and len(run) > 1:  # some chunk is not kept: look for it
+                runs += [run[: len(run) // 2], run[len(run) // 2 :]]
+            else:
+                yield run, s or self.stack(raw)
+        odd = [c for c in parts if c[-1].isspace() or not self._cut]
+        for i in range(0, len(odd), 4096):
+            yield odd[i : i + 4096], self.stack([c.encode() for c in odd[i : i + 4096]])
+
+    def _joined(self, raw: list[bytes]) -> Stack | None:
+        import numpy as np
+
+        line = b" ".join(raw)
+        text = line.decode()
+        a, b = self.a.encode([text])[0], self.b.encode([text])[0]
+        pa, pb = self.a.pieces, self.b.pieces
+        if not b"".join([pa[t] for t in a]) == b" " + line == b"".join([pb[t] for t in b]):
+            return None
+        return self._stack(np.array([len(c) + 1 for c in raw], np.int64), a, b)
 
     def stack(self, texts: list[bytes | None]) -> Stack:
         """Texts that are null, empty, no UTF-8 or not kept by a tokenizer have no tokens."""
@@ -195,23 +292,26 @@ class Aligner:
                     usable.append(i)
             except UnicodeDecodeError:
                 pass
-        a_ids, b_ids, a_text, b_text = [], [], [], []
+        a_ids, b_ids = [], []
         sizes = np.zeros(len(texts), np.int64)
         some = zip(usable, self.a.encode(plain), self.b.encode(plain)) if plain else ()
+        pa, pb = self.a.pieces, self.b.pieces
         for i, a, b in some:
             want = b" " + texts[i]
-            pa, pb = self.a.pieces, self.b.pieces
             if b"".join([pa[t] for t in a]) == want == b"".join([pb[t] for t in b]):
                 sizes[i] = len(want)
                 a_ids += a
                 b_ids += b
-                a_text.append((i, len(a)))
-                b_text.append((i, len(b)))
+        return self._stack(sizes, a_ids, b_ids)
+
+    def _stack(self, sizes, a_ids: list[int], b_ids: list[int]) -> Stack:
+        """Texts of ``sizes`` bytes, each covered whole by tokens of both."""
+        import numpy as np
+
         a_id, b_id = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
         base = np.concatenate(([0], np.cumsum(sizes)))
         width = int(base[-1])
         a_end, b_end = np.cumsum(self.a_len[a_id]), np.cumsum(self.b_len[b_id])
-        # Every text is covered whole by both, so ends run on from text to text.
         a_start, b_start = a_end - self.a_len[a_id], b_end - self.b_len[b_id]
         cut = np.zeros(width + 1, bool)
         cut[a_end] = True
@@ -219,9 +319,9 @@ class Aligner:
         both[b_end] = True
         cut &= both
         upto = np.cumsum(cut)
-        runs = lambda t: np.repeat([i for i, _ in t], [n for _, n in t]).astype(np.int64)
+        text = np.repeat(np.arange(len(sizes)), sizes)  # of each byte
         return Stack(
-            len(texts), runs(a_text), runs(b_text), a_id, b_id, upto[a_start], upto[b_start],
+            len(sizes), text[a_start], text[b_start], a_id, b_id, upto[a_start], upto[b_start],
             covers(a_start, a_end, width), covers(b_start, b_end, width), upto[base],
         )
 
@@ -242,17 +342,14 @@ class Aligner:
         code = code.tolist()
         return ["".join([table[c] for c in code[i:j]])[:-1] for i, j in zip(at, at[1:])]
 
-    def pairs(self, s: Stack) -> tuple:
-        """(text, id of A, id of B, links) of the overlap links, sorted by the first three."""
+    def links(self, s: Stack) -> tuple:
+        """(text, id of A and of B as one number) of each overlap link, in the order of texts."""
         import numpy as np
 
-        na, nb = len(self.a_len), len(self.b_len)
-        parts = [
-            (s.a_text[i] * na + s.a_id[i]) * nb + s.b_id[j] for i, j, _ in product(s.a_bytes, s.b_bytes)
-        ]
-        key = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        key, n = np.unique(key, return_counts=True)
-        return key // (na * nb), key // nb % na, key % nb, n
+        parts = [(s.a_text[i], s.a_id[i] * len(self.b_len) + s.b_id[j]) for i, j, _ in product(s.a_bytes, s.b_bytes)]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(p) for p in zip(*parts))
 
 
 def _blocks(texts, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list]]:
@@ -291,28 +388,23 @@ def encode(docs: DataFrame, a_path: str, b_path: str, text: str = "text", digest
                 continue
             rest = batch.select(kept)
             for first, texts in _blocks(batch.column(text)):
-                s = aligner.stack(texts)
-                n = s.count
-                at, pair_a, pair_b, pair_n = aligner.pairs(s)
-                count = lambda rows, weights=None: pa.array(
-                    np.bincount(rows, weights, minlength=n).astype(np.int64)
-                )
-                total = int(s.groups[-1])
-                ga, gb = (np.bincount(g, minlength=total) for g in (s.a_group, s.b_group))
-                group_text = np.repeat(np.arange(n), np.diff(s.groups))
-                written = aligner.written(s)
+                found = aligner.aligned(texts)
+                n = len(texts)
+                counts = np.array([[sum(c) for c in zip(*(r[2] for r in f))] or [0] * 5 for f in found], np.int64)
+                written = [";".join([r[0] for r in f]) for f in found]
                 if digest:
                     written = [sha256(w.encode()).hexdigest() if w else "" for w in written]
-                ptr = pa.array(np.concatenate(([0], np.cumsum(np.bincount(at, minlength=n)))), pa.int32())
+                unique = [
+                    np.unique(np.frombuffer(b"".join([r[1] for r in f]), np.int64), return_counts=True) for f in found
+                ]
+                ptr = pa.array(np.concatenate(([0], np.cumsum([len(k) for k, _ in unique]))), pa.int32())
+                key, times = (np.concatenate(p) for p in zip(*unique))
                 lists = (
-                    pa.ListArray.from_arrays(ptr, pa.array(v, pa.int32())) for v in (pair_a, pair_b, pair_n)
+                    pa.ListArray.from_arrays(ptr, pa.array(v, pa.int32()))
+                    for v in (key // len(aligner.b_len), key % len(aligner.b_len), times)
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *rest.slice(first, n).columns,
-                        count(s.a_text), count(s.b_text), pa.array(np.diff(s.groups).astype(np.int64)),
-                        count(at, pair_n), count(group_text, ga * gb), pa.array(written, pa.string()), *lists,
-                    ],
+                    [*rest.slice(first, n).columns, *map(pa.array, counts.T), pa.array(written, pa.string()), *lists],
                     names=[*kept, *names],
                 )
 

@@ -69,7 +69,7 @@ def brute(aligner, texts):
 
 def random_texts(seed, n):
     rng = random.Random(seed)
-    alphabet = "ab c\n.é日😀▁<0x41>̀ "
+    alphabet = "ab c\n.é日😀▁<0x41>̀ \u00a0\t\x1c\u2003's'll1  "
     return ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(n)]
 
 
@@ -125,6 +125,27 @@ def test_links_of_tokens(spark, aligner):
     assert counts == {d: sum(g[0] == d for g in group) for d in range(len(texts))}
 
 
+def test_chunks_are_encoded_as_in_their_text(aligner):
+    texts = [t for t in TEXTS + random_texts(21, 300) if t]
+    for t in texts:
+        if "▁" in t:  # stands for a space, so the bytes differ and there are no tokens
+            assert aligner.aligned([t.encode()]) == [[]]
+            continue
+        parts = A.chunks(t)
+        assert "".join(" " + c for c in parts) == " " + t and all(parts)
+        for model in (aligner.a, aligner.b):
+            assert sum(model.encode(parts), []) == model.encode([t])[0]
+
+
+def test_chunks_that_are_not_kept(aligner, monkeypatch):
+    texts = [t.encode() for t in TEXTS if t]
+    want = aligner.aligned(texts)
+    monkeypatch.setattr(A, "KEPT_CHUNKS", 0)
+    monkeypatch.setattr(A, "KEPT_CHARS", 3)
+    fresh = A.Aligner(*FILES)
+    assert [fresh.aligned([t])[0] for t in texts] == want
+
+
 def test_bytes_that_are_no_text(aligner):
     s = aligner.stack([b"ok", b"\xff\xfe", None])
     assert set(s.a_text.tolist()) == {0}
