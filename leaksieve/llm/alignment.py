@@ -36,6 +36,8 @@ BLOCK_BYTES = 1 << 20
 SLICE = 1 << 20
 # Chunks that a task keeps: at most so many, of so many characters.
 KEPT_CHUNKS, KEPT_CHARS = 1 << 18, 80
+# The counts of a chunk are one number, of so many bits a count, so one sum adds them all.
+COUNTS, COUNT_BITS = 5, 48
 
 
 class ByteLevel:
@@ -209,6 +211,7 @@ class Aligner:
         ]
         self._cut = self.a.cuts_at_spaces and self.b.cuts_at_spaces
         self._known: dict[str, tuple] = {}
+        self._unkept: set[str] = set()  # chunks that some tokenizer does not spell
 
     def aligned(self, texts: list[bytes | None]) -> list[list[tuple]]:
         """For each text the results of its chunks, as ``_learned`` gives them; none where
@@ -222,15 +225,18 @@ class Aligner:
             plain.append((chunks(text) if self._cut else [text]) if text else [])
         if len(self._known) > KEPT_CHUNKS:
             self._known.clear()
+            self._unkept.clear()
         known = self._known
         new = list({c for parts in plain for c in parts if c not in known})
         here = self._learned(new)
         known.update((c, r) for c, r in here.items() if len(c) <= KEPT_CHARS)
-        found = [[known.get(c) or here[c] for c in parts] for parts in plain]
-        return [f if all(r[3] for r in f) else [] for f in found]
+        return [
+            [known.get(c) or here[c] for c in parts] if self._unkept.isdisjoint(parts) else []
+            for parts in plain
+        ]
 
     def _learned(self, parts: list[str]) -> dict[str, tuple]:
-        """(written groups, keys of all links as bytes, counts, whether there are tokens)."""
+        """(written groups, keys of all links as bytes, counts) of each."""
         import numpy as np
 
         out = {}
@@ -249,7 +255,9 @@ class Aligner:
                 axis=1,
             )
             for part, w, i, j, c in zip(some, self.written(s), at, at[1:], counts.tolist()):
-                out[part] = (w, key[i:j].tobytes(), c, c[0] > 0)
+                out[part] = (w, key[i:j].tobytes(), sum(v << COUNT_BITS * k for k, v in enumerate(c)))
+                if c[0] == 0:
+                    self._unkept.add(part)
         return out
 
     def _stacks(self, parts: list[str]) -> Iterator[tuple[list[str], Stack]]:
@@ -390,7 +398,9 @@ def encode(docs: DataFrame, a_path: str, b_path: str, text: str = "text", digest
             for first, texts in _blocks(batch.column(text)):
                 found = aligner.aligned(texts)
                 n = len(texts)
-                counts = np.array([[sum(c) for c in zip(*(r[2] for r in f))] or [0] * 5 for f in found], np.int64)
+                total = [sum([r[2] for r in f]) for f in found]
+                mask = (1 << COUNT_BITS) - 1
+                counts = [pa.array([t >> COUNT_BITS * k & mask for t in total], pa.int64()) for k in range(COUNTS)]
                 written = [";".join([r[0] for r in f]) for f in found]
                 if digest:
                     written = [sha256(w.encode()).hexdigest() if w else "" for w in written]
@@ -404,7 +414,7 @@ def encode(docs: DataFrame, a_path: str, b_path: str, text: str = "text", digest
                     for v in (key // len(aligner.b_len), key % len(aligner.b_len), times)
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [*rest.slice(first, n).columns, *map(pa.array, counts.T), pa.array(written, pa.string()), *lists],
+                    [*rest.slice(first, n).columns, *counts, pa.array(written, pa.string()), *lists],
                     names=[*kept, *names],
                 )
 
