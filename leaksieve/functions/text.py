@@ -225,9 +225,52 @@ def first_match(line: Column | str, pattern: Column | str) -> Column:
     return F.when(F.rlike(line, pattern), group_of_match(line, pattern, F.lit(0)))
 
 
-def contains_any(text: Column, words: Column) -> Column:
-    """Some word of the array is a substring of ``text`` (case-sensitive)."""
-    return F.exists(words, lambda w: F.contains(text, w))
+def words_pattern(words: Sequence[str]) -> str:
+    """Java pattern that is found in a text iff one of the words is a substring of it.
+
+    The words share their beginnings: alternatives are told apart by their next
+    character, so a place in the text costs one look at the first characters and not one
+    search per word. Words that begin with another word are implied by it.
+    """
+    tree: dict = {}
+    for word in sorted(set(words), key=len):
+        node = tree
+        for c in word:
+            if None in node:  # a shorter word ends here
+                break
+            node = node.setdefault(c, {})
+        else:
+            node.clear()
+            node[None] = {}
+
+    def written(node: dict) -> str:
+        chain = ""
+        while len(node) == 1 and None not in node:
+            c, node = next(iter(node.items()))
+            chain += _quoted(c)
+        if None in node:
+            return chain
+        # Branches that are one character only become a class.
+        ends = "".join(_quoted(c) for c, below in node.items() if None in below)
+        parts = [_quoted(c) + written(below) for c, below in node.items() if None not in below]
+        if ends:
+            parts.append(f"[{ends}]")
+        return chain + (parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})")
+
+    return written(tree) if tree else r"(?!)"
+
+
+def _quoted(c: str) -> str:
+    return "\\" + c if c.isascii() and not c.isalnum() and c.isprintable() and c != " " else (
+        c if c.isprintable() or c == " " else f"\\x{{{ord(c):X}}}"
+    )
+
+
+def contains_any(text: Column, words: Sequence[str]) -> Column:
+    """Some of the words is a substring of ``text`` (case-sensitive)."""
+    if len(words) < WORDS_PATTERN_FROM:
+        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
+    return F.rlike(text, F.lit(words_pattern(words)))
 
 
 def matches_any(text: Column, patterns: Sequence[str]) -> Column:
@@ -249,6 +292,9 @@ def is_link(text: Column | str) -> Column:
     return F.rlike(c, F.lit(java_pattern(LINK_PATTERN)))
 
 
+# From here on one pattern of all words beats one search per word.
+WORDS_PATTERN_FROM = 8
+
 # Patterns that decide results.
 LINK_PATTERN = r"(?i)\b((?:https?://|www\.)\S+)\b"
 REPO_URL_PATTERN = r"/([^/]+)\.git$"

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaksieve.functions.dates import time_range
+from leaksieve.operators.ladder import Ladder, closure
 from leaksieve.operators.layout import dense_positions, reliable
 from leaksieve.sources.corpus import commit_lines
 
@@ -23,10 +24,36 @@ def by_author(commits: DataFrame, user: str) -> DataFrame:
 
 
 def all_commits(commits: DataFrame, user: str = "") -> DataFrame:
-    """C8."""
+    """C8 on a table of commits that are all reachable from HEAD; see ``reachable``."""
     return by_author(commits, user)
 
 
+def reachable(
+    commits: DataFrame, parents: DataFrame, heads: DataFrame, user: str = ""
+) -> DataFrame:
+    """The commits that can be reached from the ``heads`` (repo, commit), HEAD
+    included, in each repository.
+
+    ``parents`` has (commit, parent) and may have ``nth``, the place among a commit's
+    parents: the first ones are the lines that are jumped along. Commits that the table
+    does not have (of a shallow clone, say) end a line. A repository without a head has
+    no reachable commits.
+    """
+    order = "nth" if "nth" in parents.columns else "parent"
+    known = commits.select("repo", "commit")
+    kept = parents.join(known.select("commit").distinct(), "commit", "left_semi")
+    edges = kept.groupBy("commit").agg(
+        F.array_sort(F.collect_set(F.struct(F.col(order).alias("o"), "parent")))["parent"].alias("up")
+    )
+    chain = edges.select(F.col("commit").alias("node"), F.get("up", F.lit(0)).alias("next"))
+    others = edges.select(
+        F.col("commit").alias("node"), F.explode(F.slice("up", 2, F.size("up"))).alias("next")
+    )
+    starts = heads.select(F.col("repo").alias("root"), F.col("commit").alias("node"))
+    seen = closure(Ladder(chain), others, starts).toDF("repo", "commit")
+    return by_author(commits.join(seen, ["repo", "commit"], "left_semi"), user)
+
+
 def single(commits: DataFrame, commit: str, user: str = "") -> DataFrame:
     """C1."""
     return by_author(commits.filter(F.col("commit") == commit), user)
@@ -118,6 +145,49 @@ def branch_tips(commits: DataFrame, refs: DataFrame, text: str) -> DataFrame:
     return tips.join(commits, ["repo", "commit"]).select(*commits.columns)
 
 
+# Rounds of single steps before the first pass of jumps; before each next one, twice as many.
+ROUNDS_BEFORE_JUMPS = 2
+
+
+def _at(time: Column, ahead: Column) -> Column:
+    """A place; the later of two is the lesser struct: an earlier time, then further behind."""
+    return F.struct(time.alias("time"), ahead.cast("long").alias("ahead"))
+
+
+def _lines(edges: DataFrame) -> Ladder:
+    """From each parent with one child to that child."""
+    only = edges.groupBy("repo", "parent").agg(
+        F.min("commit").alias("child"), F.count(F.lit(1)).alias("n")
+    ).filter("n = 1")
+    key = lambda commit: F.struct("repo", F.col(commit).alias("commit"))
+    return Ladder(only.select(key("parent").alias("node"), key("child").alias("next")))
+
+
+def _jumped(step: DataFrame, lines: Ladder) -> tuple[DataFrame, DataFrame]:
+    """Places handed up whole lines, and all that have changed since the last full round.
+
+    A line is the only way from a commit ``steps`` ahead, so its place plus as many
+    steps is one that the commit must come after.
+    """
+    k = 0
+    while (level := lines.level(k)) is not None:
+        to = (
+            level.join(step.select(F.struct("repo", "commit").alias("ahead"), "at"), "ahead")
+            .groupBy("node")
+            .agg(F.min(_at(F.col("at.time"), F.col("at.ahead") - F.col("steps"))).alias("to"))
+            .select("node.repo", "node.commit", "to")
+        )
+        later = F.coalesce(F.col("to") < F.col("at"), F.lit(False))
+        step = reliable(
+            step.join(to, ["repo", "commit"], "left").select(
+                "repo", "commit", F.when(later, F.col("to")).otherwise(F.col("at")).alias("at"),
+                (F.col("moved") | later).alias("moved"),
+            )
+        )
+        k += 1
+    return step.drop("moved"), step.filter("moved").drop("moved")
+
+
 def topological_positions(commits: DataFrame, parents: DataFrame) -> DataFrame:
     """(repo, commit, pos), children before parents, HEAD at 0, in each repository.
 
@@ -126,8 +196,9 @@ def topological_positions(commits: DataFrame, parents: DataFrame) -> DataFrame:
     first, which is nearly topological: only where a clock was wrong is a parent not
     older than its child. Such a parent takes the time of its child and comes one step
     after it (``behind``), and so on upwards. A round handles all commits whose place
-    has changed in the round before, so the number of rounds is the length of the longest
-    run of such parents, not of the history. Ties go to the newer commit, then by id.
+    has changed in the round before. Where two rounds do not suffice, places are also
+    handed up whole lines (runs of commits with one child each) by jumps, so rounds grow
+    with the logarithm of such a run. Ties go to the newer commit, then by id.
     """
     keyed = commits.select("repo", "commit", F.unix_micros("commit_ts").alias("ts"))
     edges = reliable(
@@ -136,17 +207,17 @@ def topological_positions(commits: DataFrame, parents: DataFrame) -> DataFrame:
         .join(keyed.select("repo", F.col("commit").alias("parent")), ["repo", "parent"])
         .select("repo", "commit", "parent")
     )
-    # The later of two places is the lesser struct: an earlier time, then further behind.
-    at = lambda time, ahead: F.struct(time.alias("time"), ahead.alias("ahead"))
     placed = reliable(
-        keyed.select("repo", "commit", at(F.col("ts"), F.lit(0)).alias("at"))
+        keyed.select("repo", "commit", _at(F.col("ts"), F.lit(0)).alias("at"))
     )
     moved = placed
+    lines, rounds = None, 0
+    wait = due = ROUNDS_BEFORE_JUMPS
     while True:
         pushed = (
             edges.join(moved, ["repo", "commit"])
             .groupBy("repo", F.col("parent").alias("commit"))
-            .agg(F.min(at(F.col("at.time"), F.col("at.ahead") - 1)).alias("to"))
+            .agg(F.min(_at(F.col("at.time"), F.col("at.ahead") - 1)).alias("to"))
         )
         later = F.coalesce(F.col("to") < F.col("at"), F.lit(False))
         step = reliable(
@@ -156,8 +227,14 @@ def topological_positions(commits: DataFrame, parents: DataFrame) -> DataFrame:
             )
         )
         placed, moved = step.drop("moved"), step.filter("moved").drop("moved")
+        rounds += 1
         if moved.isEmpty():
             break
+        if rounds == due:
+            lines = lines or _lines(edges)
+            placed, moved = _jumped(step, lines)
+            wait *= 2
+            due += wait
     rows = placed.join(keyed, ["repo", "commit"]).select(
         "repo", "commit", "ts", F.col("at.time").alias("time"), (-F.col("at.ahead")).alias("behind")
     )

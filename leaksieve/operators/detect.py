@@ -235,7 +235,7 @@ def _listed(allow: Allowlist, target: Column) -> Column:
         return F.lit(False)
     tests = [F.rlike(target, F.lit(java_pattern(p))) for p in allow.regexes]
     if allow.stopwords:
-        tests.append(contains_any(target, F.lit(list(allow.stopwords))))
+        tests.append(contains_any(target, allow.stopwords))
     return _any(tests)
 
 

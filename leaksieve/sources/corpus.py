@@ -11,6 +11,7 @@ from leaksieve.errors import EmptyCatalog
 from leaksieve.functions.dates import commit_date_text
 from leaksieve.functions.text import lossy_utf8
 from leaksieve.operators.layout import join_on_skewed_key
+from leaksieve.sources import worktree
 from leaksieve.sources.catalog import RuleSet, parse_catalog
 
 
@@ -83,35 +84,62 @@ def decode_files(files: DataFrame, on_invalid: str = "fail") -> DataFrame:
     return out if on_invalid == "flag" else out.drop("valid")
 
 
-def working_tree(spark: SparkSession, folder: str, on_invalid: str = "fail") -> DataFrame:
-    """L4: (path, content) of all files below ``folder``, ready for a scan."""
-    return decode_files(list_files(spark, folder), on_invalid)
+def working_tree(
+    spark: SparkSession,
+    folder: str,
+    on_invalid: str = "fail",
+    head: DataFrame | None = None,
+    staged: DataFrame | None = None,
+    on_deleted: str = "fail",
+) -> DataFrame:
+    """L4: (path, content) of the files below ``folder``, ready for a scan.
+
+    With ``head``, the entries (path, blob_id) of HEAD's tree, only of those that were
+    changed since or are not tracked; see ``worktree.uncommitted``.
+    """
+    files = list_files(spark, folder)
+    if head is not None:
+        files = worktree.uncommitted(head, files, staged, on_deleted)
+    return decode_files(files, on_invalid)
 
 
 def config_from_corpus(
     commits: DataFrame, entries: DataFrame, blobs: DataFrame, names: Sequence[str]
 ) -> DataFrame:
-    """Text of the catalogue nearest to HEAD, at most one row.
+    """For each repository that has one, the catalogue nearest to its HEAD:
+    (repo, commit, path, content).
 
-    ``names`` are the file names that count as a catalogue in a root folder.
+    ``names`` are the file names that count as a catalogue in a root folder. ``pos`` is
+    a commit's place in its own repository; of files at one place the first path counts.
     """
     roots = entries.filter(F.col("path").isin([f"/{n}" for n in names]))
     first = (
         roots.join(commits.select("repo", "commit", "pos"), ["repo", "commit"])
-        .orderBy("pos", "path")
-        .limit(1)
+        .groupBy("repo")
+        .agg(
+            F.min_by(F.struct("commit", "path", "blob_id"), F.struct("pos", "path", "commit")).alias("at")
+        )
+        .select("repo", "at.*")
     )
     return first.join(blobs, "blob_id").select("repo", "commit", "path", "content")
 
 
 def rules_from_corpus(
-    commits: DataFrame, entries: DataFrame, blobs: DataFrame, names: Sequence[str]
+    commits: DataFrame,
+    entries: DataFrame,
+    blobs: DataFrame,
+    names: Sequence[str],
+    repo: str | None = None,
 ) -> RuleSet:
-    """L7 followed by L5."""
-    row = config_from_corpus(commits, entries, blobs, names).first()
-    if row is None:
+    """L7 followed by L5, for ``repo``; without it there must be one repository only."""
+    if repo is not None:
+        commits = commits.filter(F.col("repo") == repo)
+    rows = config_from_corpus(commits, entries, blobs, names).take(2)
+    if not rows:
         raise EmptyCatalog("no catalogue in the corpus")
-    return parse_catalog(row["content"])
+    if len(rows) > 1:
+        raise ValueError("several repositories have a catalogue: name one")
+    return parse_catalog(rows[0]["content"])
 
 
 def commit_lines(spark: SparkSession, path: str) -> DataFrame:

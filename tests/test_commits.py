@@ -140,6 +140,108 @@ def test_topological_rounds_do_not_grow_with_the_history(spark, monkeypatch):
     assert pos[0] == 0 and len(calls) <= 12
 
 
+def _counted(monkeypatch):
+    """Counts every stored table and checkpoint."""
+    from leaksieve.operators import ladder
+
+    calls = []
+    for module, name in ((C, "reliable"), (ladder, "stored")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda df, real=real: calls.append(1) or real(df))
+    return calls
+
+
+@pytest.mark.parametrize("hours", [lambda i: 0, lambda i: -i])
+def test_many_commits_of_one_second_and_wrong_clocks(spark, monkeypatch, hours):
+    """Rounds grow with the logarithm of a run of equal times, or of clocks gone backwards."""
+    calls = _counted(monkeypatch)
+    n = 5000
+    pos = _history(spark, n, {(i, i + 1) for i in range(n - 1)}, hours)
+    assert [pos[i] for i in range(n)] == list(range(n)) and len(calls) <= 16
+
+
+def _longest(n, edges, time):
+    """(time, steps behind) from the definition: the earliest descendant, the longest way."""
+    children = {i: [c for c, p in edges if p == i] for i in range(n)}
+    place = {}
+
+    def at(i):
+        if i not in place:
+            place[i] = min([(time[i], 0), *((t, b - 1) for t, b in map(at, children[i]))])
+        return place[i]
+
+    return [at(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_places_in_odd_histories(spark, seed):
+    rng = random.Random(seed)
+    n, edges = 60, set()
+    for i in range(1, n):
+        edges.add((i - 1 if rng.random() < 0.9 else rng.randrange(i), i))
+        if rng.random() < 0.1:
+            edges.add((rng.randrange(i), i))
+    time = [rng.choice([0, 0, 0, -i, rng.randint(-n, n)]) for i in range(n)]
+    pos = _history(spark, n, edges, lambda i: -time[i])
+    place = _longest(n, edges, time)
+    want = sorted(range(n), key=lambda i: (-place[i][0], -place[i][1], -time[i], f"{i:05}"))
+    assert [pos[i] for i in want] == list(range(n))
+
+
+def _reach(heads, edges):
+    up = {}
+    for c, p in edges:
+        up.setdefault(c, []).append(p)
+    out = set()
+    for repo, c in heads:
+        todo = [c]
+        while todo:
+            c = todo.pop()
+            if (repo, c) not in out:
+                out.add((repo, c))
+                todo += up.get(c, [])
+    return out
+
+
+def _reachable(spark, n, edges, heads, repos=("a", "b"), nth=None):
+    commits = spark.createDataFrame(
+        [(r, i, "u") for i in range(n) for r in repos], "repo string, commit int, author string"
+    )
+    rows = [(c, p, 0 if nth is None else nth(c, p)) for c, p in edges]
+    parents = spark.createDataFrame(rows, "commit int, parent int, nth int")
+    heads = spark.createDataFrame(heads, "repo string, commit int")
+    got = C.reachable(commits, parents if nth else parents.drop("nth"), heads)
+    return sorted((r["repo"], r["commit"]) for r in got.collect())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reachable_commits(spark, seed):
+    rng = random.Random(seed)
+    n = 80
+    edges = {(i, rng.randrange(max(0, i - 9), i)) for i in range(1, n) for _ in range(rng.choice([1, 1, 2, 3]))}
+    edges |= {(7, 1000), (n + 5, 3)}  # parents and commits that the table does not have
+    heads = [("a", rng.randrange(n)), ("a", 5), ("b", rng.randrange(n)), ("c", 3)]
+    want = sorted((r, c) for r, c in _reach(heads, edges) if r in "ab" and c < n)
+    assert _reachable(spark, n, edges, heads) == want
+    assert _reachable(spark, n, edges, heads, nth=lambda c, p: -p) == want
+    assert _reachable(spark, n, edges, []) == []
+
+
+def test_a_long_line_is_reached_in_few_rounds(spark, monkeypatch):
+    calls = _counted(monkeypatch)
+    n = 5000
+    line = {(i, i - 1) for i in range(1, n)}
+    got = _reachable(spark, n, line, [("a", n - 1)])
+    assert got == [("a", i) for i in range(n)] and len(calls) <= 20
+    calls.clear()
+    # A main line with merges of 2,000 side branches; what is not merged is not reached.
+    n, edges = 8000, set()
+    for i in range(4, n, 4):
+        edges |= {(i, i - 4), (i, i - 3), (i - 3, i - 4), (i - 2, i - 4), (i - 1, i - 2)}
+    got = _reachable(spark, n, edges, [("a", n - 4)], nth=lambda c, p: int(c - p != 4))
+    assert len(got) == 2000 + 1999 and all(i % 4 < 2 for _, i in got) and len(calls) <= 24
+
+
 def test_time_range_is_pushed_to_the_scan(spark, commits, tmp_path):
     path = str(tmp_path / "commits")
     commits.write.parquet(path)

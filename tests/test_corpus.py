@@ -78,3 +78,21 @@ def test_stream(spark, tmp_path):
     (tree / "b.txt").write_bytes(b"key3")
     assert run() == ["key1", "key2", "key3"]
     assert run() == ["key1", "key2", "key3"]
+
+
+def test_config_of_each_repository(spark):
+    commits = spark.createDataFrame(
+        [(r, f"{r}{i}", i // 2) for i in range(4) for r in "ab"], "repo string, commit string, pos long"
+    )
+    entries = spark.createDataFrame(
+        [("a", "a2", "/c.toml", "b2"), ("a", "a3", "/.c.toml", "b1"), ("b", "b1", "/c.toml", "b0"),
+         ("b", "b2", "/c.toml", "b2")],
+        "repo string, commit string, path string, blob_id string",
+    )
+    blobs = spark.createDataFrame([(f"b{i}", CATALOG.format(i)) for i in range(3)], "blob_id string, content string")
+    names = ("c.toml", ".c.toml")
+    got = corpus.config_from_corpus(commits, entries, blobs, names).collect()
+    assert sorted((r["repo"], r["commit"]) for r in got) == [("a", "a3"), ("b", "b1")]
+    assert corpus.rules_from_corpus(commits, entries, blobs, names, "b").rules[0].description == "0"
+    with pytest.raises(ValueError):
+        corpus.rules_from_corpus(commits, entries, blobs, names)

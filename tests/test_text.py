@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from leaksieve.errors import UnsupportedPattern
 from leaksieve.functions import text
+from leaksieve.sources.catalog import stock_stopwords
 from tests.brute import split_lines
 
 LINES = {
@@ -71,11 +74,45 @@ def test_any(spark):
     assert one(spark, "hello, world!", text.matches_any(F.col("s"), pats)) is True
     assert one(spark, "goodbye", text.matches_any(F.col("s"), pats)) is False
     assert one(spark, "x", text.matches_any(F.col("s"), ())) is False
-    fruit = F.lit(["apple", "banana", "orange"])
+    fruit = ["apple", "banana", "orange"]
     assert one(spark, "I like to eat bananas", text.contains_any(F.col("s"), fruit)) is True
     assert one(spark, "I like to eat grapes", text.contains_any(F.col("s"), fruit)) is False
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_word_lists_against_one_search_per_word(spark, seed):
+    rng = random.Random(seed)
+    letters = "abcB-]^\\&.[ \n\u00e9\U0001f600\u0301"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(rng.randint(1, n)))
+    words = [word(5) for _ in range(rng.choice([1, 7, 8, 60]))]
+    texts = ["", *(word(30) for _ in range(300))]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = df.select("s", text.contains_any(F.col("s"), words).alias("x")).collect()
+    assert all(r["x"] == any(w in r["s"] for w in words) for r in got)
+
+
+def test_odd_word_lists(spark):
+    few = ["x", *"bcdefgh"]
+    assert one(spark, "", text.contains_any(F.col("s"), ["", *few])) is True
+    assert one(spark, "a", text.contains_any(F.col("s"), few)) is False
+    assert one(spark, "a", text.contains_any(F.col("s"), [])) is False
+    assert one(spark, None, text.contains_any(F.col("s"), few)) is None
+
+
+def test_the_stock_words(spark):
+    rng = random.Random(2)
+    words = stock_stopwords()
+    texts = [
+        "".join(rng.choice("etaoinsrhldcumfpgwybvkxjqz_-0") for _ in range(rng.randrange(12)))
+        + rng.choice(["", rng.choice(words), rng.choice(words)[:-1]])
+        for _ in range(3000)
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = df.select("s", text.contains_any(F.col("s"), words).alias("x")).collect()
+    assert all(r["x"] == any(w in r["s"] for w in words) for r in got)
+    assert 100 < sum(r["x"] for r in got) < 2900
+
+
 @pytest.mark.parametrize(
     "value,hit",
     [

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leaksieve.sources.worktree import blob_object_id
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -166,6 +168,79 @@ def history(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return shared, parents_
 
 
+def lanes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(commits, parents, heads) of a history in 16 lanes, in two repositories.
+
+    Commit e has the parent e - 16, the first 15 after the root have the root. Lane 0 is
+    the main line; each of its commits merges one of the lanes 1 to 8, in turn. The other
+    lanes are not merged. HEAD of ``main`` is the end of lane 0, that of ``fork`` a commit
+    of lane 9 in the middle.
+    """
+    events = table(spark, sf, "events").select("event_id", "user_id")
+    e = F.col("event_id")
+    commit = lambda at: F.md5(at.cast("string"))
+    commits_ = events.select(
+        F.explode(F.array(F.lit("fork"), F.lit("main"))).alias("repo"), commit(e).alias("commit"),
+        F.concat(F.lit("user"), "user_id").alias("author"),
+    )
+    before = F.greatest(e - 16, F.lit(0))
+    merged = F.when((e % 16 == 0) & (e > 0), e - 15 + (e / 16).cast("long") % 8)
+    ups = F.array_compact(F.array(F.when(e > 0, before), merged))
+    parents_ = events.select("event_id", F.posexplode(ups).alias("nth", "up")).select(
+        commit(e).alias("commit"), commit(F.col("up")).alias("parent"), "nth"
+    )
+    end = events.agg(F.max("event_id")).scalar()
+    heads_ = events.select(
+        F.when(e % 16 == 0, "main").when((e % 16 == 9) & (e <= end / 2), "fork").alias("repo"), "event_id"
+    ).filter("repo IS NOT NULL").groupBy("repo").agg(commit(F.max("event_id")).alias("commit"))
+    return commits_, parents_, heads_
+
+
+LANES = """
+lane_commits AS (SELECT unnest(['fork', 'main']) AS repo, md5(CAST(event_id AS VARCHAR)) AS commit,
+  concat('user', user_id) AS author FROM events),
+lane_parents AS (SELECT md5(CAST(e AS VARCHAR)) AS commit, md5(CAST(up AS VARCHAR)) AS parent FROM (
+  SELECT event_id AS e, greatest(event_id - 16, 0) AS up FROM events WHERE event_id > 0
+  UNION ALL SELECT event_id, event_id - 15 + event_id // 16 % 8 FROM events
+  WHERE event_id % 16 = 0 AND event_id > 0)),
+lane_heads AS (SELECT 'main' AS repo, md5(CAST(max(event_id) AS VARCHAR)) AS commit FROM events
+    WHERE event_id % 16 = 0
+  UNION ALL SELECT 'fork', md5(CAST(max(event_id) AS VARCHAR)) FROM events
+    WHERE event_id % 16 = 9 AND event_id <= (SELECT max(event_id) FROM events) / 2)"""
+
+
+def worktree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(HEAD's entries, files with bytes) of a working tree of the documents.
+
+    Every seventh file has a further line, every eleventh is gone, every thirteenth is
+    new, and all of one source lie in a submodule.
+    """
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    doc, path = F.col("doc_id"), F.expr(_PATH)
+    raw = F.encode("text", "UTF-8")
+    tracked = docs.filter((doc % 13 != 0) & (F.col("source") != "src4")).select(
+        path.alias("path"), blob_object_id(raw).alias("blob_id"), F.lit("blob").alias("kind")
+    )
+    module = docs.filter("source = 'src4'").select(
+        F.lit("/src4").alias("path"), F.sha1(F.lit(b"src4")).alias("blob_id"), F.lit("commit").alias("kind")
+    ).distinct()
+    more = F.concat(F.col("text"), F.lit("\ntoken mail1@mail2.example.net"))
+    content = F.when(doc % 7 == 0, F.encode(more, "UTF-8")).otherwise(raw)
+    files_ = docs.filter(doc % 11 != 0).select(
+        F.substring(path, F.lit(2), F.length(path)).alias("path"), content.alias("content")
+    )
+    return tracked.unionByName(module), files_
+
+
+WORKTREE = f"""
+tree_files AS (SELECT doc_id, substr({_PATH}, 2) AS path, text FROM documents WHERE source <> 'src4'),
+head AS (SELECT path, sha1(encode('blob ' || strlen(text)) || '\\x00'::BLOB || encode(text)) AS id
+  FROM tree_files WHERE doc_id % 13 <> 0),
+work AS (SELECT *, sha1(encode('blob ' || strlen(content)) || '\\x00'::BLOB || encode(content)) AS id
+  FROM (SELECT path, CASE WHEN doc_id % 7 = 0 THEN text || chr(10) || 'token mail1@mail2.example.net'
+    ELSE text END AS content FROM tree_files WHERE doc_id % 11 <> 0))"""
+
+
 def encoded_files(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as files of bytes: every third in Latin-1, the others in UTF-8."""
     text = F.col("content")

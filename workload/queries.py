@@ -16,7 +16,7 @@ from leaksieve.operators import rules as R
 from leaksieve.plans import report
 from leaksieve.plans.scan import Selection, scan, scan_files, scan_history, select_commits, summary
 from leaksieve.schema import LEAK_COLUMNS
-from leaksieve.sources import corpus
+from leaksieve.sources import corpus, worktree
 from leaksieve.sources.catalog import Allowlist, Rule, RuleSet, stock_rules, stock_stopwords
 from workload import model as M
 from workload.sql import DATE_TEXT, file_leaks, history_leaks, lines_cte, matches_ctes, quote
@@ -126,6 +126,44 @@ def scan_stock_stopwords(spark, sf):
     return scan_files(files, STOCK)
 
 
+# The stock allowlists in a history: path patterns prune pictures and documents, stopwords
+# drop every other value, and what is left is reported.
+_ASSIGNED_BLOBS = """
+blobs AS (SELECT DISTINCT blob_id, concat(content, chr(10), 'api_key = "',
+  (%s)[1 + strlen(content) %% %d], substr(blob_id, 1, 20), '"') AS content FROM files)""" % (
+    "[" + ", ".join(map(quote, _WORDS)) + "]", len(_WORDS),
+)
+_STOCK_PATHS = " OR ".join(
+    f"regexp_matches(p, {quote(e)})" if e.startswith("(") and e.endswith("$") else f"p = {quote(e)}"
+    for e in STOCK.allowlist.paths
+)
+_STOCK_KEPT = f"""
+pruned AS (SELECT DISTINCT path FROM (
+    SELECT path, array_to_string(parts[1:i], '/') AS p FROM (
+      SELECT path, parts, unnest(range(2, len(parts) + 1)) AS i
+      FROM (SELECT DISTINCT path, string_split(path, '/') AS parts FROM files)))
+  WHERE {_STOCK_PATHS} OR regexp_matches(path, '(^|/)\\.')),
+kept AS (SELECT * FROM entries WHERE path NOT IN (SELECT path FROM pruned))"""
+
+
+@query(
+    with_(
+        M.FILES, M.COMMITS, M.ENTRIES, _ASSIGNED_BLOBS, _STOCK_KEPT,
+        matches_ctes(STOCK, "blobs", "blob_id"),
+    )
+    + history_leaks()
+)
+def scan_stock_allowlists_history(spark, sf):
+    word = F.get(F.array(*map(F.lit, _WORDS)), (F.octet_length("content") % len(_WORDS)).cast("int"))
+    value = F.concat(word, F.left("blob_id", F.lit(20)))
+    blobs = M.texts(spark, sf).withColumn(
+        "content", F.concat("content", F.lit('\napi_key = "'), value, F.lit('"'))
+    )
+    return scan_history(
+        M.commits(spark, sf), M.entries(spark, sf), blobs, STOCK, unique_blobs=False
+    )
+
+
 # Twelve keywords call the automaton, one searches; both must give these rows. The
 # separators are those on which engines differ; RE2 classes name them all here.
 _SPACED = Rule("spaced", "Spaced", r"(?i)marks[\s|']{0,2}=[0-9]{3}", ("marks", "mark\u017f", "MARKS", "mar"))
@@ -133,7 +171,7 @@ SPACED = RuleSet((_SPACED, *(Rule(f"r{i}", f"R{i}", f"zq{i}x", (f"zq{i}",)) for
 _SEPARATORS = (" ", "\t", "\x0b", "\x0c", "\u00a0", "\u2003", "x", "'")
 _MARKS = ("marks", "MARKS", "mar\u212as", "mark\u017f", "mar\u0131ks")
 _SPACED_FILES = """
-spaced AS (SELECT concat('/', doc_id) AS path, concat(left(text, 50), chr(10),
+spaced AS (SELECT concat('/', doc_id) AS path, concat(text, chr(10),
   (%s)[1 + doc_id %% %d], (%s)[1 + doc_id // 5 %% %d], '=', 100 + doc_id %% 900, chr(10)) AS content
   FROM documents)""" % (
     "[" + ", ".join(map(quote, _MARKS)) + "]", len(_MARKS),
@@ -604,6 +642,47 @@ def commit_topological_history(spark, sf):
     return C.topological_positions(*M.history(spark, sf))
 
 
+@query(
+    f"""WITH RECURSIVE {M.LANES.strip()},
+reach(repo, commit) AS (SELECT repo, commit FROM lane_heads
+  UNION SELECT r.repo, p.parent FROM reach r JOIN lane_parents p ON p.commit = r.commit)
+SELECT c.repo, c.commit, c.author FROM lane_commits c JOIN reach r
+  ON r.repo = c.repo AND r.commit = c.commit"""
+)
+def commit_reachable(spark, sf):
+    """Lanes that were merged up to some commit are reached up to there, others not."""
+    return C.reachable(*M.lanes(spark, sf)).select("repo", "commit", "author")
+
+
+@query(
+    f"""WITH RECURSIVE {M.LANES.strip()},
+reach(repo, commit) AS (SELECT repo, commit FROM lane_heads
+  UNION SELECT r.repo, p.parent FROM reach r JOIN lane_parents p ON p.commit = r.commit)
+SELECT c.repo, c.commit, c.author FROM lane_commits c JOIN reach r
+  ON r.repo = c.repo AND r.commit = c.commit WHERE c.author = 'user7'"""
+)
+def commit_reachable_author(spark, sf):
+    return C.reachable(*M.lanes(spark, sf), user="user7").select("repo", "commit", "author")
+
+
+@query(
+    """SELECT 'one' AS repo, md5(CAST(event_id AS VARCHAR)) AS commit,
+  max(event_id) OVER () - event_id AS pos FROM events"""
+)
+def commit_topological_ties(spark, sf):
+    """A line of commits of one second: only the parents tell their order."""
+    events = M.table(spark, sf, "events").select("event_id")
+    commit = lambda e: F.md5(e.cast("string"))
+    commits = events.select(
+        F.lit("one").alias("repo"), commit(F.col("event_id")).alias("commit"),
+        F.timestamp_seconds(F.lit(1_700_000_000)).alias("commit_ts"),
+    )
+    parents = events.filter("event_id > 0").select(
+        commit(F.col("event_id")).alias("commit"), commit(F.col("event_id") - 1).alias("parent")
+    )
+    return C.topological_positions(commits, parents)
+
+
 # ----------------------------------------------------------- sources
 
 
@@ -666,7 +745,63 @@ def working_tree_scan(spark, sf):
     return scan_files(files, USER)
 
 
+@query(
+    with_(M.WORKTREE)
+    + """SELECT coalesce(h.path, w.path) AS path, CASE WHEN w.id IS NULL THEN 'deleted'
+    WHEN h.id IS NULL THEN 'untracked' ELSE 'modified' END AS state, h.id AS head_id, w.id AS work_id
+FROM head h FULL JOIN work w ON w.path = h.path WHERE h.id IS DISTINCT FROM w.id"""
+)
+def working_tree_status(spark, sf):
+    head, files = M.worktree(spark, sf)
+    return worktree.status(head, files).select("path", "state", "head_id", "work_id")
+
+
+@query(
+    with_(
+        M.WORKTREE,
+        """
+changed AS (SELECT w.path, w.content FROM work w LEFT JOIN head h ON h.path = w.path
+  WHERE h.id IS DISTINCT FROM w.id)""",
+        matches_ctes(USER, "changed"),
+    )
+    + file_leaks()
+)
+def working_tree_changes_scan(spark, sf):
+    head, files = M.worktree(spark, sf)
+    changed = corpus.decode_files(worktree.uncommitted(head, files, on_deleted="skip"))
+    leaks, _ = scan(
+        Selection(uncommitted=True), USER, M.commits(spark, sf), M.entries(spark, sf),
+        M.texts(spark, sf), files=changed,
+    )
+    return leaks
+
+
 _CONFIG_NAMES = ("page7.toml", ".page11.toml")
+_CONFIG_TREES = """
+trees AS (SELECT event_type AS repo, md5(CAST(event_id AS VARCHAR)) AS commit,
+  concat('/page', page_id, '.toml') AS path, html AS content FROM events e
+  JOIN pages p ON p.page_id = e.event_id % 50)"""
+
+
+@query(
+    with_(M.COMMITS, _CONFIG_TREES)
+    + """SELECT repo, commit, path, content FROM (
+  SELECT t.*, row_number() OVER (PARTITION BY t.repo ORDER BY c.pos // 500, t.path, t.commit) AS n
+  FROM trees t JOIN commits c ON c.repo = t.repo AND c.commit = t.commit
+  WHERE t.path IN ('/page7.toml', '/page11.toml')) WHERE n = 1"""
+)
+def config_per_repo(spark, sf):
+    """Each repository has its own catalogue; places meet within and between them."""
+    trees = M.table(spark, sf, "events").select(
+        F.col("event_type").alias("repo"),
+        F.md5(F.col("event_id").cast("string")).alias("commit"),
+        (F.col("event_id") % 50).alias("blob_id"),
+    ).withColumn("path", F.concat(F.lit("/page"), "blob_id", F.lit(".toml")))
+    blobs = M.table(spark, sf, "pages").select(
+        F.col("page_id").alias("blob_id"), F.col("html").alias("content")
+    )
+    commits = M.commits(spark, sf).withColumn("pos", F.floor(F.col("pos") / 500))
+    return corpus.config_from_corpus(commits, trees, blobs, ("page7.toml", "page11.toml"))
 
 
 @query(
@@ -678,9 +813,10 @@ trees AS (SELECT event_type AS repo, md5(CAST(event_id AS VARCHAR)) AS commit,
   html AS content FROM events e
   JOIN pages p ON p.page_id = e.event_id % (SELECT max(page_id) + 1 FROM pages))""",
     )
-    + """SELECT t.repo, t.commit, t.path, t.content FROM trees t JOIN commits c
-  ON c.repo = t.repo AND c.commit = t.commit WHERE t.path IN ('/page7.toml', '/.page11.toml')
-ORDER BY c.pos, t.path LIMIT 1"""
+    + """SELECT repo, commit, path, content FROM (
+  SELECT t.*, row_number() OVER (PARTITION BY t.repo ORDER BY c.pos, t.path) AS n
+  FROM trees t JOIN commits c ON c.repo = t.repo AND c.commit = t.commit
+  WHERE t.path IN ('/page7.toml', '/.page11.toml')) WHERE n = 1"""
 )
 def config_from_corpus(spark, sf):
     pages = M.table(spark, sf, "pages")

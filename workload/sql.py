@@ -45,6 +45,27 @@ def _listed(allow: Allowlist, target: str) -> str:
     return "(" + " OR ".join(tests or ["false"]) + ")"
 
 
+def _stopwords_cte(rules: RuleSet, match_target: str) -> tuple[str, str]:
+    """(CTE, test) for stopword lists that are too long for one test per word."""
+    rows, tests = [], []
+    for i, r in enumerate(rules.rules):
+        a = r.allowlist
+        if a and len(a.stopwords) > LONG_LIST and not a.regexes:
+            rows += [f"({i}, {quote(w)})" for w in a.stopwords]
+            target = "line" if a.regex_target == "line" else match_target
+            tests.append(
+                f"(m.rule_pos = {i} AND EXISTS (SELECT 1 FROM stop s"
+                f" WHERE s.rule_pos = m.rule_pos AND contains(m.{target}, s.word)))"
+            )
+    if not rows:
+        return "", "false"
+    values = ",\n  ".join(rows)
+    return f"stop(rule_pos, word) AS (VALUES\n  {values}),\n", " OR ".join(tests)
+
+
+LONG_LIST = 50
+
+
 def matches_ctes(
     rules: RuleSet, source: str = "files", key: str = "path", fold: bool = False,
     match_target: str = "match",
@@ -53,8 +74,9 @@ def matches_ctes(
     text = "lower(f.content)" if fold else "f.content"
     a = rules.allowlist
     drops = [_listed(a, "line" if a.regex_target == "line" else match_target)]
+    stop_cte, stopped = _stopwords_cte(rules, match_target)
     for i, r in enumerate(rules.rules):
-        if r.allowlist:
+        if r.allowlist and (r.allowlist.regexes or len(r.allowlist.stopwords) <= LONG_LIST):
             t = "line" if r.allowlist.regex_target == "line" else match_target
             drops.append(f"(rule_pos = {i} AND {_listed(r.allowlist, t)})")
     secret = "CASE " + "".join(
@@ -74,7 +96,7 @@ found AS (SELECT l.{key}, c.rule_pos, l.line_number, l.line,
   FROM lines l JOIN called c ON l.{key} = c.{key} JOIN rule r ON r.rule_pos = c.rule_pos
   WHERE regexp_matches(l.line, r.regex)),
 secrets AS (SELECT *, {secret} AS secret FROM found),
-matches AS (SELECT * FROM secrets WHERE NOT ({' OR '.join(drops)}))"""
+{stop_cte}matches AS (SELECT * FROM secrets m WHERE NOT ({' OR '.join(drops)}) AND NOT ({stopped}))"""
     )
 
 
