@@ -7,8 +7,7 @@ each language. The set of languages is that of the largest penalised likelihood:
 language more must gain ``PENALTY * ln(words)``, or it is left out.
 
 Counts are combined per task and per language before they move; the model has
-``languages x BUCKETS`` numbers (fewer buckets for very many languages), so its size does
-not grow with the corpus. A text stays where it was read.
+``languages x BUCKETS`` numbers, so its size does not grow with the corpus. A text stays where it was read.
 """
 
 from __future__ import annotations
@@ -22,7 +21,8 @@ from pyspark.sql import functions as F
 from leaksieve.llm.texthash import blocks, letter_bytes, spans
 
 BUCKETS = 1 << 16
-MAX_CELLS = 1 << 24
+# Profiles are a table of BUCKETS numbers (256 KB) per language, which all tasks hold.
+MAX_LANGUAGES = 1024
 PENALTY = 2.0
 ROUNDS = 12
 # A word may speak for a language over another by so many nats at most: misspelt words
@@ -46,14 +46,17 @@ def _letters_only(data, inside):
     return np.where(inside[data], data, np.uint8(32))
 
 
-def _trigrams(data, buckets: int):
-    """Bucket of the trigram around each byte; a blank stands before and after."""
+def _trigrams(data, offsets, buckets: int):
+    """Bucket of the trigram around each byte; a blank stands before and after each row,
+    so what a row gives does not depend on the rows beside it."""
     import numpy as np
 
-    # Rows of a block touch; a trigram across that edge does not change a language.
-    padded = np.full(len(data) + 2, 32, np.uint32)
-    padded[1:-1] = data
-    code = padded[:-2] | (padded[1:-1] << np.uint32(8)) | (padded[2:] << np.uint32(16))
+    before, after = np.full(len(data), 32, np.uint32), np.full(len(data), 32, np.uint32)
+    before[1:], after[:-1] = data[:-1], data[1:]
+    first, last = offsets[:-1], offsets[1:]
+    before[first[first < last]] = 32
+    after[last[first < last] - 1] = 32
+    code = before | (data.astype(np.uint32) << np.uint32(8)) | (after << np.uint32(16))
     h = code * np.uint32(2654435761)
     return (h >> np.uint32(32 - buckets.bit_length() + 1)).astype(np.int64)
 
@@ -61,7 +64,8 @@ def _trigrams(data, buckets: int):
 def fit(docs: DataFrame, usable: Column, buckets: int = BUCKETS) -> Profiles:
     """Profiles from all rows of (doc_id, text, lang) for which ``usable`` is true.
 
-    Rows with a null text or language do not count.
+    Rows with a null text or language do not count. More than ``MAX_LANGUAGES`` languages
+    are refused: profiles of fewer buckets would be others.
     """
     import numpy as np
 
@@ -69,9 +73,9 @@ def fit(docs: DataFrame, usable: Column, buckets: int = BUCKETS) -> Profiles:
         "text", "lang"
     )
     names = learnable.select("lang").distinct().orderBy("lang")
-    languages = tuple(r[0] for r in names.collect())
-    while buckets > 256 and buckets * len(languages) > MAX_CELLS:
-        buckets //= 2
+    languages = tuple(r[0] for r in names.take(MAX_LANGUAGES + 1))
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
 
     def count(batches: Iterator) -> Iterator:
         import numpy as np
@@ -86,7 +90,7 @@ def fit(docs: DataFrame, usable: Column, buckets: int = BUCKETS) -> Profiles:
             lang = np.array([at[x] for x in langs.to_pylist()], np.int64)
             for first, n, data, offsets in blocks(pc.utf8_lower(texts)):
                 flag = inside[data]
-                grams = _trigrams(_letters_only(data, inside), buckets)
+                grams = _trigrams(_letters_only(data, inside), offsets, buckets)
                 of = np.repeat(lang[first : first + n], np.diff(offsets))
                 for i in np.unique(of):
                     total[i] += np.bincount(grams[flag & (of == i)], minlength=buckets)
@@ -166,7 +170,7 @@ def proportions(texts, model: Profiles, penalty: float = PENALTY, rounds: int =
         starts, ends, row = spans(data, offsets, inside)
         if not len(starts):
             continue
-        grams = _trigrams(_letters_only(data, inside), buckets)
+        grams = _trigrams(_letters_only(data, inside), offsets, buckets)
         flag = inside[data]
         # Sum of log-probabilities of each word: letters are contiguous within words.
         logs = model.logp[grams[flag]].astype(np.float64)
