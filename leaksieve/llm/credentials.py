@@ -126,7 +126,7 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     scopes: dict[int, list[Span]] = {}
     for s in weak + strong_id + strong_key:
         scopes.setdefault(bisect_right(edges, s[1]), []).append(s)
-    taken = sorted((s, e) for _, s, e in base)
+    taken = _merged(base)
     out: set[Span] = set()
     for parts in scopes.values():
         ids = [p for p in parts if p[0] in ("access", "identifier")]
@@ -147,10 +147,24 @@ def _apart(ids: list[Span], keys: list[Span]) -> tuple[list[Span], list[Span]]:
     return ids, [k for k in keys if (k[1], k[2]) not in own]
 
 
-def _covered(taken: list[tuple[int, int]], start: int, end: int) -> bool:
-    """Overlaps a strong span. Strong spans may overlap each other, so all that begin
-    before ``end`` count; there are few."""
-    return any(s < end and e > start for s, e in taken)
+def _merged(base: list[Span]) -> tuple[list[int], list[int]]:
+    """(starts, ends) of the strong spans, overlapping ones as one."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted((s, e) for _, s, e in base):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def _covered(taken: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    """Overlaps a strong span: the first that ends after ``start`` begins before ``end``."""
+    starts, ends = taken
+    i = bisect_right(ends, start)
+    return i < len(starts) and starts[i] < end
 
 
 def _order(span: Span) -> tuple:

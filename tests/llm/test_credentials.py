@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -109,3 +111,22 @@ def test_odd_rows(spark):
                   (4, "hex:0:300000")])
     )
     assert C.scan_credentials(df.filter("false")).count() == 0
+
+
+def test_covered_against_all_strong_spans():
+    rng = random.Random(6)
+    for _ in range(300):
+        base = [("hex", s, s + rng.randrange(1, 9)) for s in (rng.randrange(60) for _ in range(rng.randrange(8)))]
+        taken = C._merged(base)
+        for start in range(0, 66):
+            for end in (start + 1, start + 4):
+                assert C._covered(taken, start, end) == any(s < end and e > start for _, s, e in base)
+
+
+def test_many_strong_spans_stay_linear():
+    part = "user=someone " + "0123456789abcdef" * 2 + " key=Abc123xyz\n"
+    text = part * (1_000_000 // len(part))
+    begin = time.perf_counter()
+    base, spans = C.scan_text(text)
+    assert time.perf_counter() - begin < 10
+    assert len(base) == text.count("user=") and len(spans) == 3 * len(base)
