@@ -14,7 +14,9 @@ name tells.
 Distinct entities must stay distinct. The distinct entities of the corpus are gathered
 (combined before they move), and where surrogates meet each other or a real value, all
 but one draw again, in rounds, until none meet; names of all kinds of a script count
-together. Entities that were redrawn or whose kind was changed are few; up to
+together. From the third time on an entity draws from a space that is ten times larger or
+more with each attempt (further digits or syllables, other address ranges), so a kind
+with few possible values, or with all of them taken, comes to an end as well. Entities that were redrawn or whose kind was changed are few; up to
 ``max_redrawn`` of them go to the tasks as a dictionary, more are joined to their
 documents instead.
 """
@@ -41,7 +43,9 @@ TITLES = {
     "господин": "m", "госпожа": "f", "Κύριος": "m", "Κυρία": "f",
 }
 
-EMAIL = re.compile(r"[\w.%+-]+@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
+# An e-mail address is a run of LOCAL characters that ends at an @, and a DOMAIN after it.
+LOCAL = re.compile(r"[\w.%+-]+")
+DOMAIN = re.compile(r"@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
 NUMBER = re.compile(
     r"""(?<![\w.])(?<!\d[-.])(?:
       (?P<ip>(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?!\.\d))
@@ -74,7 +78,7 @@ def entities(text: str | None) -> list[Entity]:
         return []
     found: list[Entity] = []
     if "@" in text:
-        found += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
+        found += _emails(text)
     for m in NUMBER.finditer(text):
         value = m[0] if m.lastgroup == "ip" else re.sub(r"[^0-9A-Z+]", "", m[0])
         found.append((m.start(), m.end(), m.lastgroup, value))
@@ -97,6 +101,17 @@ def entities(text: str | None) -> list[Entity]:
     return _leftmost(found)
 
 
+def _emails(text: str) -> Iterator[Entity]:
+    """E-mail addresses from left to right. Each run of characters is looked at once, so
+    a long word costs its length."""
+    end = 0
+    for run in LOCAL.finditer(text):
+        start = max(run.start(), end)
+        if start < run.end() and (m := DOMAIN.match(text, run.end())):
+            end = m.end()
+            yield start, end, "email", text[start:end].lower()
+
+
 _ROLES = ("given-", "family-")
 
 
@@ -162,7 +177,10 @@ _ENDINGS = {
 
 
 class _Draw:
-    """Numbers from a keyed hash, as many as are asked for."""
+    """Numbers from a keyed hash, as many as are asked for. ``wider`` widens the space that
+    is drawn from: by so many further digits or syllables, or by address ranges."""
+
+    wider = 0
 
     def __init__(self, key: bytes, *parts: object) -> None:
         self._state = blake2b(
@@ -213,21 +231,31 @@ def _reshaped(value: str, draw: _Draw) -> str:
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """Canonical surrogate of a canonical value; never the value itself."""
     for again in range(1000):
-        out = _drawn(kind, value, key, _Draw(key, kind, value, attempt, again))
+        draw = _Draw(key, kind, value, attempt, again)
+        draw.wider = max(0, attempt - 2)
+        out = _drawn(kind, value, key, draw)
         if out != value:
             return out
     return out  # one possible value only
 
 
 def _drawn(kind: str, value: str, key: bytes, draw: _Draw) -> str:
+    wider = draw.wider
+    more = "".join(str(draw.below(10)) for _ in range(wider)) if wider else ""
     if kind == "email":
         local, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
         # A domain has one surrogate, whoever writes from it.
-        return f"{_reshaped(local, draw)}@{_reshaped(host, _Draw(key, 'domain', domain))}.{top}"
+        return f"{_reshaped(local, draw)}{more}@{_reshaped(host, _Draw(key, 'domain', domain))}.{top}"
     if kind == "ip":
         a, b, c, d = (int(x) for x in value.split("."))
         low = [str(draw.below(256)), str(draw.below(256)), str(1 + draw.below(254))]
+        if wider:
+            # Private addresses move to the largest private range; then, and all others,
+            # to the reserved one, which no host has.
+            private = a == 10 or (a, b) == (192, 168) or (a == 172 and 16 <= b < 32)
+            first = 10 if private and wider <= 2 else 240 + draw.below(15)
+            return ".".join([str(first), *low])
         if a == 10 or a == 127:
             return ".".join([str(a), *low])
         if (a, b) == (192, 168):
@@ -239,18 +267,18 @@ def _drawn(kind: str, value: str, key: bytes, draw: _Draw) -> str:
         country, rest = value[:2], value[4:]
         rest = "".join(
             str(draw.below(10)) if c.isdigit() else chr(65 + draw.below(26)) for c in rest
-        )
+        ) + more
         return country + _iban_check(country, rest) + rest
     if kind in ("phone", "card", "ssn"):
         keep = 2 if value[0] == "+" else 1 if kind == "card" else 0
-        out = value[:keep] + "".join(str(draw.below(10)) for _ in value[keep:])
+        out = value[:keep] + "".join(str(draw.below(10)) for _ in value[keep:]) + more
         if kind == "card" and luhn_valid(out) != luhn_valid(value):
             last = [d for d in "0123456789" if luhn_valid(out[:-1] + d) == luhn_valid(value)]
             out = out[:-1] + draw.one_of(last)
         return out
     role, gender, s = kind.split("-")
     body = "".join(
-        draw.one_of(_CONSONANTS[s]) + draw.one_of(_VOWELS[s]) for _ in range(2 + draw.below(2))
+        draw.one_of(_CONSONANTS[s]) + draw.one_of(_VOWELS[s]) for _ in range(2 + draw.below(2) + wider)
     )
     return body + draw.one_of(_CONSONANTS[s]) + draw.one_of(_ENDINGS[role, s][gender])
 
@@ -263,7 +291,8 @@ def render(kind: str, original: str, replacement: str) -> str:
         return replacement
     if kind in ("phone", "card", "ssn", "iban"):
         chars = iter(replacement)
-        return "".join(next(chars) if c.isalnum() or c == "+" else c for c in original)
+        shaped = "".join(next(chars) if c.isalnum() or c == "+" else c for c in original)
+        return shaped + "".join(chars)  # a widened one is longer
     if original.isupper() and len(original) > 1:
         return replacement.upper()
     return replacement.capitalize() if original[0].isupper() else replacement

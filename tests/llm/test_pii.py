@@ -1,5 +1,7 @@
 import ipaddress
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +135,60 @@ def test_a_name_has_one_surrogate_in_all_documents(spark, bound):
     assert all(len(words) == 1 for words in new.values()), new
     words = [w for ws in new.values() for w in ws]
     assert len(set(words)) == len(new) and not set(words) & set(new)
+
+
+EMAIL = re.compile(r"[\w.%+-]+@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
+
+
+def test_emails_are_those_of_one_pattern():
+    rng = random.Random(5)
+    for _ in range(4000):
+        text = "".join(rng.choice(["a", "b1", "@", "@", ".", "-", "_", " ", "é", "com", "a.de", "+"]) for _ in range(rng.randrange(14)))
+        want = [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
+        assert list(P._emails(text)) == want
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "@" + "a" * 1_000_000, "a@b.de " + "x1" * 500_000, ("a" * 50 + "@" + "a-" * 50) * 10_000,
+        "a@" + "a-" * 500_000, "a@" + "a." * 500_000 + "1", "Mr " + "Ab " * 300_000, "1-" * 500_000,
+    ],
+)
+def test_long_texts_take_time_in_proportion(text):
+    begin = time.perf_counter()
+    P.entities(text)
+    assert time.perf_counter() - begin < 10
+
+
+def _assigned(spark, kind, values):
+    df = spark.createDataFrame([(kind, v) for v in values], "kind string, value string")
+    begin = time.perf_counter()
+    table = P.assign(df, b"k").collect()
+    took = time.perf_counter() - begin
+    new = [r["surrogate"] for r in table]
+    assert len(new) == len(set(new)) == len(values) and not set(new) & set(values)
+    return new, took
+
+
+def test_more_mailboxes_than_surrogates_of_their_form(spark):
+    new, took = _assigned(spark, "email", [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"])
+    assert took < 20 and all(re.fullmatch(r"[a-z]\d*@[a-z]{7}\.com", v) for v in new)
+
+
+def test_a_full_range_of_addresses(spark):
+    new, took = _assigned(spark, "ip", [f"192.168.{i >> 8}.{i & 255}" for i in range(1 << 16)])
+    assert took < 30 and all(v.startswith(("192.168.", "10.")) for v in new)
+
+
+@pytest.mark.parametrize("kind,digits", [("phone", "+1{:04}"), ("ssn", "{:03}"), ("card", "4{:03}")])
+def test_a_full_space_of_numbers(spark, kind, digits):
+    values = [digits.format(i) for i in range(1000)]
+    new, _ = _assigned(spark, kind, values)
+    if kind == "card":
+        luhn = lambda some: sorted(map(P.luhn_valid, some))
+        assert luhn(new) == luhn(values)
+
+
+def test_widened_surrogates_keep_all_digits():
+    assert P.render("phone", "555-123", "99912345") == "999-12345"
