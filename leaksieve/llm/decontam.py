@@ -11,12 +11,13 @@ contained item is lost, at any length of the document. Candidates are then verif
 comparing the shingles themselves.
 
 Words are runs of letters and digits (all characters beyond ASCII count as letters),
-lower-cased. A text of fewer words than a shingle has one shingle, the whole.
+lower-cased. An item of fewer words than a shingle has one shingle, the whole; documents
+are looked up by runs of as many words too, where there are such items.
 
 Documents never move. The items are taken in blocks of at most ``block_bytes`` of text;
 each block's sketches go to the workers, and more items mean more blocks, so what is
-sent is bounded and nothing is left out. Of items with equal texts the least id stands
-for all.
+sent is bounded and nothing is left out. Items with equal texts are looked up once and
+all of them returned.
 """
 
 from __future__ import annotations
@@ -36,15 +37,19 @@ CONTAINMENT = 0.8
 BLOCK_BYTES = 8 << 20
 
 
-def shingle_set(text: str | None, size: int = SHINGLE) -> frozenset[str]:
-    """The distinct shingles of a text, as space-joined words."""
+def shingle_set(text: str | None, size: int = SHINGLE, short: tuple[int, ...] = ()) -> frozenset[str]:
+    """The distinct shingles of a text, as space-joined words, and its runs of as many
+    words as ``short`` says."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     found = list(_words(pc.utf8_lower(pa.array([text or ""], pa.string()))))[0]
     if not found:
         return frozenset()
-    return frozenset(" ".join(found[i : i + size]) for i in range(max(1, len(found) - size + 1)))
+    own = {" ".join(found[i : i + size]) for i in range(max(1, len(found) - size + 1))}
+    for k in short:
+        own |= {" ".join(found[i : i + k]) for i in range(len(found) - k + 1)}
+    return frozenset(own)
 
 
 def _words(lowered) -> Iterator[list[str]]:
@@ -75,10 +80,15 @@ class Index:
     texts: list[str]
     size: int
     containment: float
+    short: tuple[int, ...]  # numbers of words of the items that are shorter than a shingle
 
 
-def _text_grams(lowered, hasher, size: int) -> Iterator[tuple]:
-    """(first row, row count, hashes, rows) of the shingles of a block of texts."""
+def _text_grams(lowered, hasher, size: int, short: tuple[int, ...] | None = None) -> Iterator[tuple]:
+    """(first row, row count, hashes, rows) of the shingles of a block of texts.
+
+    Of a text with fewer words than a shingle that is the whole; with ``short``, of each
+    text all runs of so many words instead.
+    """
     import numpy as np
 
     inside = word_bytes()
@@ -89,6 +99,14 @@ def _text_grams(lowered, hasher, size: int) -> Iterator[tuple]:
         at = row[: len(grams)]
         whole = at == row[size - 1 :] if len(grams) else np.zeros(0, bool)
         grams, at = [grams[whole]], [at[whole]]
+        for k in short or ():
+            some = gram_hashes(h, k)
+            inner = row[: len(some)] == row[k - 1 :] if len(some) else np.zeros(0, bool)
+            grams.append(some[inner])
+            at.append(row[: len(some)][inner])
+        if short is not None:
+            yield first, count, np.concatenate(grams), np.concatenate(at)
+            continue
         present, begin, length = np.unique(row, return_index=True, return_counts=True)
         for k in range(1, size):
             some = begin[length == k]
@@ -131,11 +149,13 @@ def build_index(
             texts.append(text)
     if not ids:
         none = np.zeros(0, np.int64)
-        return Index(none.astype(np.uint64), none, none, [], [], size, containment)
+        return Index(none.astype(np.uint64), none, none, [], [], size, containment, ())
     hashes, places = np.concatenate(hashes), np.concatenate(places)
     order = np.argsort(hashes, kind="stable")
+    lengths = {len(w) for w in _words(lowered)}
     return Index(
-        hashes[order], places[order], np.array(needs), ids, texts, size, containment
+        hashes[order], places[order], np.array(needs), ids, texts, size, containment,
+        tuple(sorted(n for n in lengths if 0 < n < size)),
     )
 
 
@@ -151,7 +171,7 @@ def find_items(texts, index: Index, hasher, cache: dict) -> Iterator[tuple]:
     maybe = np.zeros(1 << 16, bool)
     maybe[(distinct & np.uint64(0xFFFF)).astype(np.int64)] = True
     lowered = pc.utf8_lower(texts)
-    for first, _, grams, rows in _text_grams(lowered, hasher, index.size):
+    for first, _, grams, rows in _text_grams(lowered, hasher, index.size, index.short):
         some = np.flatnonzero(maybe[(grams & np.uint64(0xFFFF)).astype(np.int64)])
         grams, rows = grams[some], rows[some]
         at = np.minimum(np.searchsorted(distinct, grams), len(distinct) - 1)
@@ -168,7 +188,7 @@ def find_items(texts, index: Index, hasher, cache: dict) -> Iterator[tuple]:
         last, own = -1, frozenset()
         for r, p in found[:, enough].T.tolist():
             if r != last:
-                last, own = r, shingle_set(texts[first + r].as_py(), index.size)
+                last, own = r, shingle_set(texts[first + r].as_py(), index.size, index.short)
             if p not in cache:
                 cache[p] = shingle_set(index.texts[p], index.size)
             n, held = len(cache[p]), len(cache[p] & own)
@@ -176,20 +196,21 @@ def find_items(texts, index: Index, hasher, cache: dict) -> Iterator[tuple]:
                 yield first + r, p, n, held
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list]:
-    """Distinct texts of the items in blocks of about ``block_bytes`` on the driver."""
-    distinct = (
-        items.filter(F.col(text).isNotNull())
-        .groupBy(F.col(text).alias("text"))
-        .agg(F.min(item_id).alias("id"))
-    )
+def item_blocks(items: DataFrame, text: str, block_bytes: int) -> Iterator[list]:
+    """(key, text) of the distinct texts in blocks of about ``block_bytes`` on the driver."""
+    distinct = items.filter(F.col(text).isNotNull()).select(F.col(text).alias("text")).distinct()
     total = distinct.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = ceil(total / block_bytes)
     for b in range(n):
         part = distinct
         if n > 1:
             part = distinct.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == b)
-        yield [(r["id"], r["text"]) for r in part.orderBy("text").collect()]
+        rows = part.select("text", _key("text").alias("key")).orderBy("text").collect()
+        yield [(r["key"], r["text"]) for r in rows]
+
+
+def _key(text: str):
+    return F.sha2(F.col(text).cast("binary"), 256)
 
 
 def contained_items(
@@ -207,19 +228,20 @@ def contained_items(
     shingles a document holds to the share ``containment`` or more.
 
     Null and blank texts, of documents and of items, hold nothing. Repeated documents
-    give repeated rows. Without items or documents the result is empty.
+    and repeated items give repeated rows, and an item may have no id. Without items or
+    documents the result is empty.
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    id_type = items.schema[item_id].dataType
     schema = (
         f"doc_id {narrow.schema['doc_id'].dataType.simpleString()},"
-        f" item_id {id_type.simpleString()}, n_shingles int, n_found int, containment double"
+        " key string, n_shingles int, n_found int, containment double"
     )
-    found = None
-    for block in item_blocks(items, item_id, item_text, block_bytes):
+    found = narrow.sparkSession.createDataFrame([], schema)
+    for block in item_blocks(items, item_text, block_bytes):
         part = narrow.mapInArrow(_finder(build_index(block, size, containment)), schema)
-        found = part if found is None else found.unionByName(part)
-    return narrow.sparkSession.createDataFrame([], schema) if found is None else found
+        found = found.unionByName(part)
+    ids = items.select(_key(item_text).alias("key"), F.col(item_id).alias("item_id"))
+    return found.join(ids, "key").select("doc_id", "item_id", "n_shingles", "n_found", "containment")
 
 
 def _finder(index: Index):
@@ -230,18 +252,15 @@ def _finder(index: Index):
         for batch in batches:
             ids, texts = batch.columns
             rows = list(find_items(texts, index, hasher, cache))
-            at = pa.array([r for r, _, _, _ in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(at),
-                    pa.array([index.ids[p] for _, p, _, _ in rows]).cast(pa.int64())
-                    if isinstance(index.ids[0], int)
-                    else pa.array([index.ids[p] for _, p, _, _ in rows]),
+                    ids.take(pa.array([r for r, _, _, _ in rows], pa.int64())),
+                    pa.array([index.ids[p] for _, p, _, _ in rows], pa.string()),
                     pa.array([n for _, _, n, _ in rows], pa.int32()),
                     pa.array([m for _, _, _, m in rows], pa.int32()),
                     pa.array([m / n for _, _, n, m in rows], pa.float64()),
                 ],
-                names=["doc_id", "item_id", "n_shingles", "n_found", "containment"],
+                names=["doc_id", "key", "n_shingles", "n_found", "containment"],
             )
 
     return run
@@ -249,7 +268,7 @@ def _finder(index: Index):
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", **kw) -> DataFrame:
     """``docs`` without the rows that hold an item; columns and other rows unchanged."""
-    for block in item_blocks(items, "item_id", "text", kw.pop("block_bytes", BLOCK_BYTES)):
+    for block in item_blocks(items, "text", kw.pop("block_bytes", BLOCK_BYTES)):
         docs = docs.mapInArrow(_cleaner(build_index(block, **kw), text), docs.schema)
     return docs
 

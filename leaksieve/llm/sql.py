@@ -92,14 +92,16 @@ FROM f"""
 
 
 CONTAINED = r"""
-WITH texts AS (SELECT true AS item, min(item_id) AS id, text FROM benchmark
-    WHERE text IS NOT NULL GROUP BY text
+WITH texts AS (SELECT true AS item, item_id AS id, text FROM benchmark WHERE text IS NOT NULL
   UNION ALL SELECT false, doc_id, text FROM documents),
 w AS (SELECT item, id, regexp_extract_all(lower(coalesce(text, '')),
   '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS ws FROM texts),
-shingles AS (SELECT DISTINCT item, id, array_to_string(ws[i:i + 4], ' ') AS g FROM (
-  SELECT item, id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w
-  WHERE len(ws) > 0)),
+short AS (SELECT DISTINCT len(ws) AS k FROM w WHERE item AND len(ws) BETWEEN 1 AND 4),
+sized AS (SELECT item, id, ws, least(len(ws), 5) AS k FROM w WHERE item AND len(ws) > 0
+  UNION ALL SELECT item, id, ws, s.k FROM w, (SELECT k FROM short UNION SELECT 5) s
+    WHERE NOT item AND len(ws) >= s.k),
+shingles AS (SELECT DISTINCT item, id, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (
+  SELECT item, id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM sized)),
 sizes AS (SELECT id, count(*) AS n FROM shingles WHERE item GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, CAST(s.n AS INTEGER) AS n_shingles,
   CAST(count(*) AS INTEGER) AS n_found, count(*)::DOUBLE / s.n AS containment

@@ -8,21 +8,27 @@ from leaksieve.llm import decontam as D
 WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 
 
+def words(text):
+    return WORD.findall((text or "").lower())
+
+
+def runs(w, k):
+    return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
 def shingles(text):
-    w = WORD.findall((text or "").lower())
-    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    w = words(text)
+    return runs(w, min(5, len(w))) if w else set()
 
 
 def contained(docs, items):
-    least = {}
-    for i, t in items:
-        if t is not None:
-            least[t] = min(i, least.get(t, i))
     out = []
     for d, text in docs:
-        own = shingles(text)
-        for t, i in least.items():
+        w = words(text)
+        by = {k: runs(w, k) for k in range(1, 6)}
+        for i, t in items:
             s = shingles(t)
+            own = by[min(5, len(words(t)))] if s else set()
             if s and len(s & own) * 10 >= 8 * len(s):
                 out.append((d, i, len(s), len(s & own)))
     return sorted(map(str, out))
@@ -33,6 +39,7 @@ def _tables(spark):
     word = lambda: f"w{rng.randrange(4000)}"
     items = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 4, 5, 6, 9, 20, 60, 300])))) for i in range(60)]
     items += [(60, items[7][1]), (61, None), (62, "  .,"), (63, "Été, déjà vu: ça va bien!")]
+    items += [(64, items[8][1].upper()), (65, "What is love?"), (66, "ça va"), (None, "What is love?"), (65, "What is love?")]
     docs = []
     for i in range(300):
         w = [word() for _ in range(rng.randrange(80))]
@@ -44,7 +51,8 @@ def _tables(spark):
         docs.append((i, rng.choice([" ", "\n", ", "]).join(w).upper()))
     docs += [(400, None), (401, ""), (402, items[0][1]), (402, items[0][1]), (None, items[8][1])]
     docs += [(403, "x " * 100_000 + items[9][1] + " y" * 100_000), (404, "il a ÉTÉ DÉJÀ-VU ça va bien"),
-             (405, items[8][1] + " " + items[10][1])]
+             (405, items[8][1] + " " + items[10][1]), (406, "He said: what IS love, and left the room now"),
+             (407, "what is"), (408, "what is love"), (409, "what is lovely")]
     return docs, items
 
 
@@ -85,3 +93,12 @@ def test_the_sketch_loses_nothing():
         size = len(shingles(text))
         missing = size - -(-size * 8 // 10)
         assert len(index.hashes) - missing >= index.needs[0] >= 1
+
+
+def test_items_without_a_word(spark):
+    d = spark.createDataFrame([(1, "a b c d e f"), (2, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " "), (2, ".,!"), (3, "")], "item_id long, text string")
+    assert D.contained_items(d, b).count() == 0
+    assert D.decontaminate(d, b).count() == 2
+    named = spark.createDataFrame([("x", "C d"), (None, ",")], "item_id string, text string")
+    assert [tuple(r)[:2] for r in D.contained_items(d, named).collect()] == [(1, "x")]
