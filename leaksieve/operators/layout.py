@@ -88,6 +88,30 @@ def dense_positions(
     )
 
 
+def running_totals(
+    df: DataFrame, group: str, order: Sequence[F.Column | str], value: str, name: str
+) -> DataFrame:
+    """``df`` plus the sum of ``value`` over the rows before each in its ``group``.
+
+    Like ``dense_positions``, by sums inside ranges and of the ranges before.
+    """
+    ranged = reliable(
+        df.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id())
+    )
+    inside = Window.partitionBy(group, "_range").orderBy(*order)
+    upto = Window.unboundedPreceding
+    sums = ranged.groupBy(group, "_range").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(upto, -1)
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    own = F.coalesce(F.sum(value).over(inside.rowsBetween(upto, -1)), F.lit(0))
+    return (
+        ranged.withColumn("_own", own)
+        .join(starts, [group, "_range"])
+        .withColumn(name, (F.col("_start") + F.col("_own")).cast("long"))
+        .drop("_range", "_own", "_start")
+    )
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, or the context's checkpoint folder.
 

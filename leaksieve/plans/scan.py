@@ -103,7 +103,11 @@ def scan_files(
         found = keep_rule_paths(found, rules, F.col("path")).unionByName(
             named, allowMissingColumns=True
         )
-    found = drop_allowed_files(found, rules, F.col("path"), F.lit(""))
+    return leaks_of_files(drop_allowed_files(found, rules, F.col("path"), F.lit("")), rules, options)
+
+
+def leaks_of_files(found: DataFrame, rules: RuleSet, options: DetectOptions = DEFAULT) -> DataFrame:
+    """The leak columns of matches in files, without a commit."""
     none = dict.fromkeys(
         ("commit", "repo", "commit_message", "author", "email", "date"), F.lit("")
     )

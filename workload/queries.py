@@ -14,6 +14,7 @@ from leaksieve.operators import detect as D
 from leaksieve.operators import paths as P
 from leaksieve.operators import rules as R
 from leaksieve.plans import report
+from leaksieve.plans.large import scan_chunks
 from leaksieve.plans.scan import Selection, scan, scan_files, scan_history, select_commits, summary
 from leaksieve.schema import LEAK_COLUMNS
 from leaksieve.sources import corpus, worktree
@@ -164,6 +165,33 @@ def scan_stock_allowlists_history(spark, sf):
     )
 
 
+_SOURCE_FILES = """
+files AS (SELECT concat('/', source) AS path, string_agg(concat(text, chr(10)), '' ORDER BY doc_id) AS content
+  FROM documents GROUP BY source)"""
+
+
+@query(with_(_SOURCE_FILES, matches_ctes(USER)) + file_leaks())
+def scan_chunked_files(spark, sf):
+    """All texts of a source as one file, read in chunks: one of the files is most of all."""
+    docs = M.spread(M.table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+    chunks = docs.select(
+        F.concat(F.lit("/"), "source").alias("path"), F.col("doc_id").alias("seq"),
+        F.concat("text", F.lit("\n")).alias("content"),
+    )
+    return scan_chunks(chunks, USER)
+
+
+@query(with_(_SOURCE_FILES, matches_ctes(STOCK_OPEN)) + file_leaks())
+def scan_chunked_files_stock(spark, sf):
+    """The same with 149 rules: one that any chunk of a file calls runs on all of them."""
+    docs = M.spread(M.table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+    chunks = docs.select(
+        F.concat(F.lit("/"), "source").alias("path"), F.col("doc_id").alias("seq"),
+        F.concat("text", F.lit("\n")).alias("content"),
+    )
+    return scan_chunks(chunks, STOCK_OPEN)
+
+
 # Twelve keywords call the automaton, one searches; both must give these rows. The
 # separators are those on which engines differ; RE2 classes name them all here.
 _SPACED = Rule("spaced", "Spaced", r"(?i)marks[\s|']{0,2}=[0-9]{3}", ("marks", "mark\u017f", "MARKS", "mar"))
