@@ -13,6 +13,7 @@ from leaksieve.operators import commits as C
 from leaksieve.operators import detect as D
 from leaksieve.operators import paths as P
 from leaksieve.operators import rules as R
+from leaksieve.operators.ruletable import keyword_pairs as keyword_pairs_of_table
 from leaksieve.plans import report
 from leaksieve.plans.large import scan_chunks
 from leaksieve.plans.scan import Selection, scan, scan_files, scan_history, select_commits, summary
@@ -277,6 +278,21 @@ def keyword_prefilter(spark, sf):
     return pairs.select("path", D.rule_value(STOCK, "id").alias("rule_id"))
 
 
+@query(
+    with_(M.FILES)
+    + """SELECT f.path, CAST(c_custkey AS INTEGER) AS pos FROM files f JOIN customer c
+  ON contains(f.content, lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')) OR contains(f.content, c_mktsegment)"""
+)
+def keyword_prefilter_table(spark, sf):
+    """A rule per customer: keywords of four digits and the segment's name."""
+    key = F.col("c_custkey")
+    rules = M.table(spark, sf, "customer").select(
+        key.cast("int").alias("pos"),
+        F.array(F.lpad((key % 10000).cast("string"), 4, "0"), F.col("c_mktsegment")).alias("keywords"),
+    )
+    return keyword_pairs_of_table(M.files(spark, sf), rules)
+
+
 @query(
     with_(M.FILES, rules_cte(STOCK))
     + """SELECT DISTINCT f.path, r.id AS rule_id FROM files f JOIN word w
