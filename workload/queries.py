@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,9 @@ from leaksieve.operators import detect as D
 from leaksieve.operators import paths as P
 from leaksieve.operators import rules as R
 from leaksieve.operators.ruletable import keyword_pairs as keyword_pairs_of_table
+from leaksieve.operators.layout import shared_folder
 from leaksieve.plans import report
+from leaksieve.plans.append import append_once, read_appended
 from leaksieve.plans.large import scan_chunks
 from leaksieve.plans.scan import Selection, scan, scan_files, scan_history, select_commits, summary
 from leaksieve.schema import LEAK_COLUMNS
@@ -1149,6 +1152,19 @@ def report_table(spark, sf):
     )
 
 
+@query(
+    with_(M.FILES, matches_ctes(USER))
+    + f"SELECT *, 'first' AS run FROM ({file_leaks()}) UNION ALL SELECT *, 'second' FROM ({file_leaks()})"
+)
+def report_append_once(spark, sf):
+    """Two runs, each written twice: every leak is there once a run."""
+    leaks = scan_files(M.files(spark, sf), USER)
+    path = f"{shared_folder(spark).rstrip('/')}/leaksieve/{spark.sparkContext.applicationId}/table-{uuid4().hex}"
+    for run in ("first", "second", "first", "second"):
+        append_once(leaks, path, run)
+    return read_appended(spark, path).drop("id")
+
+
 @query(
     with_(*_HISTORY_CTES, matches_ctes(HISTORY, "blobs", "blob_id"))
     + f"""SELECT (SELECT count(*) FROM ({history_leaks()})) AS leaks_number,
