@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leaksieve.llm import decontam, mixing, quality, sharding, simhash
+from leaksieve.llm import decontam, mixing, quality, sharding, similar
 from leaksieve.llm.common import saved, small_batches, table
 
 
@@ -18,9 +18,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the least id."""
+    """One document of each group of near-duplicates, that with the least id: shingles of
+    five words, similarity 0.8."""
     small_batches(spark)
-    return simhash.deduplicate(docs)
+    return similar.deduplicate(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
