@@ -11,8 +11,10 @@ shingle sets. At similarity 0.8, 6 of 10,000 pairs share no bucket.
 
 Only different texts are compared; copies ride along. In buckets of up to ``BUCKET_CAP``
 texts every pair is tested. Larger buckets are dealt into parts, two of which meet in a
-task; all pairs take the pigeonring and Hamming tests there, and a minimum spanning forest
-of what is left, nearest pairs first, goes to the exact test. A group of near copies thus
+task; all pairs take the pigeonring and Hamming tests there, and a third one that errs on
+one side only: a bitmap of ``BITS`` hashed shingles shows how many shingles of a text the
+other one surely lacks. A minimum spanning forest of what is left, nearest pairs first,
+goes to the exact test. A group of near copies thus
 sends on a number of pairs that grows with its size and parts, not with its square. Where
 pairs of a forest fail the exact test, their tasks send on further pairs between texts
 that are not connected yet, nearest first and four times as many in each round, until
@@ -41,6 +43,7 @@ BANDS = 14
 ROWS = 4
 BUCKET_CAP = 16
 PART = 512
+BITS = 2048  # of a text's bitmap of shingles; it prunes little beyond as many shingles
 BLOCK_BYTES = 1 << 20
 SLICE = 1 << 16
 FAR = 0xFFFF  # the distance of pairs that are no candidates
@@ -48,6 +51,7 @@ BLANK = bytes(16)  # the key of all texts without a word
 
 FPS = [f"f{i}" for i in range(LANES)]
 TASK = ["band", "bucket", "p", "q"]
+SKETCH = [*FPS, "size", "bits"]
 
 
 def shingle_sets(texts, size: int = SHINGLE) -> Iterator[tuple]:
@@ -121,10 +125,20 @@ def band_keys(rows, hashes):
     return rows[runs], keys
 
 
+def bitmaps(rows, hashes, count: int):
+    """``count`` by ``BITS / 8`` bytes: the shingles of a row, hashed to ``BITS`` bits."""
+    import numpy as np
+
+    shift = np.uint64(64 - (BITS.bit_length() - 1))
+    held = np.zeros((count, BITS), bool)
+    held[rows, (mixed(hashes) >> shift).astype(np.int64)] = True
+    return np.packbits(held, axis=1)
+
+
 def with_sketches(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, key, f0 .. f3, bands); ``key`` is the MD5 of the text, or ``BLANK``.
+    """(doc_id, key, f0 .. f3, size, bits, bands); ``key`` is the MD5 of the text, or ``BLANK``.
 
-    A text without a word has no bands.
+    ``size`` counts the different shingles. A text without a word has no bitmap or bands.
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
@@ -137,23 +151,29 @@ def with_sketches(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE)
         texts = batch.column(1)
         n = len(texts)
         fps = np.zeros((n, LANES), np.uint64)
-        keys, bands = [BLANK] * n, [None] * n
+        sizes = np.zeros(n, np.int64)
+        keys, bands, maps = [BLANK] * n, [None] * n, [None] * n
         for first, count, rows, hashes in shingle_sets(texts, size):
             if not len(rows):
                 continue
             fps[first : first + count] = fingerprints(rows, hashes, count)
+            sizes[first : first + count] = np.bincount(rows, minlength=count)
+            bits = bitmaps(rows, hashes, count)
             held, buckets = band_keys(rows, hashes)
             for row, b in zip(held.tolist(), buckets.view(np.int64)):
                 bands[first + row] = b
+                maps[first + row] = bits[row].tobytes()
                 keys[first + row] = hashlib.md5(texts[first + row].as_buffer()).digest()
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array(keys, pa.binary()),
                 *[pa.array(fps[:, i].view(np.int64)) for i in range(LANES)],
+                pa.array(sizes),
+                pa.array(maps, pa.binary()),
                 pa.array(bands, pa.list_(pa.int64())),
             ],
-            names=["doc_id", "key", *FPS, "bands"],
+            names=["doc_id", "key", *SKETCH, "bands"],
         )
 
     def run(batches: Iterator) -> Iterator:
@@ -166,6 +186,8 @@ def with_sketches(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE)
             StructField("doc_id", narrow.schema["doc_id"].dataType),
             StructField("key", BinaryType()),
             *[StructField(f, LongType()) for f in FPS],
+            StructField("size", LongType()),
+            StructField("bits", BinaryType()),
             StructField("bands", ArrayType(LongType())),
         ]
     )
@@ -229,6 +251,18 @@ def distances(fps):
     return np.where(ring & (total <= SEGMENTS * SEGMENT_BUDGET), total, np.uint16(FAR))
 
 
+def similar_at_most(maps, sizes, similarity: float):
+    """Matrix of the pairs whose bitmaps leave that similarity possible; it has all that
+    have it. Each bit that only one map has is a shingle that the other text lacks."""
+    import numpy as np
+
+    bits = np.unpackbits(maps, axis=1).astype(np.float32)
+    lacks = bits.sum(axis=1)[:, None] - bits @ bits.T  # of row i's, those that j lacks
+    common = sizes[:, None] - lacks
+    common = np.minimum(common, common.T)
+    return common * (1 + similarity) >= (sizes[:, None] + sizes[None, :]) * similarity - 1e-6
+
+
 def forest(distance):
     """Edges (i, j) of a minimum spanning forest of the pairs that are not ``FAR``."""
     import numpy as np
@@ -247,12 +281,13 @@ def forest(distance):
     return out
 
 
-def _seats(many: DataFrame) -> DataFrame:
-    """The texts of the larger buckets with their parts."""
+def _seats(many: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of the larger buckets with their parts, sizes and bitmaps."""
     parts = F.ceil(F.col("n") / F.lit(PART)).cast("int")
-    return many.withColumn("parts", parts).withColumn(
+    seats = many.withColumn("parts", parts).withColumn(
         "part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     )
+    return saved(seats.join(texts.select("key", "size", "bits"), "key"), "similar-seats")
 
 
 def _meetings(seats: DataFrame) -> DataFrame:
@@ -260,15 +295,17 @@ def _meetings(seats: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     return seats.withColumn("other", other).select(
         *TASK[:2], F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"),
-        "part", "key", *FPS,
+        "part", "key", *SKETCH,
     )
 
 
-def _group_distances(group):
+def _group_distances(group, similarity: float):
     import numpy as np
 
     fps = np.stack([group[f].to_numpy(np.int64) for f in FPS], axis=1)
+    maps = np.frombuffer(b"".join(group["bits"]), np.uint8).reshape(len(group), -1)
     distance = distances(fps)
+    distance[~similar_at_most(maps, group["size"].to_numpy(np.int64), similarity)] = FAR
     part = group["part"].to_numpy()
     if group["p"].iloc[0] != group["q"].iloc[0]:
         distance[part[:, None] == part[None, :]] = FAR
@@ -284,16 +321,18 @@ def _named(group, pairs):
     return pd.DataFrame(rows, columns=["a", "b"])
 
 
-def _forest_pairs(seats: DataFrame) -> DataFrame:
+def _forest_pairs(seats: DataFrame, similarity: float) -> DataFrame:
     """(a, b): a forest of each task."""
 
     def run(group):
-        return _named(group, forest(_group_distances(group)))
+        return _named(group, forest(_group_distances(group, similarity)))
 
     return _meetings(seats).groupBy(*TASK).applyInPandas(run, "a binary, b binary")
 
 
-def _further_pairs(seats: DataFrame, failed: DataFrame, roots: DataFrame, share: int) -> DataFrame:
+def _further_pairs(
+    seats: DataFrame, failed: DataFrame, roots: DataFrame, share: int, similarity: float
+) -> DataFrame:
     """(a, b) of the tasks that hold a failed pair: a forest of the pairs that have not
     failed and are not connected, and the nearest of them, ``share`` times the texts."""
     at = seats.select(*TASK[:2], "key", "part")
@@ -312,7 +351,7 @@ def _further_pairs(seats: DataFrame, failed: DataFrame, roots: DataFrame, share:
     def run(group, lost):
         import numpy as np
 
-        distance = _group_distances(group)
+        distance = _group_distances(group, similarity)
         place = {bytes(k): i for i, k in enumerate(group["key"])}
         for a, b in zip(lost["a"], lost["b"]):
             i, j = place[bytes(a)], place[bytes(b)]
@@ -378,31 +417,35 @@ def links(
     similarity: float = SIMILARITY,
     size: int = SHINGLE,
     bucket_cap: int = BUCKET_CAP,
-) -> tuple[DataFrame, DataFrame]:
-    """(texts, edges): each different text with its least row, and verified pairs of keys."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, edges, roots): each different text with its least row, verified pairs of
+    keys, and the root of each key that has a pair."""
     marked = saved(with_sketches(docs, doc_id, text, size), "similar-docs")
     row = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"))
-    shape = F.struct(*FPS, "bands")
+    shape = F.struct(*SKETCH, "bands")
     texts = marked.groupBy("key").agg(F.min(row).alias("least"), F.any_value(shape).alias("s"))
     texts = saved(texts.select("key", "least", "s.*"), "similar-texts")
     shared = buckets(texts)
     few = _native_pairs(shared.filter(F.col("n") <= bucket_cap))
-    seats = _seats(shared.filter(F.col("n") > bucket_cap))
-    woods = saved(_forest_pairs(seats).distinct(), "similar-forests")
+    seats = _seats(shared.filter(F.col("n") > bucket_cap), texts)
+    woods = saved(_forest_pairs(seats, similarity).distinct(), "similar-forests")
     pairs = saved(few.unionByName(woods).distinct(), "similar-pairs")
     edges = saved(verified(pairs, docs, text, similarity, size), "similar-links")
+    roots = connected_components(edges, "a", "b")
     failed = saved(woods.join(edges, ["a", "b"], "left_anti"), "similar-failed")
     share = 1
     while not failed.isEmpty():
         share *= 4
-        roots = connected_components(edges, "a", "b")
-        pairs = saved(_further_pairs(seats, failed, roots, share).distinct(), "similar-pairs")
+        further = _further_pairs(seats, failed, roots, share, similarity)
+        pairs = saved(further.distinct(), "similar-pairs")
         if pairs.isEmpty():
             break
         more = saved(verified(pairs, docs, text, similarity, size), "similar-links")
-        edges = edges.unionByName(more)
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            roots = connected_components(edges, "a", "b")
         failed = failed.unionByName(pairs.join(more, ["a", "b"], "left_anti"))
-    return texts, edges
+    return texts, edges, roots
 
 
 def deduplicate(
@@ -422,8 +465,8 @@ def deduplicate(
     """
     if similarity < 0.75:
         raise ValueError("buckets and distance are set for similarities of 0.75 or more")
-    texts, edges = links(docs, doc_id, text, similarity, size, bucket_cap)
-    roots = connected_components(edges, "a", "b").withColumnRenamed("node", "key")
+    texts, _, roots = links(docs, doc_id, text, similarity, size, bucket_cap)
+    roots = roots.withColumnRenamed("node", "key")
     member = texts.select("key", "least").join(roots, "key", "left")
     full = F.struct("least.n", "least.d", "key")
     heads = member.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(full).alias("head"))

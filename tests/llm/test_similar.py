@@ -74,7 +74,7 @@ def test_one_large_group_sends_on_few_pairs(spark):
         w[rng.randrange(400)] = f"x{i}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    texts, edges = S.links(df)
+    texts, edges, _ = S.links(df)
     assert edges.count() < 14 * 4 * 600  # all pairs would be 179,700
     assert S.buckets(texts).filter("n > 512").count() > 0
     assert connected_components(edges, "a", "b").select("root").distinct().count() == 1
@@ -152,3 +152,21 @@ def test_odd_rows(spark):
 def test_low_similarities_are_refused(spark):
     with pytest.raises(ValueError):
         S.deduplicate(spark.createDataFrame(ODD, "doc_id long, text string"), similarity=0.5)
+
+
+def test_bitmaps_leave_all_similar_pairs():
+    np = pytest.importorskip("numpy")
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets, rows = [], []
+    for n in (0, 1, 30, 200, 390):  # of 400 shingles, 0 to 390 are replaced; and far longer texts
+        sets += [np.concatenate((base[n:], rng.integers(0, 2**63, n, dtype=np.uint64)))]
+    sets += [base[:1], np.concatenate((base, rng.integers(0, 2**63, 9_000, dtype=np.uint64)))]
+    sets += [np.concatenate((sets[-1][100:], base[:3]))]
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    maps = S.bitmaps(rows, np.concatenate(sets), len(sets))
+    possible = S.similar_at_most(maps, np.array([len(s) for s in sets]), 0.8)
+    held = [set(s.tolist()) for s in sets]
+    true = np.array([[len(a & b) >= 0.8 * len(a | b) for b in held] for a in held])
+    assert possible[true].all() and (possible == possible.T).all()
+    assert true[0, 2] and not possible[0, 3] and not possible[0, 5] and not possible[0, 6]
