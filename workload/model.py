@@ -7,9 +7,12 @@ tables. The same model in SQL is below each function.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leaksieve.operators.layout import stored
 from leaksieve.sources.worktree import blob_object_id
 
 
@@ -111,6 +114,35 @@ entries AS (SELECT e.event_type AS repo, md5(CAST(e.event_id AS VARCHAR)) AS com
   JOIN files f ON f.doc_id = (e.event_id * 3 + e.slot) % (SELECT max(doc_id) + 1 FROM documents))"""
 
 
+def nested_trees(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(commits with their root's ``tree_id``, trees) that hold the same files as ``entries``.
+
+    A tree's id is a digest of its sorted entries, so equal folders are one tree; folders
+    are made from the deepest level up.
+    """
+    flat = entries(spark, sf).withColumn("parts", F.split(F.substring("path", 2, 1 << 20), "/"))
+    depth = F.size("parts").alias("depth")
+    blob = [F.lit("blob").alias("kind"), F.col("blob_id").alias("child")]
+    rows = stored(flat.select("repo", "commit", "parts", depth, *blob))
+    levels = []
+    for level in range(rows.agg(F.max("depth")).first()[0] or 0, 0, -1):
+        entry = F.struct(F.element_at("parts", -1).alias("name"), "kind", "child")
+        folder = F.slice("parts", 1, level - 1).alias("parts")
+        made = (
+            rows.filter(F.col("depth") == level)
+            .groupBy("repo", "commit", folder)
+            .agg(F.array_sort(F.collect_set(entry)).alias("held"))
+            .withColumn("child", F.md5(F.to_json("held")))
+        )
+        made = stored(made)
+        levels.append(made.select(F.col("child").alias("tree_id"), F.explode("held").alias("e")))
+        at = [F.lit(level - 1).alias("depth"), F.lit("tree").alias("kind")]
+        above = made.select("repo", "commit", "parts", *at, "child")
+        rows = rows.filter(F.col("depth") < level).unionByName(above)
+    trees = reduce(DataFrame.unionByName, levels).distinct().select("tree_id", "e.*")
+    return rows.select("repo", "commit", F.col("child").alias("tree_id")), trees
+
+
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """Blobs as they lie in ``documents``: equal texts are there more than once."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")

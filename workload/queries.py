@@ -21,7 +21,7 @@ from leaksieve.plans.append import append_once, read_appended
 from leaksieve.plans.large import scan_chunks
 from leaksieve.plans.scan import Selection, scan, scan_files, scan_history, select_commits, summary
 from leaksieve.schema import LEAK_COLUMNS
-from leaksieve.sources import corpus, worktree
+from leaksieve.sources import corpus, trees, worktree
 from leaksieve.sources.catalog import Allowlist, Rule, RuleSet, stock_rules, stock_stopwords
 from workload import model as M
 from workload.sql import DATE_TEXT, file_leaks, history_leaks, lines_cte, matches_ctes, quote
@@ -530,6 +530,15 @@ def prune_paths(spark, sf):
     return P.prune_entries(M.entries(spark, sf), HISTORY_ALLOW)
 
 
+@query(
+    with_(M.FILES, M.ENTRIES, PRUNED)
+    + f"SELECT repo, commit, path, blob_id FROM entries WHERE NOT {_PRUNED_SQL}"
+)
+def prune_nested_trees(spark, sf):
+    commits, nested = M.nested_trees(spark, sf)
+    return trees.entries_from_trees(commits, nested, HISTORY_ALLOW)
+
+
 @query(
     with_(M.FILES)
     + "SELECT path, regexp_matches(path, '(^|/)\\.') AS dotted FROM files"
