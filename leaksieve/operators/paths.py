@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.functions.text import ancestor_pattern, java_pattern
+from leaksieve.operators.layout import stored
+from leaksieve.operators.ruletable import in_bit_set
 from leaksieve.sources.catalog import Allowlist
 
+
 def _entry_is_regex(entry: str) -> bool:
     return entry.startswith("(") and entry.endswith("$")
 
@@ -59,3 +62,25 @@ def prune_entries(entries: DataFrame, allow: Allowlist) -> DataFrame:
     if allow.commits:
         kept = kept.filter(~F.col("commit").isin(list(allow.commits)))
     return kept
+
+
+def prune_listed(files: DataFrame, listed: DataFrame, path: str = "path") -> DataFrame:
+    """F1 where the allowlist is a table (path) of any length; its entries are compared as
+    they are, none is a pattern.
+
+    A row goes if its path or one of its folders is listed. Each ancestor is looked up in a
+    bit set of 128 KB first. Rows of which no ancestor is in it stay where they are; only
+    those of the others, by different paths, meet the list in a join. Columns are
+    unchanged. Null paths go, as in ``prune_entries``; null entries are no entries.
+    """
+    entry = listed.select(F.col(listed.columns[0]).alias("gram"))
+    entry = stored(entry.filter("gram IS NOT NULL").distinct())
+    in_set = in_bit_set(entry)
+    maybe = F.filter(ancestors(F.col(f"`{path}`")), in_set)
+    doubtful = files.filter(F.size(maybe) > 0)
+    pairs = doubtful.select(F.col(f"`{path}`").alias("p")).distinct().select(
+        "p", F.explode(F.filter(ancestors(F.col("p")), in_set)).alias("gram")
+    )
+    pruned = pairs.join(entry, "gram", "left_semi").select("p").distinct()
+    left = doubtful.join(pruned, F.col(f"`{path}`") == pruned["p"], "left_anti")
+    return files.filter(F.size(maybe) == 0).unionByName(left)

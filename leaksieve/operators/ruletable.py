@@ -56,8 +56,8 @@ def keyword_table(rules: DataFrame, ignore_case: bool = False) -> DataFrame:
     return stored(words.join(best, "keyword").select("pos", "keyword", "gram"))
 
 
-def _in_set(keywords: DataFrame):
-    """Test of a gram: false only if no keyword is represented by it."""
+def in_bit_set(keywords: DataFrame):
+    """Test of a gram: false only if no row of ``keywords`` has it."""
     slot = _slot(F.col("gram"))
     words = keywords.select("gram").distinct().groupBy(F.shiftright(slot, 6).alias("at")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("bits")
@@ -97,7 +97,7 @@ def keyword_pairs(
     texts = texts.select(F.col(key).alias("key"), body.alias("body")).filter("body IS NOT NULL")
     every = texts.select("key", F.explode(F.array(F.lit(""))).alias("gram")) if 0 in sizes else None
     held = F.array_distinct(F.flatten(F.array(*[_grams(F.col("body"), n) for n in sizes if n] or [F.array().cast("array<string>")])))
-    grams = texts.select("key", F.explode(F.filter(held, _in_set(keywords))).alias("gram"))
+    grams = texts.select("key", F.explode(F.filter(held, in_bit_set(keywords))).alias("gram"))
     if every is not None:
         grams = grams.unionByName(every)
     met = join_on_skewed_key(grams, keywords, "gram", ("key",))

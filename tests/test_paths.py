@@ -1,7 +1,7 @@
 import random
 
 from leaksieve import Allowlist, stock_rules
-from leaksieve.operators.paths import has_dot_part, path_pruned, prune_entries
+from leaksieve.operators.paths import has_dot_part, path_pruned, prune_entries, prune_listed
 from tests import brute
 
 
@@ -49,3 +49,30 @@ def test_commit_allowlist_drops_entries(spark):
         "repo string, commit string, path string, blob_id string",
     )
     assert [r["commit"] for r in prune_entries(df, Allowlist(commits=("c1",))).collect()] == ["c2"]
+
+
+def test_a_list_of_100_000_paths_against_brute_force(spark):
+    rng = random.Random(6)
+
+    def path(deep):
+        return "/" + "/".join(f"d{rng.randint(0, 300)}" for _ in range(rng.randint(2, deep)))
+
+    listed = [path(4) for _ in range(99_000)] + [f"/only/{i}" for i in range(1_000)]
+    paths = [path(7) for _ in range(4_000)] + ["/only", "/only/7", "/only/7/x", "/onl", "/only/77x", "/e(.*)$"]
+    paths += paths[:50]
+    held = set(listed)
+
+    def gone(p):
+        parts = p.split("/")
+        return any("/".join(parts[:i]) in held for i in range(2, len(parts) + 1))
+
+    schema = "path string, gram int, p int"
+    files = spark.createDataFrame([(p, 1, 2) for p in paths] + [(None, 1, 2)], schema)
+    table = spark.createDataFrame([(p,) for p in listed + listed[:9] + [None, "(.*)$"]], "name string")
+    kept = prune_listed(files, table)
+    assert kept.dtypes == files.dtypes
+    want = sorted(p for p in paths if not gone(p))
+    assert 100 < len(want) < len(paths) - 100
+    assert sorted(r["path"] for r in kept.collect()) == want
+    assert prune_listed(files, table.filter("false")).count() == len(paths)
+    assert prune_listed(files.filter("false"), table).count() == 0

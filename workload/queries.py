@@ -539,6 +539,30 @@ def prune_nested_trees(spark, sf):
     return trees.entries_from_trees(commits, nested, HISTORY_ALLOW)
 
 
+# A list that grows with the corpus: some files and some folders of it.
+_LISTED = """
+listed AS (SELECT path FROM files WHERE path LIKE '%.pdf' UNION
+  SELECT regexp_replace(path, '/[^/]*$', '') FROM files WHERE path LIKE '%/src3/%' OR path LIKE '%/.cache/%'),
+hit AS (SELECT DISTINCT path FROM (
+    SELECT path, array_to_string(parts[1:i], '/') AS p FROM (
+      SELECT path, parts, unnest(range(2, len(parts) + 1)) AS i
+      FROM (SELECT DISTINCT path, string_split(path, '/') AS parts FROM files)))
+  WHERE p IN (SELECT path FROM listed))"""
+
+
+@query(
+    with_(M.FILES, M.ENTRIES, _LISTED)
+    + "SELECT repo, commit, path, blob_id FROM entries WHERE path NOT IN (SELECT path FROM hit)"
+)
+def prune_listed_paths(spark, sf):
+    paths = M.files(spark, sf).select("path")
+    folders = paths.filter("path LIKE '%/src3/%' OR path LIKE '%/.cache/%'").select(
+        F.regexp_replace("path", "/[^/]*$", "").alias("path")
+    )
+    listed = paths.filter("path LIKE '%.pdf'").union(folders)
+    return P.prune_listed(M.entries(spark, sf), listed)
+
+
 @query(
     with_(M.FILES)
     + "SELECT path, regexp_matches(path, '(^|/)\\.') AS dotted FROM files"
