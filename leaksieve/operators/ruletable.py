@@ -3,7 +3,8 @@
 A rule set of the catalogue's size is literals of the plan (``operators.detect``). A table
 of many thousand rules is not: here each keyword is represented by one of its grams (the
 one that the fewest keywords have), a text by the grams it has, and they meet in an
-equi-join; the keyword itself is then searched for in the text. Grams of a text that no
+equi-join; the keyword itself is then searched for in the text, and the rules that have it
+are joined to what was found. Grams of a text that no
 keyword is represented by are dropped before the join, by a bit set of fixed size.
 Everything is a join or an expression of Spark; nothing goes through Python workers.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from leaksieve.operators.layout import join_on_skewed_key, stored
 
 GRAM = 3
+EARLIER = 16  # a rule with more keywords is made unique per text by a shuffle
 SET_BITS = 20  # the bit set has 2 ** SET_BITS bits (128 KB), however many rules there are
 
 
@@ -37,23 +39,33 @@ def _slot(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(1 << SET_BITS))
 
 
-def keyword_table(rules: DataFrame, ignore_case: bool = False) -> DataFrame:
-    """(pos, keyword, gram) of the keywords of (pos, keywords), stored.
+def keyword_table(rules: DataFrame, ignore_case: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((pos, keyword, earlier), (keyword, gram)) of the keywords of (pos, keywords), stored.
 
-    ``gram`` is the keyword itself if it is shorter than ``GRAM``, the empty one too.
-    Null keywords, and rules without any, are left out: such rules never run.
+    The first has a row for each rule and keyword; ``earlier`` are the rule's keywords
+    before this one, null where it has more than ``EARLIER``. The second has one row per
+    different keyword, however many rules share it; ``gram`` is the keyword itself if it is
+    shorter than ``GRAM``, the empty one too. Null keywords, and rules without any, are left
+    out: such rules never run.
     """
-    word = F.explode(F.array_distinct("keywords"))
-    words = rules.select("pos", word.alias("keyword")).filter("keyword IS NOT NULL")
+    words = F.filter("keywords", lambda w: w.isNotNull())
     if ignore_case:
-        words = words.withColumn("keyword", F.lower("keyword")).distinct()
+        words = F.transform(words, lambda w: F.lower(w))
+    of_rule = rules.select("pos", words.alias("words")).groupBy("pos").agg(
+        F.array_distinct(F.flatten(F.collect_list("words"))).alias("words")
+    )
+    earlier = F.when(F.size("words") <= EARLIER, F.slice("words", F.lit(1), F.col("at")))
+    called = stored(
+        of_rule.select("pos", "words", F.posexplode("words").alias("at", "keyword"))
+        .select("pos", "keyword", earlier.alias("earlier"))
+    )
     of = F.when(F.length("keyword") < GRAM, F.array("keyword")).otherwise(_grams(F.col("keyword"), GRAM))
-    each = words.select("keyword").distinct().select("keyword", F.explode(F.array_distinct(of)).alias("gram"))
+    each = called.select("keyword").distinct().select("keyword", F.explode(F.array_distinct(of)).alias("gram"))
     shared = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     best = each.join(shared, "gram").groupBy("keyword").agg(
         F.min_by("gram", F.struct("n", "gram")).alias("gram")
     )
-    return stored(words.join(best, "keyword").select("pos", "keyword", "gram"))
+    return called, stored(best.select("keyword", "gram"))
 
 
 def in_bit_set(keywords: DataFrame):
@@ -87,11 +99,13 @@ def keyword_pairs(
 
     ``texts`` has one row per ``key``, ``rules`` has (pos, keywords). A rule runs iff the
     text holds one of its keywords; the empty keyword is in every text that is not null.
-    Grams and keys meet in a narrow join; a gram that many keywords share is split if it
-    is hot. Texts are read again for the search and move once, unless the keywords to
-    search for in them are few enough to be sent.
+    Grams and keys meet in a narrow join of different keywords; a gram that many keywords
+    share is split if it is hot. Texts are read again for the search and move once, unless
+    the keywords to search for in them are few enough to be sent. Rules come last, to the
+    keywords that were found, so nothing that is moved before grows with their number; a
+    rule with several keywords counts at the first of them that the text holds.
     """
-    keywords = keyword_table(rules, ignore_case)
+    called, keywords = keyword_table(rules, ignore_case)
     body = F.lower(content) if ignore_case else F.col(content)
     sizes = [r[0] for r in keywords.select(F.length("gram")).distinct().collect()]  # GRAM + 1 at most
     texts = texts.select(F.col(key).alias("key"), body.alias("body")).filter("body IS NOT NULL")
@@ -101,9 +115,18 @@ def keyword_pairs(
     if every is not None:
         grams = grams.unionByName(every)
     met = join_on_skewed_key(grams, keywords, "gram", ("key",))
-    wanted = met.groupBy("key", "keyword").agg(F.collect_set("pos").alias("rules"))
-    wanted = stored(wanted.groupBy("key").agg(F.collect_list(F.struct("keyword", "rules")).alias("maybe")))
-    found = texts.join(wanted, "key")
-    called = F.filter("maybe", lambda m: F.contains(F.col("body"), m["keyword"]))
-    pos = F.array_distinct(F.flatten(F.transform(called, lambda m: m["rules"])))
-    return found.select(F.col("key").alias(key), F.explode(pos).alias("pos"))
+    wanted = stored(met.groupBy("key").agg(F.collect_set("keyword").alias("maybe")))
+    held = F.filter("maybe", lambda m: F.contains(F.col("body"), m))
+    found = stored(
+        texts.join(wanted, "key").select("key", held.alias("held"))
+        .select("key", "held", F.explode("held").alias("keyword"))
+    )
+    first = join_on_skewed_key(found, called.filter("earlier IS NOT NULL"), "keyword", ("key",)).filter(
+        ~F.arrays_overlap("earlier", "held")
+    )
+    many = called.filter("earlier IS NULL")
+    pairs = first.select("key", "pos")
+    if not many.isEmpty():
+        again = join_on_skewed_key(found.drop("held"), many.drop("earlier"), "keyword", ("key",))
+        pairs = pairs.unionByName(again.select("key", "pos").distinct())
+    return pairs.select(F.col("key").alias(key), "pos")

@@ -63,3 +63,30 @@ def test_twenty_thousand_rules_beside_the_literal_plan(spark):
     assert [p for p in got if p[1] < len(own)] == pairs(literal)
     assert ("/0" in {p for p, _ in got}) and any(i >= len(own) for _, i in got)
     assert got == brute(texts, own + more)
+
+
+def test_what_moves_does_not_grow_with_the_rules_of_a_keyword(spark, monkeypatch):
+    sizes = []
+
+    def counted(df):
+        out = stored(df)
+        sizes.append(out.count())
+        return out
+
+    stored = T.stored
+    monkeypatch.setattr(T, "stored", counted)
+    texts = [(f"/{i}", f"abc{i % 3} xyz") for i in range(40)]
+    rules = [(i, [f"abc{i % 9}", "xyz"]) for i in range(900)] + [(900, [f"abc{i}" for i in range(40)])]
+    rules += [(900, ["xyz"]), (901, ["xyz", None, "xyz"])]
+    t, r = tables(spark, texts, rules)
+    got = pairs(T.keyword_pairs(t, r))
+    assert got == sorted(set(brute(texts, rules)))
+    assert max(sizes[1:]) <= 41 + 40 * 2  # the first table is that of the rules
+
+
+def test_a_rule_counts_once_however_many_keywords_are_found(spark):
+    rng = random.Random(8)
+    texts = [(f"/{i}", " ".join(f"k{rng.randrange(60)}x" for _ in range(20))) for i in range(60)]
+    rules = [(i, [f"k{rng.randrange(60)}x" for _ in range(n)]) for i, n in enumerate((1, 2, 15, 16, 17, 40) * 5)]
+    t, r = tables(spark, texts, rules)
+    assert pairs(T.keyword_pairs(t, r)) == brute(texts, rules)
