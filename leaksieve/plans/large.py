@@ -17,6 +17,7 @@ from leaksieve.functions.text import lossy_utf8
 from leaksieve.operators.detect import (
     DEFAULT,
     DetectOptions,
+    bounded_batches,
     drop_allowed_files,
     keep_rule_paths,
     match_candidates,
@@ -82,6 +83,7 @@ def chunk_table(
     if any("\n" in k for r in rules.rules for k in r.keywords):
         raise ValueError("a keyword with a line break may lie across two chunks")
     breaks = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
+    bounded_batches(chunks.sparkSession)
     called = rules_called_by(F.col("content"), rules, options)
     rows = chunks.filter("content IS NOT NULL").select(
         "path", "seq", breaks.cast("long").alias("breaks"), called.alias("rules_called")

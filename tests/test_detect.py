@@ -1,6 +1,7 @@
 import random
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,3 +274,29 @@ def test_scan_needs_no_shuffle_and_no_broadcast(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Broadcast" not in plan
     assert "other" not in plan.split("ReadSchema")[-1]
+
+
+def test_workers_get_and_search_texts_by_their_bytes(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [k for r in stock_rules(()).rules for k in r.keywords] + ["plain", "é", "\n"]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(40)))) for i in range(400)]
+    texts += [(400, None), (401, ""), (402, "key " * 5000)]
+    df = spark.createDataFrame(texts, "id int, content string").coalesce(1)
+
+    @F.arrow_udf("long")
+    def held(batch: pa.Array) -> pa.Array:
+        return pa.array([batch.nbytes] * len(batch), pa.int64())
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rows = lambda: sorted(
+        tuple(r) for r in D.keyword_pairs(df, stock_rules(())).select("id", "rule_pos").collect()
+    )
+    try:
+        whole = rows()
+        monkeypatch.setattr(D, "BATCH_BYTES", 1 << 15)
+        monkeypatch.setattr(D, "SEARCH_BYTES", 64)
+        assert rows() == whole
+        assert df.select(held("content").alias("n")).agg(F.max("n")).first()[0] < 3 << 15
+    finally:
+        spark.conf.set(name, before)
