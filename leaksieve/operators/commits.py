@@ -6,15 +6,16 @@ name (exact); the empty text means everyone.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaksieve.functions.dates import time_range
-from leaksieve.operators.ladder import Ladder, closure
-from leaksieve.operators.layout import dense_positions, reliable
+from leaksieve.operators.ladder import Ladder, closure, folded
+from leaksieve.operators.layout import dense_positions, reliable, stored
 from leaksieve.sources.corpus import commit_lines
 
 
@@ -154,38 +155,41 @@ def _at(time: Column, ahead: Column) -> Column:
     return F.struct(time.alias("time"), ahead.cast("long").alias("ahead"))
 
 
-def _lines(edges: DataFrame) -> Ladder:
+def _numbers(tables: Sequence[DataFrame]) -> Callable[..., Column]:
+    """A 64-bit number for (repo, commit) that no two commits of the ``tables`` share; they
+    are told apart by another 64 bits."""
+    for seed in count():
+        number = lambda repo, commit, seed=seed: F.xxhash64(F.lit(seed), repo, commit)
+        other = F.xxhash64(F.lit(~seed), "commit", "repo").alias("other")
+        each = [t.select(number("repo", "commit").alias("node"), other) for t in tables]
+        both = each[0]
+        for t in each[1:]:
+            both = both.unionByName(t)
+        if both.groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a <> b").isEmpty():
+            return number
+
+
+def _lines(edges: DataFrame) -> DataFrame:
     """From each parent with one child to that child."""
-    only = edges.groupBy("repo", "parent").agg(
-        F.min("commit").alias("child"), F.count(F.lit(1)).alias("n")
-    ).filter("n = 1")
-    key = lambda commit: F.struct("repo", F.col(commit).alias("commit"))
-    return Ladder(only.select(key("parent").alias("node"), key("child").alias("next")))
+    only = edges.groupBy("up").agg(F.min("node").alias("next"), F.max("node").alias("last"))
+    return stored(only.filter("next = last").select(F.col("up").alias("node"), "next"))
 
 
-def _jumped(step: DataFrame, lines: Ladder) -> tuple[DataFrame, DataFrame]:
+def _jumped(step: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Places handed up whole lines, and all that have changed since the last full round.
 
     A line is the only way from a commit ``steps`` ahead, so its place plus as many
     steps is one that the commit must come after.
     """
-    k = 0
-    while (level := lines.level(k)) is not None:
-        to = (
-            level.join(step.select(F.struct("repo", "commit").alias("ahead"), "at"), "ahead")
-            .groupBy("node")
-            .agg(F.min(_at(F.col("at.time"), F.col("at.ahead") - F.col("steps"))).alias("to"))
-            .select("node.repo", "node.commit", "to")
-        )
-        later = F.coalesce(F.col("to") < F.col("at"), F.lit(False))
-        step = reliable(
-            step.join(to, ["repo", "commit"], "left").select(
-                "repo", "commit", F.when(later, F.col("to")).otherwise(F.col("at")).alias("at"),
-                (F.col("moved") | later).alias("moved"),
-            )
+    to = folded(lines, step.select("node", "at")).withColumnRenamed("at", "to")
+    later = F.coalesce(F.col("to") < F.col("at"), F.lit(False))
+    step = reliable(
+        step.join(to, "node", "left").select(
+            "node", F.when(later, F.col("to")).otherwise(F.col("at")).alias("at"),
+            (F.col("moved") | later).alias("moved"),
         )
-        k += 1
-    return step.drop("moved"), step.filter("moved").drop("moved")
+    )
+    return step.drop("moved"), stored(step.filter("moved").drop("moved"))
 
 
 def topological_positions(commits: DataFrame, parents: DataFrame) -> DataFrame:
@@ -201,32 +205,32 @@ def topological_positions(commits: DataFrame, parents: DataFrame) -> DataFrame:
     with the logarithm of such a run. Ties go to the newer commit, then by id.
     """
     keyed = commits.select("repo", "commit", F.unix_micros("commit_ts").alias("ts"))
-    edges = reliable(
-        parents.select("commit", "parent").distinct()
-        .join(keyed.select("repo", "commit"), "commit")
-        .join(keyed.select("repo", F.col("commit").alias("parent")), ["repo", "parent"])
-        .select("repo", "commit", "parent")
-    )
-    placed = reliable(
-        keyed.select("repo", "commit", _at(F.col("ts"), F.lit(0)).alias("at"))
+    ups = parents.select("commit", F.col("parent").cast(keyed.schema["commit"].dataType).alias("parent"))
+    ways = ups.join(keyed.select("repo", "commit"), "commit")
+    number = _numbers([keyed, ways.select("repo", F.col("parent").alias("commit"))])
+    # A parent that is not in the repository has no place, and nothing before it.
+    edges = stored(
+        ways.select(number("repo", "commit").alias("node"), number("repo", "parent").alias("up"))
     )
+    node = number("repo", "commit").alias("node")
+    placed = stored(keyed.select(node, _at(F.col("ts"), F.lit(0)).alias("at")))
     moved = placed
     lines, rounds = None, 0
     wait = due = ROUNDS_BEFORE_JUMPS
     while True:
         pushed = (
-            edges.join(moved, ["repo", "commit"])
-            .groupBy("repo", F.col("parent").alias("commit"))
+            edges.join(moved, "node")
+            .groupBy(F.col("up").alias("node"))
             .agg(F.min(_at(F.col("at.time"), F.col("at.ahead") - 1)).alias("to"))
         )
         later = F.coalesce(F.col("to") < F.col("at"), F.lit(False))
         step = reliable(
-            placed.join(pushed, ["repo", "commit"], "left").select(
-                "repo", "commit", F.when(later, F.col("to")).otherwise(F.col("at")).alias("at"),
+            placed.join(pushed, "node", "left").select(
+                "node", F.when(later, F.col("to")).otherwise(F.col("at")).alias("at"),
                 later.alias("moved"),
             )
         )
-        placed, moved = step.drop("moved"), step.filter("moved").drop("moved")
+        placed, moved = step.drop("moved"), stored(step.filter("moved").drop("moved"))
         rounds += 1
         if moved.isEmpty():
             break
@@ -235,7 +239,7 @@ def topological_positions(commits: DataFrame, parents: DataFrame) -> DataFrame:
             placed, moved = _jumped(step, lines)
             wait *= 2
             due += wait
-    rows = placed.join(keyed, ["repo", "commit"]).select(
+    rows = keyed.withColumn("node", node).join(placed, "node").select(
         "repo", "commit", "ts", F.col("at.time").alias("time"), (-F.col("at.ahead")).alias("behind")
     )
     order = [F.desc("time"), F.col("behind"), F.desc("ts"), F.col("commit")]

@@ -250,3 +250,32 @@ def test_time_range_is_pushed_to_the_scan(spark, commits, tmp_path):
     pushed = plan[plan.index("PushedFilters") :]
     assert "LessThanOrEqual(" in pushed
     assert "author" not in plan
+
+
+def test_folding_hands_on_a_fixed_number_of_rows_per_node(spark, monkeypatch):
+    """All stored rows together, with and without rounds before the one task."""
+    rng = random.Random(11)
+    n = 3000
+    chain = [(i, i - 1 if rng.random() < 0.9 else rng.randrange(i)) for i in range(1, n)]
+    places = [(i, (rng.randint(0, 20), rng.randint(-5, 0))) for i in range(n)]
+    own, want = dict(places), {}
+    for i, ahead in [(0, None), *chain]:
+        t, a = want[ahead] if ahead is not None else (99, 0)
+        want[i] = min(own[i], (t, a - 1))
+    c = spark.createDataFrame(chain, "node long, next long")
+    p = spark.createDataFrame(places, "node long, at struct<time: long, ahead: long>")
+    from leaksieve.operators import ladder
+
+    real, sizes = ladder.stored, []
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(ladder, "stored", counted)
+    for small in (1 << 16, 400):
+        monkeypatch.setattr(ladder, "SMALL", small)
+        got = {r["node"]: tuple(r["at"]) for r in ladder.folded(c, p).collect()}
+        assert got == {i: at for i, at in want.items() if i}
+    assert len(sizes) > 4 and sum(sizes) < 12 * n
