@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import datetime
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaksieve.functions.dates import time_range
-from leaksieve.operators.ladder import Ladder, closure, folded
+from leaksieve.operators.ladder import closure, folded
 from leaksieve.operators.layout import dense_positions, reliable, stored
 from leaksieve.sources.corpus import commit_lines
 
@@ -40,19 +41,27 @@ def reachable(
     does not have (of a shallow clone, say) end a line. A repository without a head has
     no reachable commits.
     """
-    order = "nth" if "nth" in parents.columns else "parent"
-    known = commits.select("repo", "commit")
-    kept = parents.join(known.select("commit").distinct(), "commit", "left_semi")
-    edges = kept.groupBy("commit").agg(
-        F.array_sort(F.collect_set(F.struct(F.col(order).alias("o"), "parent")))["parent"].alias("up")
+    as_commit = lambda c: F.col(c).cast(commits.schema["commit"].dataType).alias("commit")
+    number = _numbers(
+        [commits, parents.select(as_commit("parent")), heads.select(as_commit("commit"))], "commit"
     )
-    chain = edges.select(F.col("commit").alias("node"), F.get("up", F.lit(0)).alias("next"))
-    others = edges.select(
-        F.col("commit").alias("node"), F.explode(F.slice("up", 2, F.size("up"))).alias("next")
+    known = commits.select(number("commit").alias("node")).distinct()
+    ups = parents.select(
+        number(as_commit("commit")).alias("node"),
+        F.struct(*(["nth"] if "nth" in parents.columns else []), number(as_commit("parent")).alias("up")).alias("up"),
     )
-    starts = heads.select(F.col("repo").alias("root"), F.col("commit").alias("node"))
-    seen = closure(Ladder(chain), others, starts).toDF("repo", "commit")
-    return by_author(commits.join(seen, ["repo", "commit"], "left_semi"), user)
+    edges = stored(
+        ups.join(known, "node", "left_semi").groupBy("node")
+        .agg(F.array_sort(F.collect_set("up"))["up"].alias("ups"))
+    )
+    chain = edges.select("node", F.get("ups", F.lit(0)).alias("next"))
+    others = edges.select("node", F.explode(F.slice("ups", 2, F.size("ups"))).alias("next"))
+    starts = heads.select(F.col("repo").alias("root"), number(as_commit("commit")).alias("node"))
+    seen = closure(chain, others, starts).withColumnRenamed("root", "repo")
+    found = by_author(commits, user).withColumn("_node", number("commit")).join(
+        seen.withColumnRenamed("node", "_node"), ["repo", "_node"], "left_semi"
+    )
+    return found.select(*commits.columns)
 
 
 def single(commits: DataFrame, commit: str, user: str = "") -> DataFrame:
@@ -155,16 +164,14 @@ def _at(time: Column, ahead: Column) -> Column:
     return F.struct(time.alias("time"), ahead.cast("long").alias("ahead"))
 
 
-def _numbers(tables: Sequence[DataFrame]) -> Callable[..., Column]:
-    """A 64-bit number for (repo, commit) that no two commits of the ``tables`` share; they
-    are told apart by another 64 bits."""
+def _numbers(tables: Sequence[DataFrame], *key: str) -> Callable[..., Column]:
+    """A 64-bit number for a key, which no two keys of the ``tables`` share; they are told
+    apart by another 64 bits."""
     for seed in count():
-        number = lambda repo, commit, seed=seed: F.xxhash64(F.lit(seed), repo, commit)
-        other = F.xxhash64(F.lit(~seed), "commit", "repo").alias("other")
-        each = [t.select(number("repo", "commit").alias("node"), other) for t in tables]
-        both = each[0]
-        for t in each[1:]:
-            both = both.unionByName(t)
+        number = lambda *names, seed=seed: F.xxhash64(F.lit(seed), *names)
+        other = F.xxhash64(F.lit(~seed), *reversed(key)).alias("other")
+        each = [t.select(number(*key).alias("node"), other) for t in tables]
+        both = reduce(DataFrame.unionByName, each)
         if both.groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a <> b").isEmpty():
             return number
 
@@ -207,7 +214,7 @@ def topological_positions(commits: DataFrame, parents: DataFrame) -> DataFrame:
     keyed = commits.select("repo", "commit", F.unix_micros("commit_ts").alias("ts"))
     ups = parents.select("commit", F.col("parent").cast(keyed.schema["commit"].dataType).alias("parent"))
     ways = ups.join(keyed.select("repo", "commit"), "commit")
-    number = _numbers([keyed, ways.select("repo", F.col("parent").alias("commit"))])
+    number = _numbers([keyed, ways.select("repo", F.col("parent").alias("commit"))], "repo", "commit")
     # A parent that is not in the repository has no place, and nothing before it.
     edges = stored(
         ways.select(number("repo", "commit").alias("node"), number("repo", "parent").alias("up"))

@@ -55,40 +55,70 @@ class Ladder:
         return self._levels[k]
 
 
-def closure(chain: Ladder, rest: DataFrame, starts: DataFrame) -> DataFrame:
+def _left_out(level: int) -> Column:
+    """The nodes that leave a chain table in a round: a fixed coin shows heads for them and
+    tails for the next one, so no two neighbours leave, and about a quarter does."""
+    coin = lambda node: F.xxhash64(node, F.lit(level)).bitwiseAND(F.lit(1)) == 1
+    return coin("node") & ~coin("next")
+
+
+def _thinned(chain: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame]:
+    """(levels, rows): a chain table of which at most ``SMALL`` rows are left, and for each
+    round (gone, via): the rows that left, and (ahead, node) for a node that left between
+    ``ahead``, which stayed, and its new next."""
+    rows, levels = chain.select("node", "next").filter("next IS NOT NULL"), []
+    while rows.count() > SMALL:
+        out = _left_out(len(levels))
+        gone = rows.filter(out)
+        over = gone.select(F.col("node").alias("next"), F.col("next").alias("after"))
+        kept = stored(rows.filter(~out).join(over, "next", "left").select("node", "next", "after"))
+        via = kept.filter("after IS NOT NULL").select(F.col("node").alias("behind"), F.col("next").alias("node"))
+        levels.append((gone, via))
+        rows = kept.select("node", F.coalesce("after", "next").alias("next"))
+    return levels, rows
+
+
+def closure(chain: DataFrame, rest: DataFrame, starts: DataFrame) -> DataFrame:
     """(root, node): all nodes that can be reached from the ``starts`` (root, node).
 
-    Edges are the chain's and those of ``rest`` (node, next). In turn, what is new climbs
-    the ladder, then takes one step by the other edges; a node is worked on once for each
-    root. Rounds grow with the number of such turns on the way (merges within merges, for
-    a history) and the logarithm of the longest chain, not with the number of steps.
+    Edges are those of the chain table (node, next) and of ``rest`` (node, next); nodes are
+    longs. In turn, what is new climbs the chains, then takes one step by the other edges.
+    Where chains have more than ``SMALL`` nodes, nodes leave them in rounds, a quarter each
+    time; what is left is climbed by a ladder, then those that left are reached from the
+    ones behind them, so work grows with the nodes. Rounds grow with the number of such
+    turns on the way (merges within merges, for a history) and the logarithm of the
+    number of nodes, not with the number of steps.
     """
     both = ["root", "node"]
-    new = stored(starts.select(*both).distinct())
-    seen = new
+    levels, rows = _thinned(chain)
+    ladder = Ladder(rows)
+    new, seen, top = stored(starts.select(*both).distinct()), None, None
     while True:
-        k = 0
+        left = []
+        for gone, _ in levels:
+            at = stored(new.join(gone, "node", "left").select(*both, "next"))
+            left.append(at.filter("next IS NOT NULL").select(*both))
+            new = at.select("root", F.coalesce("next", "node").alias("node")).distinct()
+        new = stored(new) if levels else new
+        reached, top, k = new, new if top is None else top.unionByName(new), 0
         # Where no jump of a level finds an unseen node, no longer one does: what has
         # been seen before this turn is closed.
-        while (level := chain.level(k)) is not None:
+        while (level := ladder.level(k)) is not None:
             ahead = new.join(level, "node").select("root", F.col("ahead").alias("node"))
-            found = stored(ahead.distinct().join(seen, both, "left_anti"))
+            found = stored(ahead.distinct().join(top, both, "left_anti"))
             if found.isEmpty():
                 break
-            new, seen, k = new.unionByName(found), seen.unionByName(found), k + 1
-        aside = new.join(rest, "node").select("root", F.col("next").alias("node"))
-        seen = stored(seen)
+            new, reached, top, k = new.unionByName(found), reached.unionByName(found), top.unionByName(found), k + 1
+        for (_, via), own in zip(reversed(levels), reversed(left)):
+            back = reached.withColumnRenamed("node", "behind").join(via, "behind").select(*both)
+            reached = stored(reached.unionByName(back.unionByName(own).distinct()))
+        # Chains that meet one seen before go on in it.
+        found = stored(reached if seen is None else reached.distinct().join(seen, both, "left_anti"))
+        seen = found if seen is None else seen.unionByName(found)
+        aside = found.join(rest, "node").select("root", F.col("next").alias("node"))
         new = stored(aside.distinct().join(seen, both, "left_anti"))
         if new.isEmpty():
             return seen
-        seen = seen.unionByName(new)
-
-
-def _left_out(level: int) -> Column:
-    """The nodes that leave a chain table in a round: a fixed coin shows heads for them and
-    tails for the next one, so no two neighbours leave, and about a quarter does."""
-    coin = lambda node: F.xxhash64(node, F.lit(level)).bitwiseAND(F.lit(1)) == 1
-    return coin("node") & ~coin("next")
 
 
 def _earlier(at: Column, to: Column, steps: Column) -> Column:

@@ -279,3 +279,27 @@ def test_folding_hands_on_a_fixed_number_of_rows_per_node(spark, monkeypatch):
         got = {r["node"]: tuple(r["at"]) for r in ladder.folded(c, p).collect()}
         assert got == {i: at for i, at in want.items() if i}
     assert len(sizes) > 4 and sum(sizes) < 12 * n
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_reachable_commits_where_chains_are_thinned(spark, monkeypatch, seed):
+    """What is stored stays in proportion to the commits: a jump table per level does not."""
+    from leaksieve.operators import ladder
+
+    rng = random.Random(seed)
+    n = 1500
+    edges = {(i, i - 1 if rng.random() < 0.8 else rng.randrange(max(0, i - 40), i)) for i in range(1, n)}
+    edges |= {(i, rng.randrange(i)) for i in range(1, n) if rng.random() < 0.002} | {(7, 5000)}
+    heads = [("a", n - 1), ("b", n // 2), ("b", 30)]
+    want = sorted((r, c) for r, c in _reach(heads, edges) if c < n)
+    real, wide = ladder.stored, []
+
+    def counted(df):
+        out = real(df)
+        wide.append(out.count() if f"s{ladder.RADIX}" in df.columns else 0)
+        return out
+
+    monkeypatch.setattr(ladder, "SMALL", 300)
+    monkeypatch.setattr(ladder, "stored", counted)
+    assert _reachable(spark, n, edges, heads) == want
+    assert max(wide) <= 300
