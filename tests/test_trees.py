@@ -75,3 +75,20 @@ def test_empty_tables(spark):
     assert entries_from_trees(commits.filter("false"), none, Allowlist()).columns == [
         "repo", "commit", "path", "blob_id"
     ]
+
+
+def test_nested_trees_are_made_once_per_different_listing(spark, monkeypatch):
+    """No stored table has more rows than there are commits, which hold three files each."""
+    from workload import model as M
+
+    sf, sizes, real = "/root/testdata/sf0.001", [], M.stored
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "stored", counted)
+    commits, made = M.nested_trees(spark, sf)
+    assert commits.count() == M.commits(spark, sf).count() >= max(sizes)
+    assert made.count() > 0
