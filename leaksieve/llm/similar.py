@@ -30,9 +30,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from leaksieve.llm.common import fresh, saved
+from leaksieve.llm.common import fresh, let, saved
 from leaksieve.llm.components import connected_components
 from leaksieve.llm.texthash import BASE, SpanHasher, blocks, gram_hashes, mixed, spans
+from leaksieve.llm.url_filter import build_bloom
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -48,6 +49,8 @@ BLOCK_BYTES = 1 << 20
 SLICE = 1 << 16
 FAR = 0xFFFF  # the distance of pairs that are no candidates
 BLANK = bytes(16)  # the key of all texts without a word
+WANTED_FPP = 0.03  # of the filter of texts in a pair
+WANTED_MAX = 1 << 23  # keys that filter is made for (8 MB); with more it lets more texts pass
 
 FPS = [f"f{i}" for i in range(LANES)]
 TASK = ["band", "bucket", "p", "q"]
@@ -376,14 +379,27 @@ def buckets(texts: DataFrame) -> DataFrame:
     return saved(keys.join(counts, ["band", "bucket"]), "similar-buckets")
 
 
+def texts_of_pairs(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(key, text), one row for each text that is in a pair.
+
+    A Bloom filter of their keys drops nearly all other texts where they are read, and
+    copies become one before they move: what moves grows with the texts in pairs, and a
+    text of many copies is no large group.
+    """
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = saved(keys, "similar-wanted")
+    held = build_bloom(wanted, min(wanted.count(), WANTED_MAX), WANTED_FPP, 0)
+    few = docs.filter(let(text_key(text), held.holds))
+    texts = few.select(text_key(text).alias("key"), F.col(text).alias("text"))
+    return texts.dropDuplicates(["key"]).join(wanted, "key", "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float, size: int) -> DataFrame:
     """The pairs whose shingle sets have at least that Jaccard similarity.
 
     Texts move once, and only the sets of those in a pair are stored.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = docs.select(text_key(text).alias("key"), F.col(text).alias("text"))
-    texts = texts.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    texts = texts_of_pairs(pairs, docs, text)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -471,13 +487,18 @@ def deduplicate(
     full = F.struct("least.n", "least.d", "key")
     heads = member.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(full).alias("head"))
     keep = saved(heads.select("head.key", F.col("head.d").alias("id")), "similar-heads")
-    key, head, id_, held, nth = fresh(docs, "key", "head", "id", "held", "nth")
-    rows = docs.withColumn(key, text_key(text))
-    keep = keep.select(F.col("key").alias(head), F.col("id").alias(id_))
-    # Equal keys share a partition after the join, so the window moves nothing.
-    first = Window.partitionBy(key).orderBy(F.desc(held))
+    key, own, head, id_, of, held, nth = fresh(
+        docs, "key", "own", "head", "id", "of", "held", "nth"
+    )
+    rows = docs.withColumn(key, text_key(text)).withColumn(own, F.xxhash64(key, F.col(doc_id)))
+    keep = keep.select(
+        F.col("key").alias(head), F.col("id").alias(id_), F.xxhash64("key", "id").alias(of)
+    )
+    # Copies meet by text and id, so those of one text are dealt out. Equal keys share a
+    # partition after the join, so the window moves nothing.
+    first = Window.partitionBy(own, key).orderBy(F.desc(held))
     return (
-        rows.join(keep, F.col(key) == F.col(head))
+        rows.join(keep, (F.col(own) == F.col(of)) & (F.col(key) == F.col(head)))
         .withColumn(held, F.col(id_).eqNullSafe(F.col(doc_id)))
         .withColumn(nth, F.row_number().over(first))
         .filter((F.col(nth) == 1) & F.col(held))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -149,6 +150,47 @@ def test_odd_rows(spark):
     assert sorted(bytes(r["key"]) for r in key) == sorted(bytes(r["key"]) for r in native)
 
 
+def _rows_shuffled(df):
+    df.collect()
+
+    def of(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return of(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return of(plan.plan())
+        below = plan.children()
+        n = sum(of(below.apply(i)) for i in range(below.size()))
+        if kind == "ShuffleExchangeExec":
+            n += plan.metrics().apply("shuffleRecordsWritten").value()
+        return n
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_only_texts_in_pairs_move(spark, monkeypatch):
+    rows = _texts(8, 1500, 1, (30, 40))
+    texts = dict(rows)
+    base = texts[0].split()
+    near = " ".join([*base[:-1], "other"])
+    rows += [(5000 + i, texts[0]) for i in range(1000)] + [(9000, near)]  # one text of many copies
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = S.saved(df.repartition(3), "t")
+    wanted = spark.createDataFrame([(texts[0], near), (texts[1], texts[2])], "a string, b string")
+    pairs = S.saved(wanted.select(S.text_key("a").alias("a"), S.text_key("b").alias("b")), "t")
+    seen, real = {}, S.saved
+    monkeypatch.setattr(S, "saved", lambda df, name: real(seen.setdefault(name, df), name))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many pairs
+    try:
+        found = S.verified(pairs, df, "text", 0.8, 5).collect()
+        assert _rows_shuffled(seen["similar-sets"]) < 250  # of 2,501
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    md5 = lambda t: hashlib.md5(t.encode()).digest()
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in found] == [(md5(texts[0]), md5(near))]
+
+
 def test_low_similarities_are_refused(spark):
     with pytest.raises(ValueError):
         S.deduplicate(spark.createDataFrame(ODD, "doc_id long, text string"), similarity=0.5)
