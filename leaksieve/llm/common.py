@@ -51,6 +51,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*stored: DataFrame) -> None:
+    """Remove tables that ``saved`` wrote. Only for those whose readers have all been
+    stored themselves: a DataFrame that reads one of them fails from now on."""
+    for df in stored:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(sc._jvm.java.net.URI(folder))
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names for intermediate values that clash with no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from leaksieve.llm.common import fresh, let, saved
+from leaksieve.llm.common import discard, fresh, let, saved
 from leaksieve.llm.components import connected_components
 from leaksieve.llm.texthash import BASE, SpanHasher, blocks, gram_hashes, mixed, spans
 from leaksieve.llm.url_filter import build_bloom
@@ -395,9 +395,9 @@ def texts_of_pairs(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float, size: int) -> DataFrame:
-    """The pairs whose shingle sets have at least that Jaccard similarity.
+    """The pairs whose shingle sets have at least that Jaccard similarity, stored.
 
-    Texts move once, and only the sets of those in a pair are stored.
+    Texts move once, and only the sets of those in a pair are stored, until it is done.
     """
     texts = texts_of_pairs(pairs, docs, text)
 
@@ -418,12 +418,15 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float, si
     right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("t"))
     common = F.size(F.array_intersect("s", "t"))
     either = F.size("s") + F.size("t")
-    return (
+    near = (
         pairs.join(left, "a")
         .join(right, "b")
         .filter(common * (1 + similarity) >= either * similarity - 1e-9)
         .select("a", "b")
     )
+    found = saved(near, "similar-links")
+    discard(sets)
+    return found
 
 
 def links(
@@ -441,12 +444,13 @@ def links(
     shape = F.struct(*SKETCH, "bands")
     texts = marked.groupBy("key").agg(F.min(row).alias("least"), F.any_value(shape).alias("s"))
     texts = saved(texts.select("key", "least", "s.*"), "similar-texts")
+    discard(marked)
     shared = buckets(texts)
     few = _native_pairs(shared.filter(F.col("n") <= bucket_cap))
     seats = _seats(shared.filter(F.col("n") > bucket_cap), texts)
     woods = saved(_forest_pairs(seats, similarity).distinct(), "similar-forests")
     pairs = saved(few.unionByName(woods).distinct(), "similar-pairs")
-    edges = saved(verified(pairs, docs, text, similarity, size), "similar-links")
+    edges = verified(pairs, docs, text, similarity, size)
     roots = connected_components(edges, "a", "b")
     failed = saved(woods.join(edges, ["a", "b"], "left_anti"), "similar-failed")
     share = 1
@@ -456,11 +460,12 @@ def links(
         pairs = saved(further.distinct(), "similar-pairs")
         if pairs.isEmpty():
             break
-        more = saved(verified(pairs, docs, text, similarity, size), "similar-links")
+        more = verified(pairs, docs, text, similarity, size)
         if not more.isEmpty():
             edges = edges.unionByName(more)
             roots = connected_components(edges, "a", "b")
         failed = failed.unionByName(pairs.join(more, ["a", "b"], "left_anti"))
+    discard(shared, seats)
     return texts, edges, roots
 
 
@@ -487,6 +492,7 @@ def deduplicate(
     full = F.struct("least.n", "least.d", "key")
     heads = member.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(full).alias("head"))
     keep = saved(heads.select("head.key", F.col("head.d").alias("id")), "similar-heads")
+    discard(texts)
     key, own, head, id_, of, held, nth = fresh(
         docs, "key", "own", "head", "id", "of", "held", "nth"
     )

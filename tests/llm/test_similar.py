@@ -1,5 +1,7 @@
 import hashlib
+import os
 import random
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,6 +193,25 @@ def test_only_texts_in_pairs_move(spark, monkeypatch):
     assert [(bytes(r["a"]), bytes(r["b"])) for r in found] == [(md5(texts[0]), md5(near))]
 
 
+def test_large_tables_go_when_they_are_read(spark, monkeypatch):
+    stored, real = {}, S.saved
+
+    def saved(df, name):
+        out = real(df, name)
+        stored.setdefault(name, []).extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(S, "saved", saved)
+    rows = _texts(9, 30, 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = S.deduplicate(df, bucket_cap=1)
+    there = {n for n, files in stored.items() if any(os.path.exists(urlparse(f).path) for f in files)}
+    assert {"similar-texts", "similar-sets", "similar-seats"} < stored.keys()
+    assert not there & {"similar-docs", "similar-texts", "similar-sets", "similar-buckets", "similar-seats"}
+    for _ in range(2):  # what is left is enough to compute the result again
+        assert sorted(r["doc_id"] for r in kept.collect()) == heads(rows)
+
+
 def test_low_similarities_are_refused(spark):
     with pytest.raises(ValueError):
         S.deduplicate(spark.createDataFrame(ODD, "doc_id long, text string"), similarity=0.5)
