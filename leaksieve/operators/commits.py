@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaksieve.functions.dates import time_range
+from leaksieve.operators.blocks import moved
 from leaksieve.operators.ladder import closure, folded
-from leaksieve.operators.layout import dense_positions, reliable, stored
+from leaksieve.operators.layout import dense_positions, discard, freeing, reliable, settled, stored
 from leaksieve.sources.corpus import commit_lines
 
 
@@ -164,22 +165,26 @@ def _at(time: Column, ahead: Column) -> Column:
     return F.struct(time.alias("time"), ahead.cast("long").alias("ahead"))
 
 
-def _numbers(tables: Sequence[DataFrame], *key: str) -> Callable[..., Column]:
+def _numbers(tables: Sequence[DataFrame], *key: str, first: int = 0) -> Callable[..., Column]:
     """A 64-bit number for a key, which no two keys of the ``tables`` share; they are told
-    apart by another 64 bits."""
-    for seed in count():
+    apart by another 64 bits. ``first`` is the first seed that is tried."""
+    for seed in count(first):
         number = lambda *names, seed=seed: F.xxhash64(F.lit(seed), *names)
         other = F.xxhash64(F.lit(~seed), *reversed(key)).alias("other")
         each = [t.select(number(*key).alias("node"), other) for t in tables]
         both = reduce(DataFrame.unionByName, each)
-        if both.groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a <> b").isEmpty():
-            return number
+        seen = both.groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b"))
+        with freeing(both.sparkSession):
+            if seen.filter("a <> b").isEmpty():
+                return number
 
 
 def _lines(edges: DataFrame) -> DataFrame:
-    """From each parent with one child to that child."""
-    only = edges.groupBy("up").agg(F.min("node").alias("next"), F.max("node").alias("last"))
-    return stored(only.filter("next = last").select(F.col("up").alias("node"), "next"))
+    """From each parent with one child to that child, with the steps between them."""
+    only = edges.groupBy("up").agg(
+        F.min("node").alias("next"), F.max("node").alias("last"), F.max("steps").alias("steps")
+    )
+    return stored(only.filter("next = last").select(F.col("up").alias("node"), "next", "steps"))
 
 
 def _jumped(step: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -199,36 +204,21 @@ def _jumped(step: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return step.drop("moved"), stored(step.filter("moved").drop("moved"))
 
 
-def topological_positions(commits: DataFrame, parents: DataFrame) -> DataFrame:
-    """(repo, commit, pos), children before parents, HEAD at 0, in each repository.
+def _by_rounds(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """The last places (node, at) by ``edges`` (node, up, steps), where ``placed`` are the first.
 
-    ``commits`` needs (repo, commit, commit_ts), ``parents`` (commit, parent); a commit
-    that several repositories share is placed in each. The order is by time, newest
-    first, which is nearly topological: only where a clock was wrong is a parent not
-    older than its child. Such a parent takes the time of its child and comes one step
-    after it (``behind``), and so on upwards. A round handles all commits whose place
-    has changed in the round before. Where two rounds do not suffice, places are also
-    handed up whole lines (runs of commits with one child each) by jumps, so rounds grow
-    with the logarithm of such a run. Ties go to the newer commit, then by id.
+    A round handles all commits whose place has changed in the round before. Where two
+    rounds do not suffice, places are also handed up whole lines (runs of commits with one
+    child each) by jumps, so rounds grow with the logarithm of such a run.
     """
-    keyed = commits.select("repo", "commit", F.unix_micros("commit_ts").alias("ts"))
-    ups = parents.select("commit", F.col("parent").cast(keyed.schema["commit"].dataType).alias("parent"))
-    ways = ups.join(keyed.select("repo", "commit"), "commit")
-    number = _numbers([keyed, ways.select("repo", F.col("parent").alias("commit"))], "repo", "commit")
-    # A parent that is not in the repository has no place, and nothing before it.
-    edges = stored(
-        ways.select(number("repo", "commit").alias("node"), number("repo", "parent").alias("up"))
-    )
-    node = number("repo", "commit").alias("node")
-    placed = stored(keyed.select(node, _at(F.col("ts"), F.lit(0)).alias("at")))
-    moved = placed
+    changed = placed
     lines, rounds = None, 0
     wait = due = ROUNDS_BEFORE_JUMPS
     while True:
         pushed = (
-            edges.join(moved, "node")
+            edges.join(changed, "node")
             .groupBy(F.col("up").alias("node"))
-            .agg(F.min(_at(F.col("at.time"), F.col("at.ahead") - 1)).alias("to"))
+            .agg(F.min(_at(F.col("at.time"), F.col("at.ahead") - F.col("steps"))).alias("to"))
         )
         later = F.coalesce(F.col("to") < F.col("at"), F.lit(False))
         step = reliable(
@@ -237,17 +227,133 @@ def topological_positions(commits: DataFrame, parents: DataFrame) -> DataFrame:
                 later.alias("moved"),
             )
         )
-        placed, moved = step.drop("moved"), stored(step.filter("moved").drop("moved"))
+        placed, changed = step.drop("moved"), stored(step.filter("moved").drop("moved"))
         rounds += 1
-        if moved.isEmpty():
-            break
+        if changed.isEmpty():
+            return placed
         if rounds == due:
             lines = lines or _lines(edges)
-            placed, moved = _jumped(step, lines)
+            placed, changed = _jumped(step, lines)
             wait *= 2
             due += wait
-    rows = keyed.withColumn("node", node).join(placed, "node").select(
-        "repo", "commit", "ts", F.col("at.time").alias("time"), (-F.col("at.ahead")).alias("behind")
+
+
+# Stands for a time that is null, which comes before all others.
+NO_TIME = -(1 << 63)
+
+
+def _nodes(keyed: DataFrame, number: Callable[..., Column]) -> tuple[Callable[[], Column], DataFrame]:
+    """(repository's number, stored (node, r, ts, last, n)): each commit of each repository
+    once, with its number, its first and its last time and how many rows it has.
+
+    Such a number is that of the commit, which ``number`` gives, mixed with the repository's
+    by exclusive or, so that either one and the number give the other.
+    """
+    for seed in count():
+        of = _numbers([keyed.select("repo")], "repo", first=seed)
+        r = lambda of=of: of("repo")
+        nodes = settled(
+            keyed.select(number("commit").bitwiseXOR(r()).alias("node"), r().alias("r"), "ts")
+            .repartition("node").groupBy("node")
+            .agg(F.min("r").alias("r"), F.max("r").alias("other"), F.min("ts").alias("ts"),
+                 F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
+        )
+        if nodes.filter("r <> other").isEmpty():
+            return r, nodes.drop("other")
+        discard(nodes)
+
+
+def _edges(nodes: DataFrame, ups: DataFrame) -> DataFrame:
+    """(r, node, ts, up, up_ts), stored: from the commits to their parents, ``ups`` (c, p) by the
+    commits' numbers, in each repository that has both."""
+    child = nodes.select(F.col("node").bitwiseXOR(F.col("r")).alias("c"), "r", "ts")
+    parent = nodes.select("r", F.col("node").alias("up"), F.col("ts").alias("up_ts"))
+    with_child = ups.join(child, "c").select(
+        "r", F.col("c").bitwiseXOR(F.col("r")).alias("node"), "ts", F.col("p").bitwiseXOR(F.col("r")).alias("up")
+    )
+    return settled(with_child.join(parent, ["up", "r"]).select("r", "node", "ts", "up", "up_ts"))
+
+
+def _that_matter(edges: DataFrame) -> DataFrame:
+    """The edges that can change a place.
+
+    Where parents are newer than a child, places may go back in time, but no further than
+    from the last such parent to the first such child of the repository. Elsewhere only
+    parents of the same time as a child come to another place.
+    """
+    wrong = stored(
+        edges.filter("up_ts > ts").groupBy("r").agg(F.min("ts").alias("low"), F.max("up_ts").alias("high"))
+    )
+    if wrong.isEmpty():
+        return edges.filter("up_ts = ts")
+    return edges.join(wrong, "r", "left").filter(
+        "up_ts >= ts OR (up_ts >= low AND ts <= high)"
+    ).select(*edges.columns)
+
+
+def _found(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, time, ahead), stored, of the commits that come to another place than their own."""
+    needed = _that_matter(edges)
+    if needed.isEmpty():
+        return settled(edges.limit(0).select("node", F.col("ts").alias("time"), F.col("ts").alias("ahead")))
+    return moved(needed, nodes, _by_rounds)
+
+
+def _for_rows(found: DataFrame, edges: DataFrame, several: DataFrame) -> DataFrame:
+    """``found``, but for commits of ``several`` times the place that the children give them,
+    which each of their rows compares with its own time."""
+    child = F.coalesce("time", "ts"), F.coalesce("ahead", F.lit(0)) - 1
+    given = (
+        edges.join(several.withColumnRenamed("node", "up"), "up", "left_semi")
+        .join(found, "node", "left").groupBy(F.col("up").alias("node")).agg(F.min(_at(*child)).alias("to"))
+    )
+    both = found.join(several, "node", "left_anti").unionByName(given.select("node", "to.time", "to.ahead"))
+    out = settled(both)
+    discard(found)
+    return out
+
+
+def topological_positions(commits: DataFrame, parents: DataFrame) -> DataFrame:
+    """(repo, commit, pos), children before parents, HEAD at 0, in each repository.
+
+    ``commits`` needs (repo, commit, commit_ts), ``parents`` (commit, parent); a commit
+    that several repositories share is placed in each. The order is by time, newest
+    first, which is nearly topological: only where a clock was wrong is a parent not
+    older than its child. Such a parent takes the time of its child and comes one step
+    after it (``behind``), and so on upwards. Commits that are near in time are handled
+    together (``operators.blocks``); where time keeps no neighbours together, round by
+    round and along lines. Ties go to the newer commit, then by id. Two commits that are
+    each other's ancestors are refused or do not end.
+    """
+    ts = F.coalesce(F.unix_micros("commit_ts"), F.lit(NO_TIME)).alias("ts")
+    keyed = commits.select("repo", "commit", ts)
+    kind = keyed.schema["commit"].dataType
+    ups = parents.filter("commit IS NOT NULL").select(
+        F.col("commit").cast(kind).alias("commit"), F.col("parent").cast(kind).alias("parent")
+    )
+    number = _numbers(
+        [keyed.select("commit"), ups.select("commit"), ups.select(F.col("parent").alias("commit"))], "commit"
+    )
+    repo, nodes = _nodes(keyed, number)
+    edges = _edges(nodes, ups.select(number("commit").alias("c"), number("parent").alias("p")))
+    again = stored(nodes.filter("n > 1"))
+    found = _found(edges, nodes)
+    discard(nodes)
+    rows = keyed.withColumn("node", number("commit").bitwiseXOR(repo())).withColumn("own", F.col("ts"))
+    if not again.isEmpty():
+        found = _for_rows(found, edges, again.filter("last > ts").select("node"))
+        times = rows.join(again, "node", "left_semi").groupBy("node").agg(F.collect_list("ts").alias("times"))
+        rows = rows.join(times, "node", "left").withColumn(
+            "own", F.explode(F.coalesce("times", F.array("ts")))
+        )
+    own, to = _at(F.col("own"), F.lit(0)), _at(F.col("time"), F.col("ahead"))
+    at = F.when(F.col("time").isNotNull() & (to < own), to).otherwise(own)
+    placed = settled(
+        rows.join(found, "node", "left").withColumn("at", at)
+        .select("repo", "commit", "ts", "at.time", (-F.col("at.ahead")).alias("behind"))
     )
+    discard(edges, found)
     order = [F.desc("time"), F.col("behind"), F.desc("ts"), F.col("commit")]
-    return dense_positions(rows, "repo", order).select("repo", "commit", "pos")
+    positions = dense_positions(placed, "repo", order, keep=["repo", "commit"])
+    discard(placed)
+    return positions.select("repo", "commit", "pos")

@@ -161,7 +161,8 @@ def _folded_in_a_task(rows: DataFrame) -> DataFrame:
 
 def folded(chain: DataFrame, places: DataFrame) -> DataFrame:
     """(node, at) of the nodes of a chain table (node, next): the least of a node's own place
-    and, for each node ahead, that one's place with the steps to it taken off.
+    and, for each node ahead, that one's place with the steps to it taken off. The chain
+    table may have ``steps``, else each next node is one step ahead.
 
     ``places`` is (node, at), at = (time, ahead); nodes are longs. Several nodes may have
     the same next. In each round about a quarter of the nodes leaves the table, handing
@@ -171,10 +172,10 @@ def folded(chain: DataFrame, places: DataFrame) -> DataFrame:
     """
     to = places.select(F.col("node").alias("next"), F.col("at").alias("to"))
     # The next one's place is taken over at once, so that ends need no row of their own.
+    steps = (F.col("steps") if "steps" in chain.columns else F.lit(1)).cast("long").alias("steps")
     rows = stored(
-        chain.select("node", "next").join(places, "node").join(to, "next", "left").select(
-            "node", "next", F.lit(1).cast("long").alias("steps"),
-            _earlier(F.col("at"), F.col("to"), F.lit(1)).alias("at"),
+        chain.select("node", "next", steps).join(places, "node").join(to, "next", "left").select(
+            "node", "next", "steps", _earlier(F.col("at"), F.col("to"), F.col("steps")).alias("at"),
         )
     )
     levels = []

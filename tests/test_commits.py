@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -303,3 +304,109 @@ def test_reachable_commits_where_chains_are_thinned(spark, monkeypatch, seed):
     monkeypatch.setattr(ladder, "stored", counted)
     assert _reachable(spark, n, edges, heads) == want
     assert max(wide) <= 300
+
+
+def _odd(rng, n, spread, merges):
+    """(edges, times): a line with merges, clocks that are wrong by up to ``spread``."""
+    edges = {(i - 1, i) for i in range(1, n) if rng.random() < 0.97}
+    edges |= {(rng.randrange(max(0, i - 9), i), i) for i in range(1, n) if rng.random() < merges}
+    return edges, [-i // 3 + rng.randint(-spread, spread) for i in range(n)]
+
+
+def _placed_as_defined(spark, n, edges, time, repos=("a", "b")):
+    """Positions equal those of the definition, reckoned without recursion."""
+    place, up = [(t, 0) for t in time], {}
+    for c, p in sorted(edges):  # children have lower numbers
+        up.setdefault(c, []).append(p)
+    for c in range(n):
+        for p in up.get(c, []):
+            place[p] = min(place[p], (place[c][0], place[c][1] - 1))
+    pos = _history(spark, n, edges, lambda i: -time[i], repos)
+    want = sorted(range(n), key=lambda i: (-place[i][0], -place[i][1], -time[i], f"{i:05}"))
+    assert [pos[i] for i in want] == list(range(n))
+
+
+@pytest.mark.parametrize("seed,spread,merges", [(1, 0, 0.2), (2, 2, 0.2), (3, 40, 0.1), (4, 3, 0.9)])
+def test_places_do_not_depend_on_blocks(spark, monkeypatch, seed, spread, merges):
+    from leaksieve.operators import blocks
+
+    rng = random.Random(seed)
+    edges, time = _odd(rng, 700, spread, merges)
+    levels, real = [], blocks._wider
+    monkeypatch.setattr(blocks, "_wider", lambda *a: levels.append(1) or real(*a))
+    monkeypatch.setattr(blocks, "SIZE", 48)
+    monkeypatch.setattr(blocks, "SAMPLES", 8)
+    _placed_as_defined(spark, 700, edges, time)
+    assert levels or seed != 2  # in others one level is enough, or blocks are given up
+
+
+@pytest.mark.parametrize("worth", [0.8, 0.0])
+def test_places_where_blocks_are_given_up(spark, monkeypatch, worth):
+    """At once, where time keeps no neighbours together, or after the first level."""
+    from leaksieve.operators import blocks
+
+    rounds, real = [], C._by_rounds
+    monkeypatch.setattr(C, "_by_rounds", lambda *a: rounds.append(1) or real(*a))
+    monkeypatch.setattr(blocks, "SIZE", 32)
+    monkeypatch.setattr(blocks, "SAMPLES", 8)
+    monkeypatch.setattr(blocks, "WORTH", worth)
+    n = 200
+    if worth:
+        edges, time = {(i, j) for i in range(n) for j in (2 * i + 1, 2 * i + 2) if j < n}, list(range(n))
+    else:
+        edges, time = _odd(random.Random(5), n, 8, 0.3)
+    _placed_as_defined(spark, n, edges, time)
+    assert rounds
+
+
+def test_a_long_history_with_merges_goes_back_in_time_in_few_steps(spark, monkeypatch):
+    """The older half has the newer clocks, and no line is longer than five commits."""
+    calls = _counted(monkeypatch)
+    n = 3000
+    edges = {(i, i + 1) for i in range(n - 1)} | {(i, i + 7) for i in range(0, n - 7, 5)}
+    pos = _history(spark, n, edges, lambda i: i % (n // 2), repos=("a", "b"))
+    assert [pos[i] for i in range(n)] == list(range(n)) and len(calls) <= 16
+
+
+def test_what_is_shuffled_and_stored_does_not_pile_up(spark, monkeypatch, tmp_path):
+    """Runs of commits of one second, with merges: tables that were read are gone."""
+    from leaksieve.operators import layout
+
+    before, kept, real = spark.conf.get(layout._FREES, None), [], layout.stored
+
+    def counted(df, **options):
+        out = real(df, **options)
+        kept.append((out, options))
+        return out
+
+    monkeypatch.setattr(layout, "stored", counted)
+    n = 2000
+    edges = {(i, i + 1) for i in range(n - 1)} | {(i, i + 7) for i in range(0, n - 7, 5)}
+    pos = _history(spark, n, edges, lambda i: i // 40, repos=("a", "b"))
+    assert [pos[i] for i in range(n)] == list(range(n))
+    large = [out for out, options in kept if options]
+    left = [out for out in large if all(os.path.exists(f.removeprefix("file:").removeprefix("//")) for f in _files(out))]
+    assert len(large) >= 5 and len(left) <= 1
+    assert spark.conf.get(layout._FREES, None) == before
+
+
+def _files(df):
+    return [f.rsplit("/", 1)[0] for f in df.inputFiles()]
+
+
+def test_rows_that_repeat_or_have_no_time(spark):
+    """Each row of a commit meets each of its places; no time comes before all others."""
+    at = lambda h: DAY + dt.timedelta(hours=h)
+    rows = [("r", "a", at(9)), ("r", "b", at(8)), ("r", "b", at(8)), ("r", "c", at(2)), ("r", "c", at(9)),
+            ("r", "d", at(1)), ("s", "a", None), ("s", "b", at(5)), (None, "a", at(3)), ("s", None, at(4))]
+    commits = spark.createDataFrame(rows, "repo string, commit string, commit_ts timestamp")
+    parents = spark.createDataFrame(
+        [("a", "b"), ("a", "b"), ("b", "c"), ("c", "d"), ("d", None), (None, "a"), ("x", "a")],
+        "commit string, parent string",
+    )
+    got = sorted(map(tuple, C.topological_positions(commits, parents).collect()), key=lambda t: (t[0], t[2]))
+    # c: its rows are at 2 and at 9, which b pushes to 8, one step behind.
+    assert [t[:2] for t in got] == [
+        ("r", "a"), *[("r", "b")] * 4, *[("r", "c")] * 4, ("r", "d"), ("s", None), ("s", "a"), ("s", "b")
+    ]
+    assert [t[2] for t in got] == [*range(10), *range(3)]
